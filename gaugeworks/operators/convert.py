@@ -11,18 +11,21 @@ from gaugeworks.functions.measures import scale, to_int
 from gaugeworks.schemas import DAILY_MEASURES, OBS_COLUMNS, TIME_COLUMN
 
 
-def with_ts(records: DataFrame, ts: Column) -> DataFrame:
-    """Add ``ts``, dropping rows without one or from before the epoch.
+def computed(records: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """``keep`` and ``columns``, each computed once per row.
 
-    The one-element generator keeps the optimizer from copying the date parser
-    into the filter, where it would run again for every row.
+    A filter on a projected expression is pushed below the projection together
+    with a copy of the expression, so every condition on a reading would parse
+    its text again.  Filters do not pass a generator, here one of one element.
     """
-    return records.withColumn("ts", F.explode(F.array(ts))).where(F.col("ts") >= 0)
+    row = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return records.select(*keep, F.inline(F.array(row)))
 
 
 def drop_bad_dates(records: DataFrame, rule: Callable[[Column], Column] = dates.parse_iso_date) -> DataFrame:
     """Rows whose ``Date`` the rule accepts, with their epoch day."""
-    return with_ts(records, dates.days_since_epoch(rule(F.col("Date"))))
+    day = dates.days_since_epoch(rule(F.col("Date")))
+    return computed(records, "*", ts=day).where(F.col("ts") >= 0)
 
 
 def drop_nonpositive_ts(obs: DataFrame) -> DataFrame:
@@ -36,23 +39,28 @@ def _text_number(measure: Column) -> Column:
 
 def _daily(records, rule, number, keep=()):
     value = lambda name: number(F.col(name))
-    date = dates.days_to_date(F.col("ts"))
-    return drop_bad_dates(records, rule).select(
-        *keep,
-        "station_id",
-        F.year(date).alias("year"),
-        "ts",
-        date.alias("obs_date"),
-        scale(value("DayAirTmpAvg"), "temp").alias("temperature"),
-        scale(value("DayAsceEto"), "et_daily").alias("et"),
-        scale(value("DayWindSpdAvg"), "wind").alias("wind_speed"),
-        to_int(value("DayRelHumAvg")).alias("humidity"),
-        to_int(value("DaySolRadAvg") * 10).alias("solar_radiation"),
-        measures.qc_bits(
+    rows = computed(
+        records, *keep, "station_id",
+        ts=dates.days_since_epoch(rule(F.col("Date"))),
+        temperature=scale(value("DayAirTmpAvg"), "temp"),
+        et=scale(value("DayAsceEto"), "et_daily"),
+        wind_speed=scale(value("DayWindSpdAvg"), "wind"),
+        humidity=to_int(value("DayRelHumAvg")),
+        solar_radiation=to_int(value("DaySolRadAvg") * 10),
+        qc_flags=measures.qc_bits(
             temperature=measures.qc_flagged(F.col("DayAirTmpAvg")),
             et=measures.qc_flagged(F.col("DayAsceEto")),
-        ).alias("qc_flags"),
+        ),
     )
+    return _timed(rows, "daily", keep)
+
+
+def _timed(rows: DataFrame, kind: str, keep) -> DataFrame:
+    """Drop rows without a time or from before the epoch; add the time and its year."""
+    time = dates.time_of(F.col("ts"), kind)
+    derived = {"year": F.year(time), TIME_COLUMN[kind]: time}
+    return rows.where(F.col("ts") >= 0).select(
+        *keep, *(derived[c].alias(c) if c in derived else F.col(c) for c in OBS_COLUMNS[kind]))
 
 
 def convert_daily(records: DataFrame, keep=()) -> DataFrame:
@@ -92,24 +100,20 @@ def convert_daily_strict(records: DataFrame, keep=()) -> DataFrame:
 
 def _hourly(records, rule, keep=()):
     value = lambda name: _text_number(F.col(name))
-    hours = dates.hours_since_epoch(rule(F.col("Date")), dates.parse_hour(F.col("Hour")))
-    time = dates.hours_to_timestamp(F.col("ts"))
-    return with_ts(records, hours).select(
-        *keep,
-        "station_id",
-        F.year(time).alias("year"),
-        "ts",
-        time.alias("obs_ts"),
-        scale(value("HlyAirTmp"), "temp").alias("temperature"),
-        scale(value("HlyAsceEto"), "et_hourly").alias("et"),
-        scale(value("HlyWindSpd"), "wind").alias("wind_speed"),
-        to_int(value("HlyWindDir") / 2).alias("wind_direction"),
-        to_int(value("HlyRelHum")).alias("humidity"),
-        to_int(value("HlySolRad")).alias("solar_radiation"),
-        scale(value("HlyPrecip"), "precip").alias("precipitation"),
-        scale(value("HlyVapPres"), "vapor").alias("vapor_pressure"),
-        measures.qc_bits(temperature=measures.qc_flagged(F.col("HlyAirTmp"))).alias("qc_flags"),
+    rows = computed(
+        records, *keep, "station_id",
+        ts=dates.hours_since_epoch(rule(F.col("Date")), dates.parse_hour(F.col("Hour"))),
+        temperature=scale(value("HlyAirTmp"), "temp"),
+        et=scale(value("HlyAsceEto"), "et_hourly"),
+        wind_speed=scale(value("HlyWindSpd"), "wind"),
+        wind_direction=to_int(value("HlyWindDir") / 2),
+        humidity=to_int(value("HlyRelHum")),
+        solar_radiation=to_int(value("HlySolRad")),
+        precipitation=scale(value("HlyPrecip"), "precip"),
+        vapor_pressure=scale(value("HlyVapPres"), "vapor"),
+        qc_flags=measures.qc_bits(temperature=measures.qc_flagged(F.col("HlyAirTmp"))),
     )
+    return _timed(rows, "hourly", keep)
 
 
 def convert_hourly(records: DataFrame, keep=()) -> DataFrame:

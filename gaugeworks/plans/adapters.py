@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeworks.schemas import DAILY_MEASURES, HOURLY_MEASURES
 from gaugeworks.session import scratch
+from gaugeworks.sources.store import size_of
 
 _SHIPPED = "cast(l_shipdate AS string)"
 _TS = "cast(ts AS string)"
@@ -112,12 +113,26 @@ OPS_LOG = """
 """
 
 
+# Input a reader splits into about one task.
+_SPLIT_BYTES = 128 << 20
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table over all cores.  A file of one row group is a single task however
+    small the rest of its work is; larger inputs have splits enough of their own."""
+    path = f"{sf}/{name}.parquet"
+    cores = spark.sparkContext.defaultParallelism
+    if size_of(spark, path) >= cores * _SPLIT_BYTES:
+        return table(spark, sf, name)
+    return table(spark, sf, name).repartition(cores)
+
+
 def _shaped(spark: SparkSession, sf: str, name: str, columns: str) -> DataFrame:
-    return spark.sql(f"SELECT {columns} FROM {{source}}", source=table(spark, sf, name))
+    return spark.sql(f"SELECT {columns} FROM {{source}}", source=spread(spark, sf, name))
 
 
 def daily_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import convert, lookups
+from gaugeworks.operators import lookups
 from gaugeworks.plans import adapters as A, checks as C
 from gaugeworks.plans.registry import query
+from gaugeworks.schemas import record_schema
 from gaugeworks.sources import dimensions, requests, responses as R
 from gaugeworks.streaming.ingest import scan_outcomes
 
@@ -139,10 +140,7 @@ def batch_requests(spark, sf):
 
 def station_outcomes(spark, sf):
     """Records and first error per station from one parse of the landed bodies."""
-    records = R.strict_records(A.daily_landed(spark, sf))
-    rows = convert.convert_daily_strict(
-        convert.minimal(records.where(F.col("Date").isNotNull())))
-    return scan_outcomes(records, rows, "station_id")
+    return scan_outcomes(R.strict_records(A.daily_landed(spark, sf)), "station_id")
 
 
 def outcome_sql():
@@ -270,7 +268,7 @@ SELECT name AS provider, records, count(*) AS responses
 FROM raw, (VALUES ('first', 1), ('second', 0)) AS p(name, records)
 WHERE fault IS NULL GROUP BY ALL""")
 def json_flatten(spark, sf):
-    parsed = R._parse(A.daily_landed(spark, sf), R.DAILY_RECORD)
+    parsed = R.parse(A.daily_landed(spark, sf), record_schema(("Date",), ()))
     providers = parsed.select(F.explode("_response.Data.Providers").alias("p"))
     return providers.groupBy(
         F.col("p.Name").alias("provider"), F.size("p.Records").alias("records"),
@@ -281,5 +279,5 @@ def json_flatten(spark, sf):
 SELECT station_id, 'first' AS provider_name, kind AS provider_type, day_text AS "Date"
 FROM raw WHERE fault IS NULL""")
 def flatten_providers(spark, sf):
-    return R.scan_daily(A.daily_landed(spark, sf)).select(
+    return R.scan_daily(A.daily_landed(spark, sf), identity=("Date",), measures=()).select(
         "station_id", "provider_name", "provider_type", "Date")

@@ -55,18 +55,18 @@ def _fields(names, kind):
     return ", ".join(f"{n}: {kind}" for n in names)
 
 
-DAILY_RECORD = (
-    "STRUCT<"
-    + _fields(("Date", "Julian", "Station", "Standard", "ZipCodes",
-               "Coordinate", "Address", "Scope"), "STRING")
-    + ", " + _fields(DAILY_MEASURES, MEASURE) + ">"
-)
-HOURLY_RECORD = (
-    "STRUCT<"
-    + _fields(("Date", "Hour", "Julian", "Station", "Standard",
-               "ZipCodes", "Scope"), "STRING")
-    + ", " + _fields(HOURLY_MEASURES, MEASURE) + ">"
+DAILY_IDENTITY = (
+    "Date", "Julian", "Station", "Standard", "ZipCodes", "Coordinate", "Address", "Scope",
 )
+HOURLY_IDENTITY = ("Date", "Hour", "Julian", "Station", "Standard", "ZipCodes", "Scope")
+
+
+def record_schema(identity, measures) -> str:
+    """DDL of a record; the parser skips every field that is not named here."""
+    fields = [f"{n}: STRING" for n in identity] + [f"{n}: {MEASURE}" for n in measures]
+    return f"STRUCT<{', '.join(fields)}>"
+
+
 STRICT_RECORD = "STRUCT<Date: STRING, " + _fields(DAILY_MEASURES, _MINIMAL) + ">"
 
 CORRUPT = "_corrupt"

@@ -34,39 +34,39 @@ def fits(kind: str) -> Column:
     return inside
 
 
-def _hex_field(value: Column, width: int) -> Column:
-    """Low bytes of ``value`` as hex digits, lowest byte first."""
-    big = F.lpad(F.hex(F.pmod(value.cast("bigint"), F.lit(1 << (8 * width)))), 2 * width, "0")
-    return F.concat(*(F.substring(big, 2 * i + 1, 2) for i in reversed(range(width))))
+# One character per byte, so that texts stand for bytes until the last step.
+_BYTES = "ISO-8859-1"
 
 
-def record_hex(kind: str) -> Column:
+def _record_text(kind: str) -> Column:
+    """The packed record, one character per byte, each field lowest byte first."""
     used = sum(width for _, width, _ in LAYOUT[kind])
-    spare = F.lit("00" * (RECORD_WIDTH[kind] - used))
-    return F.concat(*(_hex_field(F.col(n), w) for n, w, _ in LAYOUT[kind]), spare)
+    parts = [
+        F.char(F.shiftright(F.col(name).cast("bigint"), 8 * i).bitwiseAND(F.lit(255)))
+        for name, width, _ in LAYOUT[kind] for i in range(width)
+    ]
+    return F.concat(*parts, *[F.char(F.lit(0))] * (RECORD_WIDTH[kind] - used))
 
 
 def pack(obs: DataFrame, kind: str) -> DataFrame:
     """Add the packed record; rows with a field out of range get null."""
-    return obs.withColumn("record", F.when(fits(kind), F.unhex(record_hex(kind))))
+    return obs.withColumn("record", F.when(fits(kind), F.encode(_record_text(kind), _BYTES)))
 
 
 def pack_blocks(obs: DataFrame, kind: str, order: list[str], rows: int = 4096) -> DataFrame:
     """Records of each station in order, joined into payloads of at most ``rows``."""
-    packed = obs.where(fits(kind)).select("station_id", *order, record_hex(kind).alias("_hex"))
+    packed = obs.where(fits(kind)).select("station_id", *order, _record_text(kind).alias("_text"))
 
     def number(series, df):
         return series.running(df.withColumn("_one", F.lit(1)), "_one", "_position")
 
     placed = over_series(packed, ["station_id"], order, number)
-    item = F.struct("_position", "_hex")
+    item = F.struct("_position", "_text")
+    joined = F.array_join(F.transform("_items", lambda i: i["_text"]), "")
     return (
         placed.groupBy("station_id", F.floor((F.col("_position") - 1) / rows).alias("block"))
         .agg(F.array_sort(F.collect_list(item)).alias("_items"))
-        .select(
-            "station_id", "block",
-            F.unhex(F.array_join(F.transform("_items", lambda i: i["_hex"]), "")).alias("content"),
-        )
+        .select("station_id", "block", F.encode(joined, _BYTES).alias("content"))
     )
 
 
@@ -80,14 +80,13 @@ def read_payloads(spark: SparkSession, path: str, glob: str = "*.bin") -> DataFr
     )
 
 
-def _number(content: Column, start: Column, offset: int, width: int, signed: bool) -> Column:
-    """Little-endian number at ``start + offset`` (bytes count from one)."""
-    taken = F.hex(F.substring(content, start + offset, F.lit(width)))
-    big = F.concat(*(F.substring(taken, 2 * i + 1, 2) for i in reversed(range(width))))
-    value = F.conv(big, 16, 10).cast("bigint")
+def _number(text: Column, offset: int, width: int, signed: bool) -> Column:
+    """Little-endian number of ``width`` bytes in a record text."""
+    code = lambda i: F.ascii(F.substring(text, offset + i + 1, 1)).cast("bigint")
+    value = sum((F.shiftleft(code(i), 8 * i) for i in range(1, width)), code(0))
     if signed:
         half = 1 << (8 * width - 1)
-        value = F.pmod(value + half, F.lit(2 * half)) - half
+        value = F.when(value >= half, value - 2 * half).otherwise(value)
     return value
 
 
@@ -95,19 +94,21 @@ def unpack(payloads: DataFrame, kind: str) -> DataFrame:
     """One row per whole record of each payload; a trailing partial one is ignored."""
     width = RECORD_WIDTH[kind]
     keep = [c for c in payloads.columns if c not in ("content", "length")]
-    count = F.floor(F.length("content") / width).cast("int")
+    last = F.floor(F.length("content") / width).cast("int") - 1
+    record = F.substring(F.col("content"), F.col("record_no") * width + 1, F.lit(width))
     rows = (
         payloads.where(F.length("content") >= width)
-        .withColumn("_at", F.explode(F.sequence(F.lit(0), count - 1)))
-        .withColumn("_start", F.col("_at") * width + 1)
+        .withColumn("record_no", F.explode(F.sequence(F.lit(0), last)))
+        # The generator decodes a record once for all of its fields.
+        .select(*keep, "record_no", F.explode(F.array(F.decode(record, _BYTES))).alias("_text"))
     )
     fields, offset = [], 0
     for name, size, signed in LAYOUT[kind]:
-        field = _number(F.col("content"), F.col("_start"), offset, size, signed)
+        field = _number(F.col("_text"), offset, size, signed)
         # An unsigned 4-byte count may not fit an INT.
         fields.append((field if size == 4 else field.cast("int")).alias(name))
         offset += size
-    return rows.select(*keep, F.col("_at").alias("record_no"), *fields)
+    return rows.select(*keep, "record_no", *fields)
 
 
 def with_time(records: DataFrame, kind: str) -> DataFrame:

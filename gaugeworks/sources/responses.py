@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeworks.functions import measures
 from gaugeworks.schemas import (
-    CORRUPT, DAILY_MEASURES, DAILY_RECORD, HOURLY_RECORD, LANDED, STRICT_RECORD,
-    response_schema,
+    CORRUPT, DAILY_IDENTITY, DAILY_MEASURES, HOURLY_IDENTITY, HOURLY_MEASURES, LANDED,
+    STRICT_RECORD, record_schema, response_schema,
 )
 
 SPATIAL_ZIP_MEASURES = ("DayAsceEto", "DaySolRadAvg", "DayWindSpdAvg")
@@ -41,28 +41,40 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _parse(landed: DataFrame, record: str) -> DataFrame:
+def parse(landed: DataFrame, record: str) -> DataFrame:
+    """Add the parsed body as ``_response``, whose ``_corrupt`` tells a malformed one.
+
+    The one-element generator makes later steps share a single parse; the
+    optimizer would otherwise copy the parser into each filter and column.
+    """
     options = {"columnNameOfCorruptRecord": CORRUPT}
-    return landed.withColumn(
-        "_response", F.from_json("body", response_schema(record), options)
-    )
+    response = F.from_json("body", response_schema(record), options)
+    return landed.withColumn("_response", F.explode(F.array(response)))
 
 
 def flatten_providers(parsed: DataFrame, *keep: str) -> DataFrame:
     """One row per record of every provider; records of one response stay together."""
     return (
-        parsed.select(*keep, F.explode("_response.Data.Providers").alias("_p"))
+        parsed.select(*keep, F.explode_outer("_response.Data.Providers").alias("_p"))
         .select(*keep, F.col("_p.Name").alias("provider_name"),
-                F.col("_p.Type").alias("provider_type"), F.inline("_p.Records"))
+                F.col("_p.Type").alias("provider_type"),
+                F.explode_outer("_p.Records").alias("_r"))
+        .where(F.col("_r").isNotNull())
+        .select(*keep, "provider_name", "provider_type", "_r.*")
     )
 
 
-def scan_daily(landed: DataFrame, *keep: str) -> DataFrame:
-    return flatten_providers(_parse(landed, DAILY_RECORD), "station_id", *keep)
+def scan_daily(
+    landed: DataFrame, *keep: str, identity=DAILY_IDENTITY, measures=DAILY_MEASURES,
+) -> DataFrame:
+    """Daily records of all landed responses, with the named fields only."""
+    return flatten_providers(parse(landed, record_schema(identity, measures)), "station_id", *keep)
 
 
-def scan_hourly(landed: DataFrame, *keep: str) -> DataFrame:
-    return flatten_providers(_parse(landed, HOURLY_RECORD), "station_id", *keep)
+def scan_hourly(
+    landed: DataFrame, *keep: str, identity=HOURLY_IDENTITY, measures=HOURLY_MEASURES,
+) -> DataFrame:
+    return flatten_providers(parse(landed, record_schema(identity, measures)), "station_id", *keep)
 
 
 def in_zips(zips: list[str]) -> Column:
@@ -78,23 +90,18 @@ def scan_hourly_by_zip(landed: DataFrame, zips: list[str]) -> DataFrame:
     return scan_hourly(landed).where(in_zips(zips))
 
 
-def _only(records: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Keep the identifying fields and the measurements in ``names``."""
-    return records.drop(*(m for m in DAILY_MEASURES if m not in names))
-
-
 def scan_spatial_zip(landed: DataFrame, zips: list[str]) -> DataFrame:
-    spatial = scan_daily(landed).where((F.col("provider_type") == "spatial") & in_zips(zips))
-    return _only(spatial, SPATIAL_ZIP_MEASURES)
+    spatial = scan_daily(landed, measures=SPATIAL_ZIP_MEASURES)
+    return spatial.where((F.col("provider_type") == "spatial") & in_zips(zips))
 
 
 def scan_geo_zip(landed: DataFrame, zips: list[str]) -> DataFrame:
     """Zip scan whose source was chosen by the remote service."""
-    return _only(scan_daily_by_zip(landed, zips), SPATIAL_ZIP_MEASURES)
+    return scan_daily(landed, measures=SPATIAL_ZIP_MEASURES).where(in_zips(zips))
 
 
 def _at_targets(landed: DataFrame, targets: DataFrame, field: str) -> DataFrame:
-    records = _only(scan_daily(landed), SPATIAL_POINT_MEASURES)
+    records = scan_daily(landed, measures=SPATIAL_POINT_MEASURES)
     return records.join(targets.select(F.col(field)), field, "left_semi")
 
 
@@ -122,7 +129,7 @@ def _has_bad_value(providers: Column) -> Column:
 
 def with_reject(landed: DataFrame) -> DataFrame:
     """Parse strictly and name why a whole response is refused, null if it is fine."""
-    parsed = _parse(landed, STRICT_RECORD)
+    parsed = parse(landed, STRICT_RECORD)
     providers = F.col("_response.Data.Providers")
     reason = (
         F.when(F.col("error").isNotNull(), F.col("error"))
@@ -130,7 +137,7 @@ def with_reject(landed: DataFrame) -> DataFrame:
         .when(providers.isNull(), "no providers")
         .when(_has_bad_value(providers), "value is not a number")
     )
-    return parsed.withColumn("reject", reason)
+    return parsed.withColumn("reject", F.explode(F.array(reason)))
 
 
 def strict_records(landed: DataFrame, *keep: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gaugeworks.functions.dates import time_of
 from gaugeworks.schemas import CATALOG, FILES, OBS_COLUMNS, STORED, TIME_COLUMN
 
-STATIONS_PER_GROUP = 64
+STATIONS_PER_GROUP = 256
 CHUNK_KEY = ("station_id", "year", "data_type")
 _STORED_COLUMNS = {
     kind: [c for c in names if c != TIME_COLUMN[kind]] for kind, names in OBS_COLUMNS.items()
@@ -24,9 +24,20 @@ def station_group(station: Column) -> Column:
     return F.floor(station / F.lit(STATIONS_PER_GROUP)).cast("int")
 
 
+def _files_at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    files, place = _files_at(spark, path)
+    return files.exists(place)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes below ``path``."""
+    files, place = _files_at(spark, path)
+    return files.getContentSummary(place).getLength()
 
 
 def _folder(root: str, kind: str, ingest_id: str | None = None) -> str:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gaugeworks.functions import dates
 from gaugeworks.operators.convert import convert_daily_strict, minimal
 from gaugeworks.schemas import DAILY_COLUMNS, LANDED
 from gaugeworks.session import scratch
@@ -43,13 +44,18 @@ def of_whole_requests(rows: DataFrame, records: DataFrame) -> DataFrame:
     return rows.join(refused, "request_id", "left_anti")
 
 
-def scan_outcomes(records: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
-    """Records and first error per ``keys``; a refused page fails the whole group."""
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    asked = records.groupBy(*keys).agg(F.min("reject").alias("error"))
-    return asked.join(counted, list(keys), "left").select(
+def scan_outcomes(records: DataFrame, *keys: str) -> DataFrame:
+    """Records and first error per ``keys``; a refused page fails the whole group.
+
+    Only the date decides whether a strict record is stored, so counting needs
+    no conversion.
+    """
+    day = dates.days_since_epoch(dates.lenient_date(F.col("Date")))
+    return records.groupBy(*keys).agg(
+        F.min("reject").alias("error"), F.count_if(day > 0).alias("_stored"),
+    ).select(
         *keys,
-        F.when(F.col("error").isNull(), F.coalesce("_n", F.lit(0))).otherwise(F.lit(0)).alias("records"),
+        F.when(F.col("error").isNull(), F.col("_stored")).otherwise(F.lit(0)).alias("records"),
         "error",
     )
 
@@ -67,7 +73,7 @@ def ingest_batch(landed: DataFrame, root: str, ingest_id: str, dry_run: bool = F
         fresh = pending_rows(of_whole_requests(rows, records), others)
         store.write_obs(fresh.select(*DAILY_COLUMNS), root, "daily", ingest_id)
         store.write_catalog(spark, root, "daily", ingest_id)
-    log = scan_outcomes(records, rows, "request_id", "station_id")
+    log = scan_outcomes(records, "request_id", "station_id")
     log.withColumn("success", F.col("error").isNull()).write.mode("overwrite").parquet(
         f"{root}/fetch_log/ingest_id={ingest_id}")
 
