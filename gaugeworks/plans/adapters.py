@@ -117,6 +117,14 @@ OPS_LOG = """
 _SPLIT_BYTES = 128 << 20
 
 
+# Columns that scatter the rows of the spread tables evenly.
+_ROW_KEYS = {
+    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey"),
+    "events": ("event_id",),
+    "supplier": ("s_suppkey",),
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -128,7 +136,7 @@ def spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if size_of(spark, path) >= cores * _SPLIT_BYTES:
         return table(spark, sf, name)
-    return table(spark, sf, name).repartition(cores)
+    return table(spark, sf, name).repartition(cores, *_ROW_KEYS[name])
 
 
 def _shaped(spark: SparkSession, sf: str, name: str, columns: str) -> DataFrame:

@@ -80,6 +80,18 @@ def read_payloads(spark: SparkSession, path: str, glob: str = "*.bin") -> DataFr
     )
 
 
+def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Whole records of files that hold nothing else, one per row.
+
+    A payload row carries its file in one piece, which suits chunk files; this
+    scan cuts files of any size into splits at record boundaries.
+    """
+    records = spark._jsc.sc().binaryRecords(
+        path, RECORD_WIDTH[kind], spark._jsc.hadoopConfiguration())
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.BINARY()
+    return DataFrame(spark._jsparkSession.createDataset(records, encoder), spark).toDF("content")
+
+
 def _number(text: Column, offset: int, width: int, signed: bool) -> Column:
     """Little-endian number of ``width`` bytes in a record text."""
     code = lambda i: F.ascii(F.substring(text, offset + i + 1, 1)).cast("bigint")

@@ -22,9 +22,13 @@ _REQUEST = ("request_id", "landed_seq")
 
 
 def first_responses(rows: DataFrame) -> DataFrame:
-    """The first landed response of each station-year."""
+    """The first landed response of each station-year.
+
+    Rows shrink to distinct responses by hashing before the least is taken.
+    """
     return (
-        rows.groupBy("station_id", "year")
+        rows.select("station_id", "year", *_REQUEST).distinct()
+        .groupBy("station_id", "year")
         .agg(F.min(F.struct("landed_seq", "request_id")).alias("_first"))
         .select("station_id", "year", "_first.*")
     )
@@ -51,8 +55,10 @@ def scan_outcomes(records: DataFrame, *keys: str) -> DataFrame:
     no conversion.
     """
     day = dates.days_since_epoch(dates.lenient_date(F.col("Date")))
-    return records.groupBy(*keys).agg(
-        F.min("reject").alias("error"), F.count_if(day > 0).alias("_stored"),
+    # Grouping by the reason first lets both steps hash instead of sort.
+    counted = records.groupBy(*keys, "reject").agg(F.count_if(day > 0).alias("_stored"))
+    return counted.groupBy(*keys).agg(
+        F.min("reject").alias("error"), F.sum("_stored").alias("_stored"),
     ).select(
         *keys,
         F.when(F.col("error").isNull(), F.col("_stored")).otherwise(F.lit(0)).alias("records"),

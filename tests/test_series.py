@@ -95,6 +95,26 @@ def test_pack_then_unpack_files(spark, tmp_path, kind):
     assert by_file == {"whole.bin": rows, "partial.bin": rows[:1]}
 
 
+@pytest.mark.parametrize("kind", ["daily", "hourly"])
+def test_large_files_are_read_in_splits(spark, tmp_path, kind):
+    import struct
+
+    layout = "<IHhhHBBBx" if kind == "daily" else "<IHhhHBBHHHBxxx"
+    fields = len(fixedwidth.LAYOUT[kind]) - 2
+    (tmp_path / "many.bin").write_bytes(b"".join(
+        struct.pack(layout, i, i % 7, *[i % 200] * fields) for i in range(5000)))
+    split, conf = "mapreduce.input.fileinputformat.split.maxsize", spark._jsc.hadoopConfiguration()
+    conf.set(split, "10001")
+    try:
+        records = fixedwidth.read_records(spark, str(tmp_path / "many.bin"), kind)
+        assert records.rdd.getNumPartitions() > 1
+        got = fixedwidth.unpack(records, kind).collect()
+    finally:
+        conf.unset(split)
+    assert sorted((r["ts"], r["station_id"], r["qc_flags"]) for r in got) == [
+        (i, i % 7, i % 200) for i in range(5000)]
+
+
 def test_rows_out_of_width_are_not_packed(spark):
     frame, _, _ = packed_rows(spark, "daily")
     wide = frame.withColumn("solar_radiation", F.lit(256))
