@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import integrity, quality, ranges, reports
+from gaugeworks.operators import integrity, quality, ranges, reports, stats
 from gaugeworks.plans import adapters as A, checks as C
 from gaugeworks.plans.filters import END, START, STATION
 from gaugeworks.plans.projections import daily_obs, hourly_obs
@@ -81,11 +81,15 @@ def chunk_catalog(spark, sf):
         (F.col("stored_bytes") > 0).alias("has_bytes"))
 
 
-@query("stored_efficiency")
+@query("stored_efficiency", f"""{_VALID_DAILY}
+SELECT station_id, year, count(*) AS row_count, count(*) * 16 AS raw_bytes, true AS consistent
+FROM kept GROUP BY station_id, year""")
 def stored_efficiency(spark, sf):
-    from gaugeworks.operators.stats import storage_efficiency
-
-    return storage_efficiency(store.read_catalog(spark, stored_root(spark, sf)), "daily")
+    measured = stats.storage_efficiency(store.read_catalog(spark, stored_root(spark, sf)), "daily")
+    return measured.select(
+        "station_id", "year", "row_count", "raw_bytes",
+        ((F.col("ratio") > 0) & (F.abs(F.col("bytes_per_record") * F.col("ratio") - 16) < 1e-9)
+         & (F.abs(F.col("saving_pct") - (1 - 1 / F.col("ratio")) * 100) < 1e-6)).alias("consistent"))
 
 
 @query("readback_diff", f"""{_VALID_DAILY} SELECT count(*) AS rows_written, count(*) AS rows_read,
@@ -102,22 +106,33 @@ def verify_files(spark, sf):
         F.sum("rows_read").alias("rows_read"))
 
 
-@query("verify_summary")
+# A folder may hold any number of files, so folders are what SQL can count.
+_FOLDER = r"(year=.*)/[^/]*$"
+_FOLDERS_SQL = f"count(DISTINCT (year, station_id // {store.STATIONS_PER_GROUP}))"
+
+
+def _folder(path):
+    return F.regexp_extract(path, _FOLDER, 1)
+
+
+@query("verify_summary", f"{_VALID_HOURLY} SELECT {_FOLDERS_SQL} AS verified, 0::BIGINT AS failed FROM kept")
 def verify_summary(spark, sf):
+    verified = integrity.verify_files(spark, stored_root(spark, sf, "hourly"), "hourly")
     return integrity.verify_summary(
-        integrity.verify_files(spark, stored_root(spark, sf, "hourly"), "hourly"))
+        verified.groupBy(_folder("file")).agg(F.bool_and("ok").alias("ok")))
 
 
-@query("verify_candidates")
+@query("verify_candidates", f"{_VALID_DAILY} SELECT {_FOLDERS_SQL} AS folders, true AS sized FROM kept")
 def verify_candidates(spark, sf):
     listed = integrity.list_files(spark, f"{stored_root(spark, sf)}/data_type=daily")
-    return listed.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return listed.agg(
+        F.count_distinct(_folder("path")).alias("folders"), (F.min("length") > 0).alias("sized"))
 
 
-@query("nonempty_files")
+@query("nonempty_files", f"{_VALID_DAILY} SELECT true AS written, {_FOLDERS_SQL} AS folders FROM kept")
 def nonempty_files(spark, sf):
     checked = integrity.nonempty_files(spark, stored_root(spark, sf), "daily")
-    return checked.groupBy("written").agg(F.count("*").alias("files"))
+    return checked.groupBy("written").agg(F.count_distinct(_folder("file")).alias("folders"))
 
 
 @query("export_csv", f"""{_VALID_DAILY} SELECT station_id, obs_date, temperature, et FROM kept

@@ -66,9 +66,16 @@ def scan_outcomes(records: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def ingest_batch(landed: DataFrame, root: str, ingest_id: str, dry_run: bool = False) -> None:
-    """Store what is new in ``landed`` and record files, chunks and the fetch log."""
-    spark = landed.sparkSession
+def ingest_batch(
+    landed: DataFrame, root: str, ingest_id: str, dry_run: bool = False,
+    spark: SparkSession | None = None,
+) -> None:
+    """Store what is new in ``landed`` and record files, chunks and the fetch log.
+
+    A streaming batch comes with a session of its own in which adaptive
+    execution may be off; every step after the first runs in ``spark``.
+    """
+    spark = spark or landed.sparkSession
     # Bodies are parsed once; the compact rows are read back for each later step.
     stage = scratch(spark, "stage")
     strict_records(landed, *_REQUEST).write.parquet(stage)
@@ -93,7 +100,7 @@ def ingest_stream(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def run(batch: DataFrame, number: int) -> None:
-        ingest_batch(batch, root, f"batch-{number:09d}")
+        ingest_batch(batch, root, f"batch-{number:09d}", spark=spark)
 
     return (
         reader.json(landing)
