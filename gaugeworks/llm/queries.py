@@ -1,6 +1,6 @@
 """All queries of the subpackage; importing the modules registers them."""
 
-from gaugeworks.llm import packing, simhash  # noqa: F401
+from gaugeworks.llm import decontamination, linededup, packing, simhash  # noqa: F401
 from gaugeworks.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
