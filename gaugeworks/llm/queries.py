@@ -1,6 +1,8 @@
 """All queries of the subpackage; importing the modules registers them."""
 
-from gaugeworks.llm import decontamination, linededup, packing, simhash, toxicity  # noqa: F401
+from gaugeworks.llm import (  # noqa: F401
+    decontamination, language, linededup, packing, simhash, toxicity, urlfilter,
+)
 from gaugeworks.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
