@@ -26,8 +26,10 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -131,45 +133,63 @@ class Index:
         return found
 
 
-def _search(index, containment: float):
-    def run(batches):
-        held = index.value
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                near = held.candidates(shingle_hashes(text), containment)
-                own = shingle_set(text) if near else set()
-                for k in sorted(near):
-                    item, wanted = held.items[k]
-                    common = len(wanted & own)
-                    if common >= containment * len(wanted) - 1e-9:
-                        out.append((doc, item, len(wanted), common))
-            columns = zip(*out) if out else [[]] * 4
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)],
-                                             ["doc_id", "item_id", "item_shingles", "found"])
-    return run
+def _found(index: Index, text: str | None, containment: float):
+    """(item, shingles, shingles found) of the items contained in a text."""
+    near = index.candidates(shingle_hashes(text), containment)
+    own = shingle_set(text) if near else set()
+    for k in sorted(near):
+        item, wanted = index.items[k]
+        common = len(wanted & own)
+        if common >= containment * len(wanted) - 1e-9:
+            yield item, len(wanted), common
 
 
-def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, item_id, item_shingles, found) for every item (item_id, text)
-    contained in a document (doc_id, text)."""
-    spark = docs.sparkSession
+def indexes(items: DataFrame, containment: float = CONTAINMENT):
+    """Broadcast blocks of the items (item_id, text), at least one.  A block has
+    ``BLOCK_HASHES`` sketch hashes on average, by a fixed rule of the item."""
+    spark = items.sparkSession
     prepare(spark)
-    schema = "doc_id long, item_id long, item_shingles int, found int"
     sketches = (items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
                 .mapInArrow(_sketch_rows(containment), "item_id long, text string, n int, sketch array<long>"))
-    # Blocks by a fixed rule of the item, of BLOCK_HASHES hashes on average.
     total = sketches.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    blocks = -(-total // BLOCK_HASHES)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = spark.createDataFrame([], schema)
+    blocks = max(1, -(-total // BLOCK_HASHES))
     for b in range(blocks):
-        block = sketches.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(Index(sorted(block, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))))
-        part = texts.mapInArrow(_search(index, containment), schema)
-        found = part if b == 0 else found.unionByName(part)
-    return found
+        rows = sketches.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
+        yield spark.sparkContext.broadcast(Index(rows))
+
+
+def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """(doc_id, item_id, item_shingles, found) for every item (item_id, text)
+    contained in a document (doc_id, text)."""
+    def search(index):
+        def run(batches):
+            for batch in batches:
+                out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                       for hit in _found(index.value, text, containment)]
+                columns = zip(*out) if out else [[]] * 4
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)],
+                                                 ["doc_id", "item_id", "item_shingles", "found"])
+        return run
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    parts = [texts.mapInArrow(search(index), "doc_id long, item_id long, item_shingles int, found int")
+             for index in indexes(items, containment)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def without_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """The rows of ``docs`` whose text contains no item, all columns as they are."""
+    def clean(index):
+        @F.pandas_udf("boolean")
+        def free(texts: pd.Series) -> pd.Series:
+            return pd.Series([next(_found(index.value, t, containment), None) is None for t in texts], dtype=bool)
+        return free
+
+    for index in indexes(items, containment):
+        docs = docs.filter(clean(index)(F.col("text").cast("string")))
+    return docs
 
 
 @query("op5_decontamination", rf"""

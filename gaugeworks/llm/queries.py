@@ -1,7 +1,7 @@
 """All queries of the subpackage; importing the modules registers them."""
 
 from gaugeworks.llm import (  # noqa: F401
-    decontamination, language, licenses, linededup, packing, simhash, topk, toxicity, urlfilter,
+    chat, decontamination, language, licenses, linededup, packing, simhash, topk, toxicity, urlfilter,
 )
 from gaugeworks.llm.base import ORACLES, QUERIES
 

@@ -24,8 +24,9 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeworks.llm.base import WordTable, digit, prepare, query, share, staged, table
 
@@ -252,6 +253,20 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     return Model(chosen, index, base, monotone(x, y, np.array([weight[int(c)] for c in y])))
 
 
+def _judged(model: Model, texts):
+    """(score, evidence) of each text; texts alike in their terms share one."""
+    vectors, known = _vectors(model.terms), {}
+    for text in texts:
+        ids, counts = vectors.counts(text)
+        alike = (ids.tobytes(), counts.tobytes())
+        if alike not in known:
+            if len(known) >= 50_000:
+                known.clear()
+            score, near = model.score(ids, counts)
+            known[alike] = score, [{"doc_id": model.index.key[i], "cosine": c} for i, c in near[:3]]
+        yield known[alike]
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, evidence) of every document; evidence has the ids and
     cosines of the nearest examples."""
@@ -261,26 +276,27 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     def run(batches):
-        model = held.value
-        vectors, known = _vectors(model.terms), {}
         for batch in batches:
-            out, why = [], []
-            for text in batch.column(1).to_pylist():
-                ids, counts = vectors.counts(text)
-                alike = (ids.tobytes(), counts.tobytes())
-                if alike not in known:
-                    if len(known) >= 50_000:
-                        known.clear()
-                    score, near = model.score(ids, counts)
-                    known[alike] = score, [{"doc_id": model.index.key[i], "cosine": c} for i, c in near[:3]]
-                out.append(known[alike][0])
-                why.append(known[alike][1])
+            got = list(_judged(held.value, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out, pa.float64()), pa.array(why, kind)], ["doc_id", "score", "evidence"])
+                [batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], kind)],
+                ["doc_id", "score", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def score_of(text: Column, spark: SparkSession, model: Model) -> Column:
+    """The score as a column, for filters that keep the rest of the row."""
+    prepare(spark)
+    held = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([s for s, _ in _judged(held.value, texts)], dtype=float)
+
+    return score(text.cast("string"))
+
+
 def learn(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     """Learn from the labels that are not held out."""
     return fit(docs, table(spark, sf_dir, "labels").filter(digit("doc_id", 5) != 0))
