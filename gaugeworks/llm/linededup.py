@@ -9,7 +9,7 @@ id that has it, and goes from all others.
 Lines are compared without blanks at their ends; blank lines are never
 removed.  Null texts stay null, a text that loses all lines becomes empty.  A
 null site counts as none.  Rows with one id count as one document; a null id is
-never the least.  An empty table gives no rows.  Every column of the input is
+never the least, and a line that only rows without id have stays.  An empty table gives no rows.  Every column of the input is
 returned, whatever its name; only ``text`` changes.
 
 Everything is SQL functions.  Sketches combine before the shuffle, so that a

@@ -154,12 +154,10 @@ class Index:
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float]]:
     """Steps (from, value) of the weighted monotone fit of y on x."""
     blocks: list[list[float]] = []  # from, value, weight
-    for at, value, weight in sorted(zip(x.tolist(), y.tolist(), w.tolist())):
-        if blocks and blocks[-1][0] == at:
-            start, v, n = blocks.pop()
-            blocks.append([start, (v * n + value * weight) / (n + weight), n + weight])
-        else:
-            blocks.append([at, value, weight])
+    places, at = np.unique(x, return_inverse=True)
+    weights = np.bincount(at, w)
+    for start, value, weight in zip(places.tolist(), (np.bincount(at, w * y) / weights).tolist(), weights.tolist()):
+        blocks.append([start, value, weight])
         while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
             _, v, n = blocks.pop()
             start, u, m = blocks.pop()
