@@ -19,6 +19,7 @@ is the share of toxic labels, or 0 without labels.  An empty table gives none.
 from __future__ import annotations
 
 import math
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
@@ -75,13 +76,32 @@ class Vectors:
     """Term counts of a text over a fixed list of terms."""
 
     def __init__(self, terms: list[str]):
-        place = {t: i for i, t in enumerate(terms)}
+        self.place = {t: i for i, t in enumerate(terms)}
         self.size = len(terms)
-        self.table = WordTable(lambda token: np.array(
-            [place[t] for t in terms_of(token) if t in place], "<i4").tobytes())
+        # Lengths of the n-grams that begin with some four characters.
+        self.after: dict[str, list[int]] = {}
+        for t in terms:
+            if 4 <= len(t) <= 6:
+                self.after.setdefault(t[:4], []).append(len(t))
+        self.table = WordTable(self._ids)
+
+    def _ids(self, token: str) -> bytes:
+        """The places of ``terms_of(token)``."""
+        word = token.strip(_STRIP).lower()
+        if not word:
+            return b""
+        marked, place, found = "^" + word, self.place, []
+        for i in range(len(marked) - 3):
+            for n in self.after.get(marked[i:i + 4], ()):
+                gram = marked[i:i + n]
+                if len(gram) == n and gram in place:
+                    found.append(place[gram])
+        if word in place:
+            found.append(place[word])
+        return array("i", found).tobytes() if found else b""
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.frombuffer(b"".join(map(self.table.__getitem__, (text or "").split())), "<i4")
+        ids = np.frombuffer(b"".join(map(self.table.__getitem__, (text or "").split())), np.intc)
         return np.unique(ids, return_counts=True)
 
 
@@ -132,9 +152,11 @@ class Index:
         w = self.weights(ids, counts)
         bound = w @ self.largest[ids]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
+        for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-12):
                 break
+            if len(best) == k and bound[b] <= best[-1][0] + 1e-12 and b * block > best[-1][1]:
+                continue  # at most ties, and those come after the neighbours at hand
             row, dense = self.postings[b]
             cosine = w @ dense[row[ids]]
             least = best[-1][0] if len(best) == k else 0.0
@@ -239,6 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     # An example stands for so many of its class's labels.
     weight = {c: size[c] / got[c] for c in (0, 1)}
     full = [(k, c, np.array(i), np.array(n)) for k, c, i, n in vectors if i]
+    # Examples of one leading term lie together, so that blocks have few terms.
+    full.sort(key=lambda e: (int(e[2][np.argmax((1 + np.log(e[3])) * idf[e[2]])]), e[2].tolist(), e[0]))
     index = Index.build(idf, full) if full else None
     votes = [index.vote(e[2], e[3], but=i)[0] for i, e in enumerate(full)]
     empty = [c for _, c, i, _ in vectors if not i] + [e[1] for e, v in zip(full, votes) if v is None]
