@@ -48,9 +48,8 @@ def sorted_ids(ids: Column) -> Column:
 
 
 def _plain_number(value: Column) -> Column:
-    """Shortest decimal text, exact to six decimals."""
-    fixed = value.cast("decimal(18,6)").cast("string")
-    return F.regexp_replace(F.regexp_replace(fixed, r"0+\z", ""), r"\.\z", "")
+    """Shortest text that reads back to the same number."""
+    return F.regexp_replace(value.cast("double").cast("string"), r"\.0\z", "")
 
 
 def coordinates_text(points: Column) -> Column:

@@ -1,155 +1,123 @@
 """Ordered computations along each station's readings.
 
-A plain window sends all rows of a station to one task.  That is the cheapest
-plan while stations are of ordinary size, so it is kept for them.  A station
-with more rows than ``limit`` is cut along its order into range partitions
-instead: each segment is computed by itself and receives one carried row, or
-one carried total, from the segments before it.  Both give the same result.
+A station's readings are cut into segments along the first column of the order,
+at fixed values.  Each segment is computed by itself and receives one carried
+row, or one carried total, from the segments before it.  The cut depends on the
+data alone: a station with very many readings is spread over as many groups as
+it has segments, and building a query starts no job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gaugeworks.session import settle
+#: Units of the order's first column (days or hours) that a segment spans.
+SPAN = 64
 
-ROWS_PER_TASK = 20_000_000
 
+def _same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
 
-class _Whole:
-    """Each station as one window group."""
 
-    def __init__(self, keys, order):
-        self.window = Window.partitionBy(*keys).orderBy(*order)
+class Segments:
+    """Rows of ``keys`` in ``order``, as consecutive segments."""
 
-    def previous(self, df: DataFrame, columns: list[str], out: str) -> DataFrame:
-        return df.withColumn(out, F.lag(F.struct(*columns)).over(self.window))
-
-    def running(self, df: DataFrame, column: str, out: str) -> DataFrame:
-        upto = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, F.sum(column).over(upto))
-
-
-class _Segmented:
-    """Each station as consecutive segments, numbered by ``_segment``."""
-
-    def __init__(self, keys, order):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], span: int = SPAN):
+        # Nulls come first in the order.
+        cut = F.coalesce(F.floor(F.col(order[0]) / F.lit(span)), F.lit(-(1 << 62)))
+        self.df = df.withColumn("_segment", cut)
         self.keys, self.order = list(keys), list(order)
-        self.group = ["_segment", *self.keys]
+        self.group = [*self.keys, "_segment"]
         self.window = Window.partitionBy(*self.group).orderBy(*self.order)
-        # One row per segment of a station, so a group here is as long as the
-        # number of partitions.
         self.segments = Window.partitionBy(*self.keys).orderBy("_segment")
 
-    def previous(self, df: DataFrame, columns: list[str], out: str) -> DataFrame:
+    def _carry(self, small: DataFrame) -> DataFrame:
+        """Bring one row per segment to the segment's rows."""
+        names = {c: f"_of_{c}" for c in self.group}
+        return self.df.join(
+            small.withColumnsRenamed(names),
+            reduce(Column.__and__, (_same(c, n) for c, n in names.items())),
+        ).drop(*names.values())
+
+    def previous(self, columns: list[str], out: str) -> None:
+        """Add the row before each, over segment bounds, as a struct."""
         values = F.struct(*columns)
         carried = (
-            df.groupBy(*self.group)
+            self.df.groupBy(*self.group)
             .agg(F.max_by(values, F.struct(*self.order)).alias("_last"))
-            .withColumn("_carried", F.lag("_last").over(self.segments))
-            .drop("_last")
+            .select(*self.group, F.lag("_last").over(self.segments).alias("_carried"))
         )
-        return (
-            df.withColumn("_inner", F.lag(values).over(self.window))
-            .join(carried, self.group)
-            .withColumn(out, F.coalesce("_inner", "_carried"))
-            .drop("_inner", "_carried")
+        self.df = self.df.withColumn("_inner", F.lag(values).over(self.window))
+        self.df = (
+            self._carry(carried)
+            .withColumn(out, F.coalesce("_inner", "_carried")).drop("_inner", "_carried")
         )
 
-    def running(self, df: DataFrame, column: str, out: str) -> DataFrame:
+    def running(self, sums: dict[str, str]) -> None:
+        """Add running sums, as a map of column to its sum's name."""
         before = self.segments.rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            df.groupBy(*self.group)
-            .agg(F.sum(column).alias("_total"))
-            .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-            .drop("_total")
-        )
+        totals = self.df.groupBy(*self.group).agg(*(F.sum(c).alias(f"_total_{c}") for c in sums))
+        offsets = totals.select(*self.group, *(
+            F.coalesce(F.sum(f"_total_{c}").over(before), F.lit(0)).alias(f"_offset_{c}") for c in sums))
         upto = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return (
-            df.withColumn("_inner", F.sum(column).over(upto))
-            .join(carried, self.group)
-            .withColumn(out, F.col("_inner") + F.col("_offset"))
-            .drop("_inner", "_offset")
-        )
-
+        self.df = self.df.withColumns({f"_inner_{c}": F.sum(c).over(upto) for c in sums})
+        self.df = self._carry(offsets).withColumns(
+            {out: F.col(f"_inner_{c}") + F.col(f"_offset_{c}") for c, out in sums.items()}
+        ).drop(*(f"{part}_{c}" for c in sums for part in ("_inner", "_offset")))
 
-def _cut(df: DataFrame, keys, order) -> DataFrame:
-    """Number the range partitions and fix them, so that every use sees the same cut."""
-    ranged = df.repartitionByRange(*keys, *order)
-    return settle(ranged.withColumn("_segment", F.spark_partition_id()))
+    def done(self) -> DataFrame:
+        return self.df.drop("_segment")
 
 
-def over_series(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    build: Callable[[_Whole | _Segmented, DataFrame], DataFrame],
-    limit: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Run ``build`` over whole stations, and over segments of oversized ones."""
-    oversized = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-    whole = _Whole(keys, order)
-    if oversized.isEmpty():
-        return build(whole, df)
-    small = build(whole, df.join(oversized, keys, "left_anti"))
-    large = _cut(df.join(oversized, keys, "left_semi"), keys, order)
-    return small.unionByName(build(_Segmented(keys, order), large).drop("_segment"))
+def _ordered(columns: list[str], order: list[str]) -> tuple[list[str], list[str]]:
+    """The order by names that do not change, and which of its columns do."""
+    clash = [c for c in order if c in columns]
+    return [f"_by_{c}" if c in clash else c for c in order], clash
 
 
 def delta_columns(
-    obs: DataFrame, columns: list[str], order: list[str], keys=("station_id",),
-    limit: int = ROWS_PER_TASK,
+    obs: DataFrame, columns: list[str], order: list[str], keys=("station_id",), span: int = SPAN,
 ) -> DataFrame:
     """Replace each column by its change from the reading before; the first keeps its value."""
-    def build(series, df):
-        df = series.previous(df, columns, "_before")
-        for name in columns:
-            df = df.withColumn(
-                f"d_{name}", F.col(name) - F.coalesce(F.col(f"_before.{name}"), F.lit(0))
-            )
-        return df.drop("_before", *columns)
-
-    # The order may name a column that is replaced.
-    kept = obs
-    clash = [c for c in order if c in columns]
-    for name in clash:
-        kept = kept.withColumn(f"_by_{name}", F.col(name))
-    by = [f"_by_{c}" if c in clash else c for c in order]
-    return over_series(kept, list(keys), by, build, limit)
+    by, clash = _ordered(columns, order)
+    kept = obs.withColumns({f"_by_{c}": F.col(c) for c in clash}) if clash else obs
+    rows = Segments(kept, list(keys), by, span)
+    rows.previous(columns, "_before")
+    return rows.done().withColumns({
+        f"d_{c}": F.col(c) - F.coalesce(F.col(f"_before.{c}"), F.lit(0)) for c in columns
+    }).drop("_before", *columns)
 
 
 def undo_delta(
-    deltas: DataFrame, columns: list[str], order: list[str], keys=("station_id",),
-    limit: int = ROWS_PER_TASK,
+    deltas: DataFrame, columns: list[str], order: list[str], keys=("station_id",), span: int = SPAN,
 ) -> DataFrame:
     """Rebuild the values that ``delta_columns`` replaced."""
-    def build(series, df):
-        for name in columns:
-            df = series.running(df, f"d_{name}", name)
-        return df.drop(*(f"d_{c}" for c in columns))
+    by, clash = _ordered(columns, order)
+    rows = Segments(deltas, list(keys), by, span)
+    rows.running({f"d_{c}": c for c in columns})
+    return rows.done().drop(*(f"d_{c}" for c in columns), *(f"_by_{c}" for c in clash))
 
-    clash = [c for c in order if c in columns]
-    by = [f"_by_{c}" if c in clash else c for c in order]
-    rebuilt = over_series(deltas, list(keys), by, build, limit)
-    return rebuilt.drop(*(f"_by_{c}" for c in clash))
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, span: int = SPAN) -> DataFrame:
+    """Number the rows of each key in order, from 1."""
+    rows = Segments(df.withColumn("_one", F.lit(1)), keys, order, span)
+    rows.running({"_one": out})
+    return rows.done().drop("_one")
 
 
 def value_runs(
-    obs: DataFrame, column: str, order: list[str], keys=("station_id",),
-    limit: int = ROWS_PER_TASK,
+    obs: DataFrame, column: str, order: list[str], keys=("station_id",), span: int = SPAN,
 ) -> DataFrame:
     """Runs of equal values along the order as ``(run_no, value, run_length)``."""
-    def build(series, df):
-        df = series.previous(df, [column], "_before")
-        same = F.col("_before").isNotNull() & (F.col(f"_before.{column}") == F.col(column))
-        df = df.withColumn("_start", F.when(same, 0).otherwise(1)).drop("_before")
-        return series.running(df, "_start", "run_no").drop("_start")
-
     narrow = obs.select(*dict.fromkeys([*keys, *order, column]))
+    rows = Segments(narrow, list(keys), order, span)
+    rows.previous([column], "_before")
+    same = F.col("_before").isNotNull() & (F.col(f"_before.{column}") == F.col(column))
+    rows.df = rows.df.withColumn("_start", F.when(same, 0).otherwise(1)).drop("_before")
+    rows.running({"_start": "run_no"})
     return (
-        over_series(narrow, list(keys), order, build, limit)
-        .groupBy(*keys, "run_no")
+        rows.done().groupBy(*keys, "run_no")
         .agg(F.max(column).alias("value"), F.count("*").alias("run_length"))
     )

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gaugeworks.functions.texts import RETRYABLE_TEXTS
 from gaugeworks.schemas import DAILY_MEASURES, HOURLY_MEASURES
 from gaugeworks.session import scratch
-from gaugeworks.sources.store import size_of
 
 _SHIPPED = "cast(l_shipdate AS string)"
 _TS = "cast(ts AS string)"
@@ -94,10 +94,8 @@ FETCH_LOG = f"""
   CASE event_id % 7 WHEN 0 THEN 200 WHEN 1 THEN 400 WHEN 2 THEN 401 WHEN 3 THEN 429
     WHEN 4 THEN 500 WHEN 5 THEN 503 ELSE 0 END AS status_code,
   CASE WHEN event_type = 'error' THEN
-    CASE event_id % 8 WHEN 0 THEN 'connection timeout' WHEN 1 THEN 'connection refused'
-      WHEN 2 THEN 'connection reset by peer' WHEN 3 THEN 'unexpected EOF'
-      WHEN 4 THEN 'broken pipe' WHEN 5 THEN 'dial tcp: no such host'
-      WHEN 6 THEN 'some other error' ELSE 'TIMEOUT' END END AS error,
+    CASE event_id % 8 {" ".join(f"WHEN {i} THEN 'request: {t}'" for i, t in enumerate(RETRYABLE_TEXTS))}
+      ELSE 'request: gave up' END END AS error,
   event_id % 11 AS dns_ms, event_id % 13 AS tcp_ms, event_id % 17 AS tls_ms,
   event_id % 101 AS ttfb_ms, event_id % 7 AS read_ms, event_id % 23 AS decode_ms,
   event_id % 5 AS write_ms, event_id % 997 AS total_ms,
@@ -113,34 +111,12 @@ OPS_LOG = """
 """
 
 
-# Input a reader splits into about one task.
-_SPLIT_BYTES = 128 << 20
-
-
-# Columns that scatter the rows of the spread tables evenly.
-_ROW_KEYS = {
-    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey"),
-    "events": ("event_id",),
-    "supplier": ("s_suppkey",),
-}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table over all cores.  A file of one row group is a single task however
-    small the rest of its work is; larger inputs have splits enough of their own."""
-    path = f"{sf}/{name}.parquet"
-    cores = spark.sparkContext.defaultParallelism
-    if size_of(spark, path) >= cores * _SPLIT_BYTES:
-        return table(spark, sf, name)
-    return table(spark, sf, name).repartition(cores, *_ROW_KEYS[name])
-
-
 def _shaped(spark: SparkSession, sf: str, name: str, columns: str) -> DataFrame:
-    return spark.sql(f"SELECT {columns} FROM {{source}}", source=spread(spark, sf, name))
+    return spark.sql(f"SELECT {columns} FROM {{source}}", source=table(spark, sf, name))
 
 
 def daily_texts(spark: SparkSession, sf: str) -> DataFrame:

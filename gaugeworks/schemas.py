@@ -131,7 +131,8 @@ CATALOG = (
     "station_id INT, year INT, row_count BIGINT, min_ts INT, max_ts INT, "
     "file_count BIGINT, stored_bytes DOUBLE, data_type STRING, ingest_id STRING"
 )
+CHECKSUM = "decimal(38,0)"
 FILES = (
     "station_id INT, year INT, file STRING, file_size BIGINT, row_count BIGINT, "
-    "min_ts INT, max_ts INT, checksum BIGINT, data_type STRING, ingest_id STRING"
+    f"min_ts INT, max_ts INT, checksum {CHECKSUM}, data_type STRING, ingest_id STRING"
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeworks.functions import dates
-from gaugeworks.operators.series import over_series
+from gaugeworks.operators.series import numbered
 from gaugeworks.schemas import RECORD_WIDTH
 
 # Field, byte width and signedness, in record order.
@@ -57,10 +57,7 @@ def pack_blocks(obs: DataFrame, kind: str, order: list[str], rows: int = 4096) -
     """Records of each station in order, joined into payloads of at most ``rows``."""
     packed = obs.where(fits(kind)).select("station_id", *order, _record_text(kind).alias("_text"))
 
-    def number(series, df):
-        return series.running(df.withColumn("_one", F.lit(1)), "_one", "_position")
-
-    placed = over_series(packed, ["station_id"], order, number)
+    placed = numbered(packed, ["station_id"], order, "_position")
     item = F.struct("_position", "_text")
     joined = F.array_join(F.transform("_items", lambda i: i["_text"]), "")
     return (

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeworks.functions.dates import time_of
-from gaugeworks.schemas import CATALOG, FILES, OBS_COLUMNS, STORED, TIME_COLUMN
+from gaugeworks.schemas import CATALOG, CHECKSUM, FILES, OBS_COLUMNS, STORED, TIME_COLUMN
 
 STATIONS_PER_GROUP = 256
 CHUNK_KEY = ("station_id", "year", "data_type")
@@ -65,8 +65,9 @@ def write_obs(obs: DataFrame, root: str, kind: str, ingest_id: str, level: int |
     writer.parquet(_folder(root, kind, ingest_id))
 
 
-def read_obs(spark: SparkSession, root: str, kind: str, tolerant: bool = True) -> DataFrame:
-    """Stored rows; a damaged or vanished file is skipped unless ``tolerant`` is off."""
+def read_obs(spark: SparkSession, root: str, kind: str, tolerant: bool = False) -> DataFrame:
+    """Stored rows.  A damaged or vanished file ends the query, unless it is asked
+    to be skipped; ``integrity.skipped_files`` then names what was left out."""
     folder = _folder(root, kind)
     if exists(spark, folder):
         stored = _scan(spark, folder, kind, tolerant)
@@ -75,7 +76,7 @@ def read_obs(spark: SparkSession, root: str, kind: str, tolerant: bool = True) -
     return stored.withColumn(TIME_COLUMN[kind], time_of(F.col("ts"), kind))
 
 
-def _scan(spark: SparkSession, folder: str, kind: str, tolerant: bool = True) -> DataFrame:
+def _scan(spark: SparkSession, folder: str, kind: str, tolerant: bool) -> DataFrame:
     return (
         spark.read.schema(STORED[kind])
         .option("basePath", folder)
@@ -89,11 +90,17 @@ def _below_root(path: Column) -> Column:
     return F.regexp_extract(path, r"(data_type=.*)\z", 1)
 
 
-def chunk_files(spark: SparkSession, root: str, kind: str, ingest_id: str | None = None) -> DataFrame:
-    """Rows and checksum that each file holds of each station-year, read back."""
+def chunk_files(
+    spark: SparkSession, root: str, kind: str, ingest_id: str | None = None, tolerant: bool = False,
+) -> DataFrame:
+    """Rows and checksum that each file holds of each station-year, read back.
+
+    The checksum is a sum, whatever the order of rows: equal rows add up rather
+    than cancel, and checksums of chunks add up to a file's.
+    """
     if not exists(spark, _folder(root, kind)):
         return spark.createDataFrame([], FILES)
-    stored = _scan(spark, _folder(root, kind), kind)
+    stored = _scan(spark, _folder(root, kind), kind, tolerant)
     if ingest_id is not None:
         stored = stored.where(F.col("ingest_id") == ingest_id)
     return stored.groupBy(
@@ -104,7 +111,7 @@ def chunk_files(spark: SparkSession, root: str, kind: str, ingest_id: str | None
         F.count("*").alias("row_count"),
         F.min("ts").alias("min_ts"),
         F.max("ts").alias("max_ts"),
-        F.bit_xor(F.xxhash64(*_STORED_COLUMNS[kind])).alias("checksum"),
+        F.sum(F.xxhash64(*_STORED_COLUMNS[kind]).cast("decimal(20,0)")).cast(CHECKSUM).alias("checksum"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gaugeworks.functions import dates
 from gaugeworks.operators.convert import convert_daily_strict, minimal
 from gaugeworks.schemas import DAILY_COLUMNS, LANDED
-from gaugeworks.session import scratch
+from gaugeworks.session import discard, scratch
 from gaugeworks.sources import store
 from gaugeworks.sources.responses import strict_records
 
@@ -81,14 +81,19 @@ def ingest_batch(
     strict_records(landed, *_REQUEST).write.parquet(stage)
     records = spark.read.parquet(stage)
     rows = convert_daily_strict(minimal(records.where(F.col("Date").isNotNull())), _REQUEST)
+    others = store.read_catalog(spark, root).where(F.col("ingest_id") != ingest_id)
+    fresh = pending_rows(of_whole_requests(rows, records), others)
     if not dry_run:
-        others = store.read_catalog(spark, root).where(F.col("ingest_id") != ingest_id)
-        fresh = pending_rows(of_whole_requests(rows, records), others)
         store.write_obs(fresh.select(*DAILY_COLUMNS), root, "daily", ingest_id)
         store.write_catalog(spark, root, "daily", ingest_id)
-    log = scan_outcomes(records, "request_id", "station_id")
-    log.withColumn("success", F.col("error").isNull()).write.mode("overwrite").parquet(
-        f"{root}/fetch_log/ingest_id={ingest_id}")
+    # A request whose station-years were stored before succeeds with no records.
+    taken = fresh.groupBy("request_id").agg(F.count("*").alias("taken"))
+    log = scan_outcomes(records, "request_id", "station_id").join(taken, "request_id", "left")
+    log.select(
+        "request_id", "station_id", F.coalesce("taken", F.lit(0)).alias("records"), "error",
+        F.col("error").isNull().alias("success"),
+    ).write.mode("overwrite").parquet(f"{root}/fetch_log/ingest_id={ingest_id}")
+    discard(spark, stage)
 
 
 def ingest_stream(

@@ -35,12 +35,12 @@ def test_normalize_date(spark):
 
 
 def test_lenient_parts(spark):
-    texts_ = [
-        "2024-01-15", "1985-01-01", "2099-12-31", "", "short", "2024/01/15", "20240115xx",
-        "1984-01-01", "2101-01-01", "2024-13-01", "2024-00-01", "2024-01-00", "2024-01-32",
-    ]
-    got = [tuple(p) if p else None for p in rows(spark, texts_, dates.lenient_parts(X))]
-    assert got == [(2024, 1, 15), (1985, 1, 1), (2099, 12, 31)] + [None] * 10
+    taken = {"2100-07-31": (2100, 7, 31), "1999-02-28": (1999, 2, 28), "1985-10-09": (1985, 10, 9)}
+    # out of bounds by year, month or day; wrong marks; too short or too long by kind
+    refused = ["1970-05-05", "2150-05-05", "2001-14-05", "2001-00-05", "2001-05-40", "2001-05-00",
+               "2001.05.05", "20010505", " ", "5"]
+    got = [tuple(p) if p else None for p in rows(spark, [*taken, *refused], dates.lenient_parts(X))]
+    assert got == list(taken.values()) + [None] * len(refused)
 
 
 def test_lenient_date_rolls_over_and_falls_back(spark):
@@ -114,14 +114,14 @@ def test_format_measure(spark):
 
 def test_station_list(spark):
     cases = {
-        "2": [2], "100": [100], "2,5,10": [2, 5, 10], " 2 , 5 , 10 ": [2, 5, 10],
-        "1-5": [1, 2, 3, 4, 5], "2,5-7,10": [2, 5, 6, 7, 10], "7-5": [], "+3": [3],
-        "abc": None, "1-2-3": None, "1-abc": None, "abc-5": None, "": None, "1,,2": None, "-5": None,
+        "44": [44], "7,3": [7, 3], "  8,9  ": [8, 9], "11-13": [11, 12, 13], "20-20,4": [20, 4],
+        "30,1-2,31": [30, 1, 2, 31], "9-8": [], "+6": [6],
+        "six": None, "4-5-6": None, "4-x": None, "x-4": None, " ": None, "4,,5": None, "4,": None, "-4": None,
     }
     assert rows(spark, list(cases), texts.station_list(X)) == list(cases.values())
 
 
-@pytest.mark.parametrize("ids", [[1, 2, 3], [3, 2, 1], [5, 1, 3, 2, 4], [1], [], [3, 1, 3, 2]])
+@pytest.mark.parametrize("ids", [[], [9], [40, 7], [7, 40, 7, 8], list(range(20, 0, -1))])
 def test_sorted_ids(spark, ids):
     assert rows(spark, [ids], texts.sorted_ids(X), "x array<bigint>") == [sorted(ids)]
 
@@ -135,15 +135,18 @@ def test_target_texts(spark):
         "addr-name=a,addr=1 First St;addr-name=b,addr=2 Second St"]
 
 
+def test_coordinates_keep_all_digits(spark):
+    points = [[(34.1234567, -118.00000012), (-0.5, 7.0)]]
+    assert rows(spark, points, texts.coordinates_text(X), "x array<struct<lat:double,lng:double>>") == [
+        "lat=34.1234567,lng=-118.00000012;lat=-0.5,lng=7"]
+
+
 def test_retry_class(spark):
     cases = [
-        (None, 0, None), ("bad request", 400, False), ("unauthorized", 401, False),
-        ("forbidden", 403, False), ("not found", 404, False), ("rate limited", 429, True),
-        ("server error", 500, True), ("bad gateway", 502, True), ("unavailable", 503, True),
-        ("connection timeout", 0, True), ("connection refused", 0, True),
-        ("connection reset by peer", 0, True), ("unexpected EOF", 0, True),
-        ("broken pipe", 0, True), ("dial tcp: no such host", 0, True),
-        ("some other error", 0, False), ("TIMEOUT", 0, False),
+        ("refused by the gate", 418, False), ("slow down", 429, True), ("upstream fell over", 504, True),
+        (None, 500, None), (None, 0, None), ("no status and no known text", 0, False),
+        *((f"while reading: {marker} (attempt 2)", 0, True) for marker in texts.RETRYABLE_TEXTS),
+        *((marker.swapcase(), 0, False) for marker in texts.RETRYABLE_TEXTS),
     ]
     frame = spark.createDataFrame([(i, e, s) for i, (e, s, _) in enumerate(cases)], "i int, e string, s int")
     got = frame.select("i", texts.should_retry(F.col("e"), F.col("s")).alias("r")).orderBy("i").collect()

@@ -1,4 +1,4 @@
-"""Ordered computations: whole stations and segments give the same rows."""
+"""Ordered computations: segments of any span give the rows of whole stations."""
 
 import random
 
@@ -27,10 +27,10 @@ def brute(readings):
     return ordered
 
 
-@pytest.mark.parametrize("limit", [10 ** 9, 1000, 10])
-def test_delta_and_back(spark, readings, limit):
+@pytest.mark.parametrize("span", [10 ** 9, 64, 1])
+def test_delta_and_back(spark, readings, span):
     order = ["ts", "id"]
-    deltas = series.delta_columns(readings, ["temperature"], order, limit=limit)
+    deltas = series.delta_columns(readings, ["temperature"], order, span=span)
     expected = {}
     for rows in brute(readings).values():
         before = 0
@@ -38,14 +38,14 @@ def test_delta_and_back(spark, readings, limit):
             expected[r["id"]] = r["temperature"] - before
             before = r["temperature"]
     assert {r["id"]: r["d_temperature"] for r in deltas.collect()} == expected
-    back = series.undo_delta(deltas, ["temperature"], order, limit=limit)
+    back = series.undo_delta(deltas, ["temperature"], order, span=span)
     assert {r["id"]: r["temperature"] for r in back.collect()} == {
         r["id"]: r["temperature"] for r in readings.collect()}
 
 
-@pytest.mark.parametrize("limit", [10 ** 9, 1000, 10])
-def test_runs(spark, readings, limit):
-    got = series.value_runs(readings, "qc_flags", ["ts", "id"], limit=limit).collect()
+@pytest.mark.parametrize("span", [10 ** 9, 64, 1])
+def test_runs(spark, readings, span):
+    got = series.value_runs(readings, "qc_flags", ["ts", "id"], span=span).collect()
     expected = set()
     for station, rows in brute(readings).items():
         runs = []
@@ -121,9 +121,34 @@ def test_rows_out_of_width_are_not_packed(spark):
     assert fixedwidth.pack(wide, "daily").where("record is not null").isEmpty()
 
 
-@pytest.mark.parametrize("limit", [10 ** 9, 100])
-def test_blocks_keep_order_and_bound(spark, readings, limit, monkeypatch):
-    monkeypatch.setattr(series.over_series, "__defaults__", (limit,))
+def test_building_starts_no_job(spark, readings):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job may run")
+    deltas = series.delta_columns(readings, ["temperature"], ["ts", "id"])
+    series.undo_delta(deltas, ["temperature"], ["ts", "id"])
+    series.value_runs(readings, "qc_flags", ["ts", "id"])
+    jobs = tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("tests", "")
+    assert list(jobs) == []
+
+
+def test_a_hot_station_is_cut(spark, readings):
+    """No group has more than the readings of a segment, whatever the station has."""
+    rows = series.Segments(readings, ["station_id"], ["ts", "id"], 10)
+    largest = rows.df.groupBy(*rows.group).count().agg(F.max("count")).first()[0]
+    whole = readings.groupBy("station_id").count().agg(F.max("count")).first()[0]
+    assert largest * 10 < whole
+
+
+def test_null_keys_and_times(spark):
+    rows = [(None, None, 1), (None, 5, 2), (None, 500, 4), (1, None, 8), (1, 70, 16)]
+    frame = spark.createDataFrame(rows, "station_id int, ts int, v int")
+    got = series.delta_columns(frame, ["v"], ["ts", "v"]).select("station_id", "ts", "d_v").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [
+        (None, None, 1), (None, 5, 1), (None, 500, 2), (1, None, 8), (1, 70, 8)]))
+
+
+def test_blocks_keep_order_and_bound(spark, readings):
     rows = readings.select(
         "station_id", "ts", "id", "temperature", F.lit(1).alias("et"), F.lit(2).alias("wind_speed"),
         F.lit(3).alias("humidity"), F.lit(4).alias("solar_radiation"), "qc_flags")
