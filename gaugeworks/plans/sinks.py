@@ -167,6 +167,17 @@ def pack_daily(spark, sf):
     return packed.select(*DAILY_COLUMNS, F.hex("record").alias("record"))
 
 
+_MISFIT = " ".join(
+    f"WHEN NOT coalesce({name} BETWEEN {low} AND {high}, false) THEN '{name}'"
+    for name, (low, high) in ((n, fixedwidth.bounds(w, s)) for n, w, s in fixedwidth.LAYOUT["daily"]))
+
+
+@query("pack_rejects", f"""{C.daily()}
+SELECT {C.DAILY_COLUMNS}, CASE {_MISFIT} END AS field FROM obs WHERE CASE {_MISFIT} END IS NOT NULL""")
+def pack_rejects(spark, sf):
+    return fixedwidth.rejects(daily_obs(spark, sf), "daily").select(*DAILY_COLUMNS, "field")
+
+
 @query("pack_hourly", f"{C.hourly()} SELECT {C.HOURLY_COLUMNS}, {_HOURLY_HEX} AS record FROM obs")
 def pack_hourly(spark, sf):
     packed = fixedwidth.pack(hourly_obs(spark, sf), "hourly")

@@ -24,14 +24,28 @@ LAYOUT = {
 }
 
 
+def bounds(width: int, signed: bool) -> tuple[int, int]:
+    """Least and largest number of a field."""
+    span = 1 << (8 * width)
+    return (-span // 2, span // 2 - 1) if signed else (0, span - 1)
+
+
+def misfit(kind: str) -> Column:
+    """The first field that is missing or does not fit its width, or null."""
+    return F.coalesce(*(
+        F.when(~F.coalesce(F.col(name).between(*bounds(width, signed)), F.lit(False)), F.lit(name))
+        for name, width, signed in LAYOUT[kind]
+    ))
+
+
 def fits(kind: str) -> Column:
     """Does every field of the row fit its width?"""
-    inside = F.lit(True)
-    for name, width, signed in LAYOUT[kind]:
-        span = 1 << (8 * width)
-        low, high = (-span // 2, span // 2 - 1) if signed else (0, span - 1)
-        inside = inside & F.col(name).between(low, high)
-    return inside
+    return misfit(kind).isNull()
+
+
+def rejects(obs: DataFrame, kind: str) -> DataFrame:
+    """Rows that no record can hold, with the first field that does not fit."""
+    return obs.withColumn("field", misfit(kind)).where(F.col("field").isNotNull())
 
 
 # One character per byte, so that texts stand for bytes until the last step.

@@ -119,6 +119,11 @@ def test_rows_out_of_width_are_not_packed(spark):
     frame, _, _ = packed_rows(spark, "daily")
     wide = frame.withColumn("solar_radiation", F.lit(256))
     assert fixedwidth.pack(wide, "daily").where("record is not null").isEmpty()
+    refused = fixedwidth.rejects(wide, "daily")
+    assert refused.count() == frame.count() and refused.select("field").distinct().first()[0] == "solar_radiation"
+    assert fixedwidth.rejects(frame, "daily").isEmpty()
+    missing = frame.withColumn("et", F.lit(None).cast("int"))
+    assert fixedwidth.rejects(missing, "daily").first()["field"] == "et"
 
 
 def test_building_starts_no_job(spark, readings):
