@@ -213,7 +213,9 @@ def landed_path(spark: SparkSession, sf: str, name: str, build) -> str:
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _LANDED:
         path = scratch(spark, f"landed-{name}")
-        build(spark, sf).write.option("compression", "zstd").parquet(path)
+        # Row groups small enough that a scan of the copy is many tasks.
+        build(spark, sf).write.option("compression", "zstd").option(
+            "parquet.block.size", 8 << 20).parquet(path)
         _LANDED[key] = path
     return _LANDED[key]
 
