@@ -18,6 +18,16 @@ from gaugeworks.session import scratch
 _SHIPPED = "cast(l_shipdate AS string)"
 _TS = "cast(ts AS string)"
 
+# A page holds the readings of one station, month and half of an order's lines,
+# out of so many orders; this bounds it however busy the station is.
+ORDERS_PER_PAGE = 100_000
+_HALF = "CASE WHEN l_linenumber <= 4 THEN 'a' ELSE 'b' END"
+_ASKED = f"concat('-', cast(cast(l_suppkey AS int) AS string), '-', substr({_SHIPPED}, 1, 4))"
+_PAGE_NUMBER = (
+    f"(cast(substr({_SHIPPED}, 1, 4) AS int) * 12 + cast(substr({_SHIPPED}, 6, 2) AS int)"
+    " + cast(l_suppkey AS int) + CASE WHEN l_linenumber <= 4 THEN 0 ELSE 5 END)"
+)
+
 DAILY = f"""
   cast(l_suppkey AS int) AS station_id,
   l_orderkey AS src_order, l_linenumber AS src_line, l_partkey AS src_part,
@@ -44,11 +54,14 @@ DAILY = f"""
   lpad(cast(l_suppkey % 97 AS string), 5, '0') AS zip,
   concat('lat=', cast(30 + l_suppkey % 10 AS string), '.25,lng=-', cast(110 + l_suppkey % 7 AS string), '.5') AS coord,
   concat(cast(100 + l_suppkey % 50 AS string), ' Main Street') AS addr,
-  CASE WHEN l_linestatus = 'F' THEN 'station' ELSE 'spatial' END AS kind,
+  CASE WHEN l_linenumber % 2 = 1 THEN 'station' ELSE 'spatial' END AS kind,
+  {_HALF} AS half, {_ASKED} AS asked,
+  concat({_HALF}, {_ASKED}, substr({_SHIPPED}, 5, 3), '-',
+    cast(cast(floor(l_orderkey / {ORDERS_PER_PAGE}) AS int) AS string)) AS page,
   CASE WHEN l_suppkey % 5 <> 0 THEN NULL
-    WHEN l_orderkey % 211 = 0 THEN 'truncated'
-    WHEN l_orderkey % 211 = 1 THEN 'no providers'
-    WHEN l_orderkey % 211 = 2 THEN 'failed' END AS fault
+    WHEN {_PAGE_NUMBER} % 29 = 0 THEN 'truncated'
+    WHEN {_PAGE_NUMBER} % 29 = 1 THEN 'no providers'
+    WHEN {_PAGE_NUMBER} % 29 = 2 THEN 'failed' END AS fault
 """
 
 _HH = f"substr({_TS}, 12, 2)"
@@ -180,16 +193,13 @@ def hourly_raw(spark: SparkSession, sf: str) -> DataFrame:
     return hourly_texts(spark, sf).select("station_id", "src_event", *_hourly_fields())
 
 
-def _body(fields, kind):
-    """A response body of one provider with a record and one without."""
-    records = F.array(F.struct(*fields))
+def _body(first, second):
+    """A response body of a station provider and a spatial one with these records."""
     provider = lambda name, kind, rows: F.struct(
-        F.lit(name).alias("Name"), kind.alias("Type"), F.lit("owner").alias("Owner"),
+        F.lit(name).alias("Name"), F.lit(kind).alias("Type"), F.lit("owner").alias("Owner"),
         rows.alias("Records"))
     providers = F.array(
-        provider("first", kind, records),
-        provider("second", F.lit("spatial"), F.slice(records, 1, 0)),
-    )
+        provider("first", "station", first), provider("second", "spatial", second))
     return F.to_json(F.struct(F.struct(providers.alias("Providers")).alias("Data")))
 
 
@@ -221,38 +231,44 @@ def landed_path(spark: SparkSession, sf: str, name: str, build) -> str:
 
 
 def build_daily_landed(spark: SparkSession, sf: str) -> DataFrame:
-    """One landed response line per reading.
+    """One landed response line per page, with the records of both providers.
 
-    A reading is a page of its request rather than a request a row: gathering
-    all readings of a station into one body would put a busy station in one task.
+    A request has many bounded pages: gathering all readings of a station into
+    one body would put a busy station in one task.
     """
-    fault = F.col("fault")
-    whole = _body(_daily_fields(), F.col("kind"))
-    request = F.concat(
-        F.when(fault.isNotNull() | F.col("tmp_v").isin("", "abc", " 5"), "x")
-        .when(F.col("src_line") <= 4, "a").otherwise("b"),
-        F.lit("-"), F.col("station_id").cast("string"),
-        F.lit("-"), F.substring("day_text", 1, 4),
+    record, value = F.struct(*_daily_fields()), F.col("tmp_v")
+    pages = (
+        daily_texts(spark, sf)
+        .withColumn("record", record)
+        .groupBy("page", "half", "asked", "station_id", "fault")
+        .agg(
+            F.collect_list(F.when(F.col("kind") == "station", F.col("record"))).alias("first"),
+            F.collect_list(F.when(F.col("kind") == "spatial", F.col("record"))).alias("second"),
+            F.bool_or(value.isNotNull() & value.isin("", "abc", " 5")).alias("unreadable"),
+        )
     )
-    return daily_texts(spark, sf).select(
-        request.alias("request_id"),
-        F.when(request.startswith("x"), 0).when(request.startswith("a"), 1)
-        .otherwise(2).cast("bigint").alias("landed_seq"),
+    fault = F.col("fault")
+    half = F.when(fault.isNotNull() | F.col("unreadable"), "x").otherwise(F.col("half"))
+    return pages.select(
+        F.concat(half, "asked").alias("request_id"),
+        F.when(half == "x", 0).when(half == "a", 1).otherwise(2).cast("bigint").alias("landed_seq"),
         "station_id",
         F.when(fault == "failed", "status 502").alias("error"),
         F.when(fault == "failed", F.lit(None).cast("string"))
         .when(fault == "truncated", F.expr("'{\"Data\":{\"Providers\":[{\"Name\":'"))
         .when(fault == "no providers", F.lit('{"Data":{}}'))
-        .otherwise(whole).alias("body"),
+        .otherwise(_body(F.col("first"), F.col("second"))).alias("body"),
     )
 
 
 def build_hourly_landed(spark: SparkSession, sf: str) -> DataFrame:
+    """One landed response line per reading."""
+    records = F.array(F.struct(*_hourly_fields()))
     return hourly_texts(spark, sf).select(
         F.col("src_event").cast("string").alias("request_id"),
         F.col("src_event").alias("landed_seq"), "station_id",
         F.lit(None).cast("string").alias("error"),
-        _body(_hourly_fields(), F.lit("station")).alias("body"),
+        _body(records, F.slice(records, 1, 0)).alias("body"),
     )
 
 

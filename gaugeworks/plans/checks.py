@@ -55,7 +55,12 @@ def hour(text: str) -> str:
 
 EPOCH = "DATE '1985-01-01'"
 
-RAW_DAILY = f"raw AS (SELECT {adapters.DAILY} FROM lineitem)"
+# One value that is no number refuses every record of its page.
+RAW_DAILY = f"""raw AS (SELECT *,
+  CASE WHEN fault = 'failed' THEN 'status 502' WHEN fault = 'truncated' THEN 'malformed body'
+    WHEN fault = 'no providers' THEN 'no providers'
+    WHEN bool_or(tmp_v IN ('', 'abc', ' 5')) OVER (PARTITION BY page) THEN 'value is not a number'
+    END AS reject FROM (SELECT {adapters.DAILY} FROM lineitem))"""
 RAW_HOURLY = f"raw AS (SELECT {adapters.HOURLY} FROM events)"
 
 
@@ -109,8 +114,3 @@ HOURLY_COLUMNS = (
     "station_id, year, ts, obs_ts, temperature, et, wind_speed, wind_direction, "
     "humidity, solar_radiation, precipitation, vapor_pressure, qc_flags"
 )
-REJECT = (
-    "CASE WHEN fault = 'failed' THEN 'status 502' WHEN fault = 'truncated' THEN 'malformed body' "
-    "WHEN fault = 'no providers' THEN 'no providers' "
-    "WHEN tmp_v IN ('', 'abc', ' 5') THEN 'value is not a number' END"
-)

@@ -8,8 +8,9 @@ from gaugeworks.functions import measures
 from gaugeworks.operators import convert
 from gaugeworks.plans import adapters as A, checks as C
 from gaugeworks.plans.registry import query
+from gaugeworks.sources import responses
 
-_STRICT_OK = "(tmp_v IS NULL OR tmp_v NOT IN ('', 'abc', ' 5'))"
+_STRICT_OK = "reject IS NULL"
 
 
 def daily_obs(spark, sf):
@@ -21,10 +22,9 @@ def hourly_obs(spark, sf):
     return convert.convert_hourly(A.hourly_raw(spark, sf), ("src_event",))
 
 
-def numeric_daily(spark, sf):
-    """Records whose values are all numbers, as the strict scan would accept them."""
-    text = F.col("DayAirTmpAvg")["Value"]
-    return A.daily_raw(spark, sf).where(text.isNull() | measures.is_strict_number(text))
+def strict_daily(spark, sf):
+    """Records of responses that the strict scan accepts."""
+    return responses.scan_daily_strict(A.daily_landed(spark, sf))
 
 
 @query("convert_daily", f"{C.daily()} SELECT {C.DAILY_COLUMNS} FROM obs")
@@ -50,17 +50,17 @@ def convert_hourly_lenient(spark, sf):
 @query("convert_daily_minimal",
        f"{C.daily(C.lenient_date, where=_STRICT_OK)} SELECT {C.DAILY_COLUMNS} FROM obs")
 def convert_daily_minimal(spark, sf):
-    return convert.convert_daily_minimal(convert.minimal(numeric_daily(spark, sf)))
+    return convert.convert_daily_minimal(convert.minimal(strict_daily(spark, sf)))
 
 
 @query("convert_daily_strict",
        f"{C.daily(C.lenient_date, where=_STRICT_OK)} SELECT {C.DAILY_COLUMNS} FROM obs WHERE ts > 0")
 def convert_daily_strict(spark, sf):
-    return convert.convert_daily_strict(convert.minimal(numeric_daily(spark, sf)))
+    return convert.convert_daily_strict(convert.minimal(strict_daily(spark, sf)))
 
 
 @query("format_measure", f"""WITH {C.RAW_DAILY}
-SELECT src_order, src_line, src_part,
+SELECT station_id, day_text AS "Date",
   CASE WHEN tmp_v IS NOT NULL THEN printf('%.2f', cast(tmp_v AS DOUBLE)) END AS value_text,
   CASE WHEN tmp_v IS NOT NULL THEN tmp_q END AS qc,
   CASE WHEN tmp_v IS NOT NULL THEN '' END AS unit
@@ -68,8 +68,8 @@ FROM raw WHERE {_STRICT_OK}""")
 def format_measure(spark, sf):
     m = F.col("DayAirTmpAvg")
     text = measures.format_measure(m["Value"], m["Qc"])
-    return convert.minimal(numeric_daily(spark, sf)).select(
-        *A.DAILY_KEYS, text["Value"].alias("value_text"), text["Qc"].alias("qc"),
+    return convert.minimal(strict_daily(spark, sf)).select(
+        "station_id", "Date", text["Value"].alias("value_text"), text["Qc"].alias("qc"),
         text["Unit"].alias("unit"))
 
 

@@ -114,7 +114,7 @@ def scan_by_address(spark, sf):
 
 @query("scan_daily_strict", f"""WITH {C.RAW_DAILY}
 SELECT station_id, day_text, tmp_v, eto_v, wnd_v, hum_v, sol_v FROM raw
-WHERE {C.REJECT} IS NULL""")
+WHERE reject IS NULL""")
 def scan_daily_strict(spark, sf):
     records = R.scan_daily_strict(A.daily_landed(spark, sf))
     return records.select(
@@ -122,13 +122,21 @@ def scan_daily_strict(spark, sf):
 
 
 @query("strict_rejects", f"""WITH {C.RAW_DAILY}
-SELECT station_id, {C.REJECT} AS reject, count(*) AS responses FROM raw
-WHERE {C.REJECT} IS NOT NULL GROUP BY ALL""")
+SELECT station_id, reject, count(DISTINCT page) AS responses FROM raw
+WHERE reject IS NOT NULL GROUP BY ALL""")
 def strict_rejects(spark, sf):
     return R.strict_rejects(A.daily_landed(spark, sf)).groupBy("station_id", "reject").agg(
         F.count("*").alias("responses"))
 
 
+@query("scan_rejects", f"""WITH {C.RAW_DAILY}
+SELECT station_id, reject, count(DISTINCT page) AS responses FROM raw
+WHERE fault IS NOT NULL GROUP BY ALL""")
+def scan_rejects(spark, sf):
+    return R.scan_rejects(A.daily_landed(spark, sf)).groupBy("station_id", "reject").agg(
+        F.count("*").alias("responses"))
+
+
 # Requested stations repeat, and some of them have nothing landed.
 REQUESTS_SQL = "requests AS (SELECT c_custkey AS ordinal, cast(c_custkey % 200 AS INTEGER) AS station_id FROM customer)"
 
@@ -144,10 +152,10 @@ def station_outcomes(spark, sf):
 
 
 def outcome_sql():
-    inner = C.daily(C.lenient_date, extra=f"{C.REJECT} AS reject,")
+    inner = C.daily(C.lenient_date, extra="reject,")
     return inner + f""", counted AS (SELECT station_id, count(*) AS n FROM obs
   WHERE ts > 0 AND reject IS NULL GROUP BY 1),
-asked AS (SELECT station_id, min({C.REJECT}) AS error FROM raw GROUP BY 1),
+asked AS (SELECT station_id, min(reject) AS error FROM raw GROUP BY 1),
 outcomes AS (SELECT asked.station_id, CASE WHEN error IS NULL THEN coalesce(n, 0) ELSE 0 END AS records,
   error FROM asked LEFT JOIN counted ON asked.station_id = counted.station_id),
 {REQUESTS_SQL}
@@ -264,9 +272,10 @@ def measure_list(spark, sf):
 
 
 @query("json_flatten", f"""WITH {C.RAW_DAILY}
-SELECT name AS provider, records, count(*) AS responses
-FROM raw, (VALUES ('first', 1), ('second', 0)) AS p(name, records)
-WHERE fault IS NULL GROUP BY ALL""")
+, pages AS (SELECT cast(count(*) FILTER (kind = 'station') AS INTEGER) AS a,
+  cast(count(*) FILTER (kind = 'spatial') AS INTEGER) AS b FROM raw WHERE fault IS NULL GROUP BY page)
+SELECT 'first' AS provider, a AS records, count(*) AS responses FROM pages GROUP BY ALL
+UNION ALL SELECT 'second', b, count(*) FROM pages GROUP BY ALL""")
 def json_flatten(spark, sf):
     parsed = R.parse(A.daily_landed(spark, sf), record_schema(("Date",), ()))
     providers = parsed.select(F.explode("_response.Data.Providers").alias("p"))
@@ -276,7 +285,7 @@ def json_flatten(spark, sf):
 
 
 @query("flatten_providers", f"""WITH {C.RAW_DAILY}
-SELECT station_id, 'first' AS provider_name, kind AS provider_type, day_text AS "Date"
+SELECT station_id, CASE kind WHEN 'station' THEN 'first' ELSE 'second' END AS provider_name, kind AS provider_type, day_text AS "Date"
 FROM raw WHERE fault IS NULL""")
 def flatten_providers(spark, sf):
     return R.scan_daily(A.daily_landed(spark, sf), identity=("Date",), measures=()).select(

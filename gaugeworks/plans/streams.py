@@ -11,34 +11,57 @@ from gaugeworks.session import scratch
 from gaugeworks.sources import responses, store
 from gaugeworks.streaming import ingest
 
-_REQUEST_SQL = """concat(CASE WHEN src_line <= 4 THEN 'a' ELSE 'b' END, '-', station_id, '-',
-  substr(day_text, 1, 4)) AS request_id, CASE WHEN src_line <= 4 THEN 1 ELSE 2 END AS landed_seq,"""
+_REQUEST_SQL = """concat(CASE WHEN reject IS NULL THEN half ELSE 'x' END, asked) AS request_id,
+  CASE half WHEN 'a' THEN 1 ELSE 2 END AS landed_seq,"""
 _ROWS_SQL = C.daily(
-    C.lenient_date, extra=f"{_REQUEST_SQL} {C.REJECT} AS reject,"
+    C.lenient_date, extra=f"{_REQUEST_SQL} reject,"
 ) + """, accepted AS (SELECT * FROM obs WHERE ts > 0 AND reject IS NULL),
 firsts AS (SELECT station_id, year, min(struct_pack(s := landed_seq, r := request_id)) AS f
   FROM accepted GROUP BY station_id, year)
 """
 
 
+_INGESTED: dict[tuple[str, str], str] = {}
+
+
+def ingested_root(spark, sf):
+    """A store that a stream filled, once per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INGESTED:
+        landing, root = scratch(spark, "landing"), scratch(spark, "ingested")
+        A.build_daily_landed(spark, sf).write.json(landing)
+        checkpoint = scratch(spark, "progress")
+        ingest.ingest_stream(spark, landing, root, checkpoint).awaitTermination()
+        # Nothing new has landed, so the second run adds nothing.
+        ingest.ingest_stream(spark, landing, root, checkpoint).awaitTermination()
+        _INGESTED[key] = root
+    return _INGESTED[key]
+
+
 @query("stream_ingest", f"""{_ROWS_SQL}
 SELECT a.station_id, a.year, count(*) AS row_count, min(ts) AS min_ts, max(ts) AS max_ts,
   cast(sum(temperature) AS BIGINT) AS sum_temperature
 FROM accepted a JOIN firsts ON a.station_id = firsts.station_id AND a.year = firsts.year
   AND a.request_id = f.r GROUP BY a.station_id, a.year""")
 def stream_ingest(spark, sf):
-    landing = scratch(spark, "landing")
-    root = scratch(spark, "ingested")
-    A.build_daily_landed(spark, sf).write.json(landing)
-    checkpoint = scratch(spark, "progress")
-    ingest.ingest_stream(spark, landing, root, checkpoint).awaitTermination()
-    # Nothing new has landed, so the second run adds nothing.
-    ingest.ingest_stream(spark, landing, root, checkpoint).awaitTermination()
-    return store.read_obs(spark, root, "daily").groupBy("station_id", "year").agg(
+    return store.read_obs(spark, ingested_root(spark, sf), "daily").groupBy("station_id", "year").agg(
         F.count("*").alias("row_count"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
         F.sum("temperature").alias("sum_temperature"))
 
 
+# Requests whose station-years others won succeed with no records.
+@query("stream_fetch_log", f"""{_ROWS_SQL}, taken AS (SELECT a.request_id, count(*) AS n
+  FROM accepted a JOIN firsts ON a.station_id = firsts.station_id AND a.year = firsts.year
+  AND a.request_id = f.r GROUP BY 1),
+asked_for AS (SELECT station_id, concat(CASE WHEN reject IS NULL THEN half ELSE 'x' END, asked) AS request_id,
+  min(reject) AS error FROM raw GROUP BY ALL)
+SELECT q.request_id, q.station_id, coalesce(n, 0) AS records, error, error IS NULL AS success
+FROM asked_for q LEFT JOIN taken ON q.request_id = taken.request_id""")
+def stream_fetch_log(spark, sf):
+    log = spark.read.parquet(f"{ingested_root(spark, sf)}/fetch_log")
+    return log.select("request_id", "station_id", "records", "error", "success")
+
+
 @query("stream_dedup", f"""{_ROWS_SQL}
 SELECT station_id, year, cast(f.s AS BIGINT) AS landed_seq, f.r AS request_id FROM firsts""")
 def stream_dedup(spark, sf):

@@ -19,6 +19,10 @@ from gaugeworks.schemas import (
 SPATIAL_ZIP_MEASURES = ("DayAsceEto", "DaySolRadAvg", "DayWindSpdAvg")
 SPATIAL_POINT_MEASURES = ("DayAsceEto", "DaySolRadAvg")
 
+# A field that must be text but holds another kind of value.  Quotes inside a
+# text are escaped, so that only a real key matches.
+_UNQUOTED = r'"(Date|Value|Qc)"\s*:\s*[-0-9tf{\[]'
+
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """Landed responses, one JSON line each, so that large files split."""
@@ -127,17 +131,36 @@ def _has_bad_value(providers: Column) -> Column:
     return F.exists(providers, lambda p: F.exists(F.coalesce(p["Records"], none), bad))
 
 
+def _undelivered() -> Column:
+    """Why a parsed response holds no records that any scan could read."""
+    return (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("body").isNull(), "no body")
+        .when(F.col(f"_response.{CORRUPT}").isNotNull(), "malformed body")
+        .when(F.col("_response.Data.Providers").isNull(), "no providers")
+    )
+
+
+def scan_rejects(
+    landed: DataFrame, identity=DAILY_IDENTITY, measures=DAILY_MEASURES,
+) -> DataFrame:
+    """Responses the scans get nothing from, with the reason; takes their arguments."""
+    return (
+        parse(landed, record_schema(identity, measures))
+        .withColumn("reject", F.explode(F.array(_undelivered())))
+        .where(F.col("reject").isNotNull())
+        .select("request_id", "station_id", "reject")
+    )
+
+
 def with_reject(landed: DataFrame) -> DataFrame:
     """Parse strictly and name why a whole response is refused, null if it is fine."""
-    parsed = parse(landed, STRICT_RECORD)
-    providers = F.col("_response.Data.Providers")
     reason = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col(f"_response.{CORRUPT}").isNotNull(), "malformed body")
-        .when(providers.isNull(), "no providers")
-        .when(_has_bad_value(providers), "value is not a number")
+        _undelivered()
+        .when(F.col("body").rlike(_UNQUOTED), "value is not quoted")
+        .when(_has_bad_value(F.col("_response.Data.Providers")), "value is not a number")
     )
-    return parsed.withColumn("reject", F.explode(F.array(reason)))
+    return parse(landed, STRICT_RECORD).withColumn("reject", F.explode(F.array(reason)))
 
 
 def strict_records(landed: DataFrame, *keep: str) -> DataFrame:
