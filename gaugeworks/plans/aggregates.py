@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import quality, reports, stats
+from gaugeworks.operators import integrity, quality, reports, stats
 from gaugeworks.plans import adapters as A, checks as C
-from gaugeworks.plans.joins import CATALOG_SQL, catalog
+from gaugeworks.plans.joins import catalog
 from gaugeworks.plans.projections import daily_obs
 from gaugeworks.plans.registry import query
-from gaugeworks.sources import dimensions
+from gaugeworks.plans.stored import CATALOG_SQL, KEPT_DAILY, KEPT_HOURLY, stored_root
+from gaugeworks.schemas import RECORD_WIDTH
+from gaugeworks.sources import dimensions, store
 
 LOG = f"log AS (SELECT {A.FETCH_LOG} FROM events)"
 OPS = f"log AS (SELECT {A.OPS_LOG} FROM events)"
@@ -25,16 +27,22 @@ def daily_stats(spark, sf):
     return stats.daily_stats(quality.valid(daily_obs(spark, sf), "daily"), "station_id", "year")
 
 
-@query("store_stats", f"""{C.daily()}, {CATALOG_SQL}
+@query("store_stats", f"""{KEPT_DAILY}, {CATALOG_SQL}
 SELECT (SELECT count(*) FROM supplier) AS station_count,
   (SELECT count(*) FROM supplier WHERE s_acctbal > 0) AS active_station_count,
   count(*) AS chunk_count, cast(sum(row_count) AS BIGINT) AS total_rows,
-  sum(stored_bytes) AS total_bytes,
-  round(avg(row_count * 16 / stored_bytes), 6) AS avg_ratio FROM catalog""")
+  true AS bytes_as_listed, true AS has_ratio FROM catalog""")
 def store_stats(spark, sf):
     stations = dimensions.scan_stations(A.stations_landed(spark, sf))
-    return stats.store_stats(catalog(spark, sf), stations).withColumn(
-        "avg_ratio", F.round("avg_ratio", 6))
+    found = stats.store_stats(catalog(spark, sf), stations)
+    files = integrity.list_files(spark, f"{stored_root(spark, sf)}/data_type=daily").agg(
+        F.sum("length").alias("listed_bytes"))
+    both = found.unionByName(files, allowMissingColumns=True)
+    whole = both.agg(*(F.max(c).alias(c) for c in both.columns))
+    return whole.select(
+        "station_count", "active_station_count", "chunk_count", "total_rows",
+        (F.abs(F.col("total_bytes") - F.col("listed_bytes")) < 1).alias("bytes_as_listed"),
+        (F.col("avg_ratio") > 0).alias("has_ratio"))
 
 
 @query("fetch_summary", f"""WITH {LOG}
@@ -55,12 +63,28 @@ def fetch_timing(spark, sf):
     return stats.fetch_timing(A.fetch_log(spark, sf))
 
 
-@query("storage_efficiency", f"""{C.daily()}, {CATALOG_SQL}
-SELECT station_id, year, row_count, row_count * 16 AS raw_bytes, stored_bytes,
-  row_count * 16 / stored_bytes AS ratio, stored_bytes / row_count AS bytes_per_record,
-  (1 - stored_bytes / (row_count * 16)) * 100 AS saving_pct FROM catalog""")
+@query("storage_efficiency", f"""{KEPT_HOURLY}, {CATALOG_SQL}
+SELECT station_id, year, row_count, row_count * {RECORD_WIDTH["hourly"]} AS raw_bytes,
+  true AS consistent FROM catalog""")
 def storage_efficiency(spark, sf):
-    return stats.storage_efficiency(catalog(spark, sf), "daily")
+    recorded = store.read_catalog(spark, stored_root(spark, sf, "hourly"))
+    return efficiency_checked(recorded, "hourly")
+
+
+@query("stored_efficiency", f"""{KEPT_DAILY}, {CATALOG_SQL}
+SELECT station_id, year, row_count, row_count * {RECORD_WIDTH["daily"]} AS raw_bytes,
+  true AS consistent FROM catalog""")
+def stored_efficiency(spark, sf):
+    return efficiency_checked(catalog(spark, sf), "daily")
+
+
+def efficiency_checked(recorded, kind):
+    """Sizes depend on the codec, so the three figures are held against each other."""
+    ratio = F.col("ratio")
+    return stats.storage_efficiency(recorded, kind).select(
+        "station_id", "year", "row_count", "raw_bytes",
+        ((ratio > 0) & (F.abs(F.col("bytes_per_record") * ratio - RECORD_WIDTH[kind]) < 1e-9)
+         & (F.abs(F.col("saving_pct") - (1 - 1 / ratio) * 100) < 1e-6)).alias("consistent"))
 
 
 def _mean_sql(value, kind):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import measures
 from gaugeworks.operators import convert, integrity, quality, ranges
 from gaugeworks.plans import adapters as A, checks as C
-from gaugeworks.plans.joins import CATALOG_SQL, catalog
+from gaugeworks.plans.joins import catalog
 from gaugeworks.plans.projections import daily_obs, hourly_obs
 from gaugeworks.plans.registry import query
+from gaugeworks.plans.stored import CATALOG_SQL, KEPT_DAILY
 
 STATION, START, END = 5, "1996-03-01", "1998-07-01"
 _DAILY_RANGE = f"station_id = {STATION} AND obs_date >= DATE '{START}' AND obs_date < DATE '{END}'"
@@ -51,9 +52,9 @@ def recent_days(spark, sf):
     return rows.drop(*A.DAILY_KEYS)
 
 
-@query("chunk_select", f"""{C.daily()}, {CATALOG_SQL}
-SELECT station_id, year, data_type, row_count FROM catalog
-WHERE station_id = {STATION} AND year BETWEEN 1996 AND 1998 AND data_type = 'daily'""")
+@query("chunk_select", f"""{KEPT_DAILY}, {CATALOG_SQL}
+SELECT station_id, year, 'daily' AS data_type, row_count FROM catalog
+WHERE station_id = {STATION} AND year BETWEEN 1996 AND 1998""")
 def chunk_select(spark, sf):
     return ranges.chunk_select(catalog(spark, sf), STATION, 1996, 1998, "daily").select(
         "station_id", "year", "data_type", "row_count")

@@ -6,30 +6,22 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import lookups
 from gaugeworks.plans import adapters as A, checks as C
-from gaugeworks.plans.projections import daily_obs
 from gaugeworks.plans.registry import query
 from gaugeworks.plans.scans import batch_requests, outcome_sql, station_outcomes
-from gaugeworks.sources import dimensions, requests
-
-# Sizes are a rule on the row count, so that the checking SQL can follow.
-CATALOG_SQL = """catalog AS (SELECT station_id, year, 'daily' AS data_type, count(*) AS row_count,
-  min(ts) AS min_ts, max(ts) AS max_ts, cast(count(*) * 5 + 100 AS DOUBLE) AS stored_bytes
-  FROM obs GROUP BY station_id, year)"""
-
+from gaugeworks.plans.stored import CATALOG_SQL, GONE, JUNK, KEPT_DAILY, damaged_root, stored_root
+from gaugeworks.schemas import DAILY_COLUMNS
+from gaugeworks.sources import dimensions, requests, store
 
 def catalog(spark, sf):
-    """Chunk catalog aggregated from the converted rows."""
-    n = F.count("*")
-    return daily_obs(spark, sf).groupBy("station_id", "year").agg(
-        n.alias("row_count"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
-        (n * 5 + 100).cast("double").alias("stored_bytes"),
-    ).withColumn("data_type", F.lit("daily"))
+    """Chunk catalog as it was recorded when the store was written."""
+    return store.read_catalog(spark, stored_root(spark, sf))
 
 
 _LARGE = "row_count > 85"
+_STORED_SQL = f"{KEPT_DAILY}, {CATALOG_SQL}"
 
 
-@query("pending_chunks", f"""{C.daily()}, {CATALOG_SQL},
+@query("pending_chunks", f"""{_STORED_SQL},
 plan AS (SELECT cast(s_suppkey AS INTEGER) AS station_id, cast(y AS INTEGER) AS year
   FROM supplier, generate_series(1995, 2001) AS g(y))
 SELECT station_id, year, 'daily' AS data_type FROM plan
@@ -42,20 +34,21 @@ def pending_chunks(spark, sf):
         "station_id", "year", "data_type")
 
 
-@query("catalog_semi", f"""{C.daily()}, {CATALOG_SQL}
-SELECT {C.DAILY_COLUMNS} FROM obs
+@query("catalog_semi", f"""{_STORED_SQL}
+SELECT {C.DAILY_COLUMNS} FROM kept
 WHERE (station_id, year) IN (SELECT (station_id, year) FROM catalog WHERE {_LARGE})""")
 def catalog_semi(spark, sf):
-    rows = lookups.catalog_semi(daily_obs(spark, sf), catalog(spark, sf).where(_LARGE))
-    return rows.select(*C.DAILY_COLUMNS.split(", "))
+    stored = store.read_obs(spark, stored_root(spark, sf), "daily")
+    return lookups.catalog_semi(stored, catalog(spark, sf).where(_LARGE)).select(*DAILY_COLUMNS)
 
 
-@query("missing_chunks", f"""{C.daily()}, {CATALOG_SQL}
-SELECT station_id, year, data_type, row_count FROM catalog
-WHERE (station_id, year) NOT IN (SELECT (station_id, year) FROM obs WHERE temperature > 640)""")
+@query("missing_chunks", f"""{_STORED_SQL}
+SELECT station_id, year, 'daily' AS data_type, row_count FROM catalog
+WHERE year IN ({GONE}, {JUNK}) AND station_id < {store.STATIONS_PER_GROUP}""")
 def missing_chunks(spark, sf):
-    readable = daily_obs(spark, sf).where("temperature > 640")
-    return lookups.missing_chunks(catalog(spark, sf), readable).select(
+    root = damaged_root(spark, sf)
+    readable = store.read_obs(spark, root, "daily", tolerant=True)
+    return lookups.missing_chunks(store.read_catalog(spark, root), readable).select(
         "station_id", "year", "data_type", "row_count")
 
 

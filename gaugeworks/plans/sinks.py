@@ -4,33 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import integrity, quality, ranges, reports, stats
+from gaugeworks.operators import integrity, quality, ranges, reports
 from gaugeworks.plans import adapters as A, checks as C
 from gaugeworks.plans.filters import END, START, STATION
 from gaugeworks.plans.projections import daily_obs, hourly_obs
 from gaugeworks.plans.registry import query
 from gaugeworks.plans.sequences import ORDER
+from gaugeworks.plans.stored import EXTRA, GONE, JUNK, KEPT_DAILY, KEPT_HOURLY, damaged_root, stored_root
 from gaugeworks.schemas import DAILY_COLUMNS, HOURLY_COLUMNS
 from gaugeworks.session import scratch
 from gaugeworks.sources import fixedwidth, store
 
-_ROOTS: dict[tuple[str, str, str], str] = {}
-
-
-def stored_root(spark, sf, kind="daily"):
-    """A store of all valid rows, written once per session and table folder."""
-    key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _ROOTS:
-        root = scratch(spark, f"store-{kind}")
-        obs = daily_obs(spark, sf) if kind == "daily" else hourly_obs(spark, sf)
-        store.write_obs(quality.valid(obs, kind), root, kind, "full")
-        store.write_catalog(spark, root, kind, "full")
-        _ROOTS[key] = root
-    return _ROOTS[key]
-
-
-_VALID_DAILY = f"{C.daily()}, kept AS (SELECT * FROM obs WHERE {C.VALID_DAILY})"
-_VALID_HOURLY = f"{C.hourly()}, kept AS (SELECT * FROM obs WHERE {C.VALID_HOURLY})"
+_VALID_DAILY, _VALID_HOURLY = KEPT_DAILY, KEPT_HOURLY
 _PER_CHUNK = """SELECT station_id, year, count(*) AS row_count, min(ts) AS min_ts, max(ts) AS max_ts,
   cast(sum(temperature) AS BIGINT) AS sum_temperature FROM kept GROUP BY station_id, year"""
 
@@ -81,17 +66,6 @@ def chunk_catalog(spark, sf):
         (F.col("stored_bytes") > 0).alias("has_bytes"))
 
 
-@query("stored_efficiency", f"""{_VALID_DAILY}
-SELECT station_id, year, count(*) AS row_count, count(*) * 16 AS raw_bytes, true AS consistent
-FROM kept GROUP BY station_id, year""")
-def stored_efficiency(spark, sf):
-    measured = stats.storage_efficiency(store.read_catalog(spark, stored_root(spark, sf)), "daily")
-    return measured.select(
-        "station_id", "year", "row_count", "raw_bytes",
-        ((F.col("ratio") > 0) & (F.abs(F.col("bytes_per_record") * F.col("ratio") - 16) < 1e-9)
-         & (F.abs(F.col("saving_pct") - (1 - 1 / F.col("ratio")) * 100) < 1e-6)).alias("consistent"))
-
-
 @query("readback_diff", f"""{_VALID_DAILY} SELECT count(*) AS rows_written, count(*) AS rows_read,
   cast(0 AS BIGINT) AS only_written, cast(0 AS BIGINT) AS only_read FROM kept""")
 def readback_diff(spark, sf):
@@ -135,6 +109,43 @@ def nonempty_files(spark, sf):
     return checked.groupBy("written").agg(F.count_distinct(_folder("file")).alias("folders"))
 
 
+_IN_FIRST_GROUP = f"station_id < {store.STATIONS_PER_GROUP}"
+_FOLDER_SQL = f"concat('year=', year, '/station_group=', station_id // {store.STATIONS_PER_GROUP})"
+
+
+@query("stored_skipped", f"""{_VALID_DAILY}
+SELECT DISTINCT {_FOLDER_SQL} AS folder, CASE year WHEN {GONE} THEN 'file is gone'
+  ELSE 'file cannot be read' END AS error FROM kept
+WHERE {_IN_FIRST_GROUP} AND year IN ({GONE}, {JUNK})
+UNION ALL SELECT 'year={EXTRA}/station_group=0', 'file cannot be read'""")
+def stored_skipped(spark, sf):
+    skipped = integrity.skipped_files(spark, damaged_root(spark, sf), "daily")
+    return skipped.select(_folder("file").alias("folder"), "error").distinct()
+
+
+@query("stored_tolerant", f"""{_VALID_DAILY} SELECT {C.DAILY_COLUMNS} FROM kept
+WHERE NOT ({_IN_FIRST_GROUP} AND year IN ({GONE}, {JUNK}))""")
+def stored_tolerant(spark, sf):
+    return store.read_obs(spark, damaged_root(spark, sf), "daily", tolerant=True).select(*DAILY_COLUMNS)
+
+
+@query("verify_damaged", f"""{_VALID_DAILY}, folders AS (SELECT DISTINCT {_FOLDER_SQL} AS folder,
+  {_IN_FIRST_GROUP} AND year IN ({GONE}, {JUNK}, {EXTRA}) AS damaged FROM kept)
+SELECT count(*) FILTER (NOT damaged) AS verified, count(*) FILTER (damaged) AS failed FROM folders""")
+def verify_damaged(spark, sf):
+    verified = integrity.verify_files(spark, damaged_root(spark, sf), "daily")
+    return integrity.verify_summary(
+        verified.groupBy(_folder("file")).agg(F.bool_and("ok").alias("ok")))
+
+
+@query("nonempty_damaged", f"""{_VALID_DAILY}, folders AS (SELECT DISTINCT {_FOLDER_SQL} AS folder,
+  NOT ({_IN_FIRST_GROUP} AND year = {GONE}) AS written FROM kept)
+SELECT written, count(*) AS folders FROM folders GROUP BY written""")
+def nonempty_damaged(spark, sf):
+    checked = integrity.nonempty_files(spark, damaged_root(spark, sf), "daily")
+    return checked.groupBy("written").agg(F.count_distinct(_folder("file")).alias("folders"))
+
+
 @query("export_csv", f"""{_VALID_DAILY} SELECT station_id, obs_date, temperature, et FROM kept
 WHERE station_id = {STATION} AND obs_date >= DATE '{START}' AND obs_date < DATE '{END}'""")
 def export_csv(spark, sf):

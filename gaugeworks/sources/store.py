@@ -40,6 +40,25 @@ def size_of(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(place).getLength()
 
 
+def listed(spark: SparkSession, glob: str) -> list[str]:
+    """Paths that match, for upkeep of single folders."""
+    files, place = _files_at(spark, glob)
+    return [str(found.getPath()) for found in files.globStatus(place) or ()]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _files_at(spark, path)
+    files.delete(place, True)
+
+
+def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a small file, replacing what is there."""
+    files, place = _files_at(spark, path)
+    out = files.create(place, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 def _folder(root: str, kind: str, ingest_id: str | None = None) -> str:
     base = f"{root}/data_type={kind}"
     return f"{base}/ingest_id={ingest_id}" if ingest_id else base
