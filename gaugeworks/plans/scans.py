@@ -206,12 +206,14 @@ def zip_info(spark, sf):
         "StationNbr", "ZipCode")
 
 
-# Data requests of every endpoint; the texts hold characters that need escaping.
+# Requests of every endpoint; the texts hold characters that need escaping.
 TARGETS = """
   c_custkey AS ordinal,
-  CASE c_custkey % 6 WHEN 0 THEN 'station_data' WHEN 1 THEN 'station_zip_data'
+  CASE c_custkey % 13 WHEN 7 THEN 'stations' WHEN 8 THEN 'station' WHEN 9 THEN 'station_zips'
+    WHEN 10 THEN 'station_zip' WHEN 11 THEN 'spatial_zips' WHEN 12 THEN 'spatial_zip'
+    ELSE CASE c_custkey % 6 WHEN 0 THEN 'station_data' WHEN 1 THEN 'station_zip_data'
     WHEN 2 THEN 'spatial_coordinate_data' WHEN 3 THEN 'spatial_address_data'
-    WHEN 4 THEN 'spatial_zip_data' ELSE 'geo_zip_data' END AS endpoint,
+    WHEN 4 THEN 'spatial_zip_data' ELSE 'geo_zip_data' END END AS endpoint,
   CASE c_custkey % 6 WHEN 0 THEN cast(c_custkey AS string)
     WHEN 2 THEN concat('lat=34.', cast(c_custkey % 100 AS string), ',lng=-118.5;lat=35,lng=-119')
     WHEN 3 THEN concat('addr-name=', c_name, ',addr=*', c_mktsegment, ' St ~', cast(c_custkey AS string))
@@ -222,8 +224,10 @@ TARGETS = """
   CASE WHEN c_custkey % 12 = 5 THEN 'SCS' ELSE '' END AS prefer
 """
 _BASE = "https://example.test/base"
+_DATA_SQL = "endpoint LIKE '%\\_data' ESCAPE '\\'"
 _ITEMS_SQL = f"""CASE WHEN endpoint IN ('spatial_zip_data', 'geo_zip_data') THEN '{requests.SPATIAL_ZIP_ITEMS}'
   WHEN endpoint IN ('spatial_coordinate_data', 'spatial_address_data') THEN '{requests.SPATIAL_POINT_ITEMS}'
+  WHEN NOT {_DATA_SQL} THEN NULL
   WHEN hourly THEN '{requests.HOURLY_ITEMS}' ELSE '{requests.DAILY_ITEMS}' END"""
 _PATH_SQL = "CASE endpoint " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in requests.PATHS.items()) + " END"
@@ -250,15 +254,18 @@ asked AS (SELECT *, concat_ws('&',
   CASE WHEN endpoint = 'spatial_address_data' THEN {_pair('addresses', 'target')} END,
   CASE WHEN endpoint = 'spatial_coordinate_data' THEN {_pair('coordinates', 'target')} END,
   {_pair('dataItems', 'items')},
-  {_pair('endDate', _normalized('end_date'))},
-  CASE WHEN NOT {_POINT_SQL} THEN 'isHourly=' || CASE WHEN hourly THEN 'true' ELSE 'false' END END,
+  CASE WHEN {_DATA_SQL} THEN {_pair('endDate', _normalized('end_date'))} END,
+  CASE WHEN {_DATA_SQL} AND NOT {_POINT_SQL} THEN 'isHourly=' || CASE WHEN hourly THEN 'true' ELSE 'false' END END,
   CASE WHEN endpoint = 'geo_zip_data' AND prefer <> '' THEN {_pair('prefer', 'prefer')} END,
-  {_pair('startDate', _normalized('start_date'))},
+  CASE WHEN {_DATA_SQL} THEN {_pair('startDate', _normalized('start_date'))} END,
+  CASE WHEN endpoint = 'station' THEN {_pair('stationNbr', 'target')} END,
   CASE WHEN endpoint = 'station_data' THEN {_pair('stationNbrs', 'target')} END,
-  'unitOfMeasure=M',
+  CASE WHEN {_DATA_SQL} THEN 'unitOfMeasure=M' END,
+  CASE WHEN endpoint IN ('station_zip', 'spatial_zip') THEN {_pair('zipCode', 'target')} END,
   CASE WHEN endpoint IN ('station_zip_data', 'spatial_zip_data', 'geo_zip_data')
     THEN {_pair('zipCodes', 'target')} END) AS query FROM planned)
-SELECT ordinal, endpoint, path, items, query, concat('{_BASE}', path, '?', query) AS url FROM asked""")
+SELECT ordinal, endpoint, path, items, query, concat('{_BASE}', path,
+  CASE WHEN query = '' THEN '' ELSE '?' || query END) AS url FROM asked""")
 def request_plan(spark, sf):
     return requests.data_plan(_targets(spark, sf), _BASE).select(
         "ordinal", "endpoint", "path", "items", "query", "url")

@@ -63,14 +63,17 @@ def query_text(params: dict[str, Column]) -> Column:
 
 
 def data_plan(targets: DataFrame, base_url: str) -> DataFrame:
-    """Add ``path``, ``items``, ``query`` and ``url`` to a table of data requests.
+    """Add ``path``, ``items``, ``query`` and ``url`` to a table of requests.
 
     ``targets`` names the ``endpoint``, the text ``target`` that goes with it
     (a station number, zips, coordinates or addresses), ``start_date``,
     ``end_date``, ``hourly`` and an optional source preference ``prefer``.
-    The key travels in a header, so no column holds it.
+    Requests for stations and zips take their one target and no dates; the
+    lists of all of them take nothing.  The key travels in a header, so no
+    column holds it.
     """
     endpoint, hourly = F.col("endpoint"), F.col("hourly")
+    data = endpoint.endswith("_data")
     point = endpoint.isin("spatial_coordinate_data", "spatial_address_data")
     zips = endpoint.isin("station_zip_data", "spatial_zip_data", "geo_zip_data")
     only = lambda condition: F.when(condition, F.col("target"))
@@ -79,18 +82,22 @@ def data_plan(targets: DataFrame, base_url: str) -> DataFrame:
         "zipCodes": only(zips),
         "coordinates": only(endpoint == "spatial_coordinate_data"),
         "addresses": only(endpoint == "spatial_address_data"),
-        "startDate": normalize_date(F.col("start_date")),
-        "endDate": normalize_date(F.col("end_date")),
-        "isHourly": F.when(~point, F.when(hourly, "true").otherwise("false")),
+        "stationNbr": only(endpoint == "station"),
+        "zipCode": only(endpoint.isin("station_zip", "spatial_zip")),
+        "startDate": F.when(data, normalize_date(F.col("start_date"))),
+        "endDate": F.when(data, normalize_date(F.col("end_date"))),
+        "isHourly": F.when(data & ~point, F.when(hourly, "true").otherwise("false")),
         "dataItems": measure_list(endpoint, hourly),
-        "unitOfMeasure": F.lit("M"),
+        "unitOfMeasure": F.when(data, "M"),
         "prefer": F.when((endpoint == "geo_zip_data") & (F.col("prefer") != ""), F.col("prefer")),
     }
     return (
         targets.withColumn("path", path_of(endpoint))
         .withColumn("items", measure_list(endpoint, hourly))
         .withColumn("query", query_text(params))
-        .withColumn("url", F.concat(F.lit(base_url.rstrip("/")), "path", F.lit("?"), "query"))
+        .withColumn("url", F.concat(
+            F.lit(base_url.rstrip("/")), "path",
+            F.when(F.col("query") == "", "").otherwise(F.concat(F.lit("?"), "query"))))
     )
 
 

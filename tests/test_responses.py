@@ -97,6 +97,8 @@ def test_hourly(spark):
     (body([day("2024-06-15"), day("2024-06-16", temp="n/a")]), "value is not a number"),
     (body([day("2024-06-15", et=" 1")]), "value is not a number"),
     (body([day("2024-06-15", DayPrecip=measure(""))]), "value is not a number"),
+    (body([day("2024-06-15", DayPrecip=measure(7))]), "value is not quoted"),
+    (body([day("2024-06-15"), day(20240616)]), "value is not quoted"),
 ])
 def test_strict_scan_refuses_whole_responses(spark, text, reason):
     rows = landed(spark, text, body([day("2024-06-17")]))
@@ -105,6 +107,19 @@ def test_strict_scan_refuses_whole_responses(spark, text, reason):
     assert reject["request_id"] == "r0" and (reason is None or reject["reject"] == reason)
 
 
+def test_lost_responses_are_listed(spark):
+    rows = landed(spark, '{"Data": {"Providers": [', '{"Data": {}}', None, body([day("2024-06-17")]), body([]))
+    failed = spark.createDataFrame([("x", 9, 7, "status 502", None)], LANDED)
+    got = R.scan_rejects(rows.unionByName(failed)).collect()
+    assert sorted(tuple(r) for r in got) == [
+        ("r0", 2, "malformed body"), ("r1", 2, "no providers"), ("r2", 2, "no body"), ("x", 7, "status 502")]
+
+
+def test_a_quote_inside_a_text_is_no_key(spark):
+    rows = landed(spark, body([day("2024-06-15", Address='5 "Value": 3 Road')]))
+    assert R.scan_daily_strict(rows).count() == 1
+
+
 def test_strict_converter_drops_the_epoch_day(spark):
     records = convert.minimal(R.scan_daily_strict(landed(
         spark, body([day("1985-01-01"), day("1985-01-02"), day("bad-date"), day("2024-02-30")]))))
@@ -165,6 +180,9 @@ def test_request_plan(spark):
         ("station_data", "2", "2024-01-01", "12/31/2024", False, ""),
         ("geo_zip_data", "93624,95974", "2024-01-01", "2024-01-31", False, "SCS"),
         ("spatial_address_data", "addr-name=a b,addr=~*", "2024-01-01", "2024-01-31", False, ""),
+        ("station", "117", "2024-01-01", "2024-01-31", True, "SCS"),
+        ("spatial_zip", "95974", None, None, None, None),
+        ("station_zips", None, None, None, None, None),
     ], "endpoint string, target string, start_date string, end_date string, hourly boolean, prefer string")
     got = {r["endpoint"]: r["url"] for r in requests.data_plan(targets, "https://example.test/base/").collect()}
     items = requests.DAILY_ITEMS.replace(",", "%2C")
@@ -173,6 +191,9 @@ def test_request_plan(spark):
         + "&endDate=2024-12-31&isHourly=false&startDate=2024-01-01&stationNbrs=2&unitOfMeasure=M")
     assert "&prefer=SCS&" in got["geo_zip_data"] and "zipCodes=93624%2C95974" in got["geo_zip_data"]
     assert "addresses=addr-name%3Da+b%2Caddr%3D~%2A&" in got["spatial_address_data"]
+    assert got["station"].endswith("/StationWeb/GetStationByStationNumber?stationNbr=117")
+    assert got["spatial_zip"].endswith("/SpatialWeb/GetSpatialZipCodeInfoByZipCode?zipCode=95974")
+    assert got["station_zips"].endswith("/StationWeb/GetAllStationsZipCodes")
     assert "isHourly" not in got["spatial_address_data"]
 
 
