@@ -19,8 +19,9 @@ def _trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
-def station_list(text: Column) -> Column:
-    """Ids named by a list such as ``2,5-7,10``; null when any part is malformed.
+def station_spans(text: Column) -> Column:
+    """First and last ids (``low``, ``high``) that a list such as ``2,5-7,10`` names,
+    a single id being both; null when any part is malformed.
 
     A range that runs backwards names nothing.
     """
@@ -30,16 +31,19 @@ def station_list(text: Column) -> Column:
         lambda p: F.when(p.contains("-"), p.rlike(_RANGE)).otherwise(p.rlike(_SINGLE)),
     )
 
-    def ids(part):
+    def span(part):
         ends = F.split(part, "-")
         low = _trim(F.get(ends, F.lit(0))).try_cast("bigint")
-        high = _trim(F.get(ends, F.lit(1))).try_cast("bigint")
-        none = F.array().cast("array<bigint>")
-        span = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(none)
-        return F.when(part.contains("-"), span).otherwise(F.array(part.try_cast("bigint")))
+        high = F.coalesce(_trim(F.get(ends, F.lit(1))).try_cast("bigint"), low)
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    spans = F.transform(F.when(whole, parts), span)
+    return F.filter(spans, lambda s: s["low"] <= s["high"])
 
-    checked = F.when(whole, parts)
-    return F.flatten(F.transform(checked, ids))
+
+def station_list(text: Column) -> Column:
+    """All ids of a list as one array; ``ranges.expand_stations`` takes long ranges."""
+    return F.flatten(F.transform(station_spans(text), lambda s: F.sequence(s["low"], s["high"])))
 
 
 def sorted_ids(ids: Column) -> Column:

@@ -7,9 +7,11 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.functions.dates import ts_of
+from gaugeworks.functions.texts import station_spans
 from gaugeworks.sources.store import station_group
 
 PREVIEW_ROWS = 10
+_RANGE_STEPS = (1 << 40, 1 << 20)
 
 
 def _between(kind: str, start: str, end: str) -> Column:
@@ -58,6 +60,23 @@ def chunk_select(catalog: DataFrame, station: int, first: int, last: int, kind:
     )
 
 
+def expand_stations(requests: DataFrame, text: str) -> DataFrame:
+    """A row per id that the list ``text`` names, as ``station_id``, and ``ok``, whether
+    the list is well formed.  A list of nothing or a malformed one keeps one row.
+
+    Ranges are cut in steps, so that no array grows with the length of a range.
+    """
+    rows = requests.withColumn("_spans", station_spans(F.col(text)))
+    rows = rows.withColumn("ok", F.col("_spans").isNotNull()).withColumn("_span", F.explode_outer("_spans"))
+    rows = rows.select(*requests.columns, "ok", F.col("_span.low").alias("_low"), F.col("_span.high").alias("_high"))
+    for step in _RANGE_STEPS:
+        starts = F.sequence("_low", "_high", F.lit(step).cast("bigint"))
+        rows = rows.select(*requests.columns, "ok", F.explode_outer(starts).alias("_low"), "_high").withColumn(
+            "_high", F.least(F.col("_high"), F.col("_low") + (step - 1)))
+    return rows.select(
+        *requests.columns, "ok", F.explode_outer(F.sequence("_low", "_high")).alias("station_id"))
+
+
 def sorted_stations(requests: DataFrame, *more: str) -> DataFrame:
     """Requested stations in ascending order, repeats kept."""
     return requests.orderBy("station_id", *more)

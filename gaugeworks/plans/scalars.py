@@ -168,8 +168,7 @@ def _lists(spark, sf):
 @query("expand_station_list", f"""{_LISTS_SQL}
 SELECT ok.c_custkey, ok, station_id FROM ok LEFT JOIN ids ON ok.c_custkey = ids.c_custkey""")
 def expand_station_list(spark, sf):
-    return _lists(spark, sf).withColumn("ids", texts.station_list(F.col("stations"))).select(
-        "c_custkey", F.col("ids").isNotNull().alias("ok"), F.explode_outer("ids").alias("station_id"))
+    return ranges.expand_stations(_lists(spark, sf), "stations").select("c_custkey", "ok", "station_id")
 
 
 @query("sorted_stations", f"""{_LISTS_SQL}

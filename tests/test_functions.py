@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import dates, measures, texts
+from gaugeworks.operators import ranges
 
 
 def rows(spark, values, expression, schema="x string"):
@@ -126,6 +127,17 @@ def test_sorted_ids(spark, ids):
     assert rows(spark, [ids], texts.sorted_ids(X), "x array<bigint>") == [sorted(ids)]
 
 
+def test_long_ranges_are_cut_in_steps(spark):
+    lists = [("4, 8-10",), ("9-7",), ("3-x",), ("1000001-4000000",), (f"{10 ** 17}-{10 ** 17 + 2}",)]
+    got = ranges.expand_stations(spark.createDataFrame(lists, "l string"), "l")
+    found = {r["l"]: tuple(r)[1:] for r in got.groupBy("l", "ok").agg(
+        F.count("station_id"), F.min("station_id"), F.max("station_id")).collect()}
+    assert found == {
+        "4, 8-10": (True, 4, 4, 10), "9-7": (True, 0, None, None), "3-x": (False, 0, None, None),
+        "1000001-4000000": (True, 3_000_000, 1000001, 4000000),
+        f"{10 ** 17}-{10 ** 17 + 2}": (True, 3, 10 ** 17, 10 ** 17 + 2)}
+
+
 def test_target_texts(spark):
     points = [[(34.99, -118.34), (36.45, -118.16)], [(34.99, -118.0), (100.0, 0.0)]]
     assert rows(spark, points, texts.coordinates_text(X), "x array<struct<lat:double,lng:double>>") == [
