@@ -100,9 +100,14 @@ class _Piece:
         system = [self.system] if self.system else []
         room = min(self.budget.history_tokens,
                    self.budget.tokens - first.tokens - sum(t.tokens for t in system))
-        last = self.history[-self.budget.history_turns:]
-        end = last[-1].total if last else 0
-        self.repeated = system + [t for t in last if end - t.total + t.tokens <= room]
+        end = self.history[-1].total if self.history else 0
+        self.repeated = system + [t for t in self.history if end - t.total + t.tokens <= room]
+
+    def _keep(self, turns: list[_Turn]) -> None:
+        """Add to the history, of which the last turns are held: any number of rows
+        may share a turn number."""
+        self.history += turns
+        del self.history[:max(0, len(self.history) - self.budget.history_turns)]
 
     def add(self, kind: int, role: str, text: str):
         """A window that this turn completes, or None."""
@@ -114,7 +119,7 @@ class _Piece:
         self.total += tokens
         turn = _Turn(role, whole, begin, end, self.total, tokens)
         if kind == _BEFORE:
-            self.history.append(turn)
+            self._keep([turn])
             return None
         done = None
         if self.new:
@@ -137,7 +142,7 @@ class _Piece:
             at += len(t.whole)
         row = (self.number, "".join(t.whole for t in turns), spans, len(self.new), len(self.repeated),
                sum(t.tokens for t in turns))
-        self.history = (self.history + self.new)[-self.budget.history_turns:]
+        self._keep(self.new)
         # The system turn itself, met as the first own turn, is repeated as such.
         if self.system is None and self.number == 0 and self.new[0].role == "system" and not self.repeated:
             self.system = self.new[0]
