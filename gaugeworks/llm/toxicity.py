@@ -12,7 +12,8 @@ probability by a monotone fit over the examples, each scored by the others.
 A score depends on the text alone.  A text without any of the terms, null and
 empty ones included, has the share of toxic documents among examples without
 terms.  Ties between neighbours go to the example that comes first.  A repeated
-row repeats its score.  Without labelled documents of both classes every score
+row repeats its score.  An id that is labelled both ways counts as toxic; of texts
+that share an id the one of least hash is learned from.  Without labelled documents of both classes every score
 is the share of toxic labels, or 0 without labels.  An empty table gives none.
 """
 
@@ -209,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     spark = docs.sparkSession
     prepare(spark)
     known = (labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
-             .filter("doc_id IS NOT NULL AND toxic IN (0, 1)"))
+             .filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
+             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     size = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(size.values())
     if len(size) < 2:
@@ -217,10 +219,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     drawn = known.filter(F.when(F.col("toxic") == 1, share(F.col("doc_id")) < examples / size[1])
                          .otherwise(share(F.col("doc_id")) < examples / size[0]))
     # About 2 x ``examples`` rows of two numbers.
-    drawn = drawn.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("key"), "toxic")
+    drawn = drawn.withColumnRenamed("doc_id", "key")
     texts = staged(
         docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(drawn), "key").dropDuplicates(["key"]), "examples")
+        .join(F.broadcast(drawn), "key")
+        .groupBy("key", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "examples")
     got = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(got) < 2:
         return Model((), None, size[1] / total)
