@@ -113,7 +113,7 @@ def duels(languages: list[str]) -> list[tuple[str, str, str | None]]:
 
 def fit(docs: DataFrame, examples: int = EXAMPLES, buckets: int = BUCKETS) -> Model:
     """Learn from documents (doc_id, text, lang).  About ``examples`` of each
-    language are drawn by a fixed function of their ids."""
+    language are drawn by a fixed function of their ids and texts."""
     spark = docs.sparkSession
     prepare(spark)
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
@@ -124,7 +124,8 @@ def fit(docs: DataFrame, examples: int = EXAMPLES, buckets: int = BUCKETS) -> Mo
     if not machines:
         return Model(languages, [], np.zeros((0, buckets + 1), np.float32))
     rate = F.coalesce(*(F.when(F.col("lang") == x, F.lit(examples / size[x])) for x in languages))
-    drawn = known.filter(share(F.col("doc_id")) < rate)
+    # By id and text, each once: rows that share an id, or have none, do not come in bulk.
+    drawn = known.filter(share(F.xxhash64("doc_id", "text")) < rate).dropDuplicates(["doc_id", "text", "lang"])
 
     def vectorize(batches):
         for batch in batches:
