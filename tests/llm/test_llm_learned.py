@@ -66,6 +66,17 @@ def test_toxicity(spark, awkward, empty):
     assert {r["doc_id"]: r["s"] for r in scored} == odd
 
 
+def test_toxicity_learns_alike_from_rows_in_any_order(spark):
+    _, docs, labels = toxic_table(spark, 300)
+    docs = docs.union(docs.selectExpr("doc_id", "concat(text, ' grumbolt')").filter("doc_id < 60"))
+    labels = labels.union(labels.selectExpr("doc_id", "1 - toxic").filter("doc_id < 9"))
+    one, other = (toxicity.fit(d, l) for d, l in (
+        (docs, labels), (docs.orderBy(docs["text"].desc()).repartition(5), labels.orderBy("toxic").coalesce(1))))
+    assert one.terms == other.terms and one.steps == other.steps and one.index.key == other.index.key
+    twice = {k: int(v) for k, v in zip(one.index.key, one.index.label) if k < 9}
+    assert twice and set(twice.values()) == {1}
+
+
 def test_toxicity_without_both_classes(spark, awkward, empty):
     _, docs, labels = toxic_table(spark, 40)
     for known, score in ((labels.limit(0), 0.0), (labels.filter("toxic = 1"), 1.0), (labels.filter("toxic = 0"), 0.0)):
@@ -176,6 +187,18 @@ def test_chat(spark):
     assert chat.digests(chat.windows(turns.limit(0))).collect() == []
 
 
+def test_chat_history_is_bounded():
+    for budget in (chat.Budget(history_turns=3), chat.Budget(history_turns=0)):
+        piece = chat._Piece(budget, len)
+        for k in range(50):  # rows of one turn number
+            piece.add(chat._BEFORE, "user", f"before {k}")
+            assert len(piece.history) <= budget.history_turns
+        for k in range(200):
+            piece.add(chat._OWN, "user", "own " + "x" * 100)
+        window = piece.close()
+        assert len(piece.history) == budget.history_turns and window[4] <= budget.history_turns
+
+
 def test_escapes():
     for text in ("", "\\", "<>", "\\\\<turn a>\n</turn>\n", "a\\<b"):
         assert chat.unescape(chat.escape(text)) == text
