@@ -169,24 +169,21 @@ def links(distinct: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROW
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of every document (doc_id, text)."""
+    """(doc_id, text_hash, fp, component_id, root) of every document (doc_id, text);
+    root is the component's least fingerprint."""
     marked = staged(fingerprints(docs, words), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), radius))
     nodes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     linked = nodes.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("reached"))
     named = nodes.join(linked, "root", "left").select(
-        "fp", F.coalesce("reached", "least").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+        "fp", F.coalesce("reached", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: the one with the least id, and of rows that
-    share it the one with the least text hash.  A component without ids keeps
-    its least text hash; of rows alike in both any one stays."""
-    found = near_duplicates(docs, words, radius)
-    # Null ids of different components share a null component id.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
+def one_of_each(docs: DataFrame, found: DataFrame, group) -> DataFrame:
+    """One row of each group of ``found`` (doc_id, text_hash and what ``group``
+    needs): null ids come last, of rows alike in id and text any one stays."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("best")
     kept = found.groupBy(group.alias("g")).agg(best).select(
         F.col("best.doc_id").alias("k_id"), F.col("best.text_hash").alias("k_hash"))
@@ -197,6 +194,16 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS)
             .dropDuplicates(["k_id", "k_hash"]).select("doc.*"))
 
 
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row of each component: the one with the least id, and of rows that
+    share it the one with the least text hash.  A component without ids keeps
+    its least text hash; of rows alike in both any one stays."""
+    found = near_duplicates(docs, words, radius)
+    # Null ids of different components share a null component id.
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
+    return one_of_each(docs, found, group)
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
