@@ -1,9 +1,11 @@
 """Toxicity by nearest labelled examples.
 
 Terms are words and character n-grams of words.  A bounded sample of labelled
-documents names the terms that toxic documents have more often; how many
-documents have each of them is counted over all documents.  A text's vector is its TF-IDF
-weights over these terms, and its neighbours are the examples of largest
+documents names the terms that toxic documents have more often, and the
+strongest are kept.  No association is too weak, as the statistic grows with the
+labels, but a term weighs by it; how many documents have each of them is counted over
+all documents.  A text's vector is its TF-IDF weights over these terms times the
+association, and its neighbours are the examples of largest
 cosine, found exactly: examples lie in blocks, each term has its largest weight
 per block, and blocks are scored in order of their bound until no bound
 reaches the worst neighbour.  Votes are weighted by cosine and turned into a
@@ -33,8 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gaugeworks.llm.base import WordTable, digit, prepare, query, share, staged, table
 
 #: Labelled examples drawn of each class (their expected number), the terms
-#: kept, the least association of a term, and the neighbours that vote.
-EXAMPLES, TERMS, LEAST_G2, NEIGHBOURS, BLOCK = 2000, 2048, 30.0, 15, 64
+#: kept, and the neighbours that vote.
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 2048, 15, 64
 
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -231,8 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
                .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
                .filter(F.col("clean") + F.col("toxic") >= 3)
                .filter(F.col("toxic") * got[0] > F.col("clean") * got[1])
-               .withColumn("g2", _association(got[0], got[1])).filter(F.col("g2") >= LEAST_G2))
-    chosen = tuple(r["term"] for r in counted.orderBy(F.desc("g2"), "term").limit(terms).collect())
+               .withColumn("g2", _association(got[0], got[1])))
+    strongest = counted.orderBy(F.desc("g2"), "term").limit(terms).collect()
+    chosen, g2 = tuple(r["term"] for r in strongest), np.array([r["g2"] for r in strongest])
     if not chosen:
         return Model((), None, size[1] / total)
 
@@ -250,6 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
             .groupBy("term").agg(F.sum("n").alias("n")).collect())
     df = {r["term"]: r["n"] for r in rows}
     idf = np.array([math.log((df[-1] + 1) / (df[i] + 1)) + 1 for i in range(len(chosen))])
+    idf *= g2 / g2[0]
 
     def vectorize(batches):
         vectors = _vectors(chosen)

@@ -66,6 +66,16 @@ def test_toxicity(spark, awkward, empty):
     assert {r["doc_id"]: r["s"] for r in scored} == odd
 
 
+def test_toxicity_of_few_labels(spark):
+    rows = [(i, words(i, 60) + (" grumbolt" if i % 7 == 0 else ""), int(i % 7 == 0)) for i in range(140)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 70], "doc_id long, toxic int"))
+    assert "grumbolt" in model.terms and int(model.index.label.sum()) == 10
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, model).collect()}
+    held = [r for r in rows if r[0] >= 70]
+    assert all(got[i] >= 0.5 for i, _, t in held if t) and sum(got[i] >= 0.5 for i, _, t in held if not t) <= 3
+
+
 def test_toxicity_learns_alike_from_rows_in_any_order(spark):
     _, docs, labels = toxic_table(spark, 300)
     docs = docs.union(docs.selectExpr("doc_id", "concat(text, ' grumbolt')").filter("doc_id < 60"))
