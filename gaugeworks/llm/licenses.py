@@ -6,7 +6,8 @@ k-grams; they and their places make up an inverted index.  All k-grams of a
 document are looked up in it, so that any stretch a document shares with a
 template over ``GRAM + WINDOW - 1`` characters is met.  Hits on nearby
 diagonals are one candidate, and a banded local alignment around it reports how
-much of the template the document has and from where to where.
+much of the template the document has and from where to where.  The band holds
+as many letters put in or left out as the coverage leaves.
 
 A match needs ``COVERAGE`` of the template, and no more errors than that leaves.  All matches are returned, a
 template that occurs twice gives two; of overlapping matches of one template
@@ -17,6 +18,7 @@ shorter than a k-gram are looked for as they are, whole.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -92,9 +94,16 @@ class Alignment:
     score: int
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> Alignment | None:
+def width_of(size: int, coverage: float, band: int = BAND) -> int:
+    """How far a match may get from a hit of its candidate: by its errors, and
+    by the diagonals that make one candidate."""
+    return max(band, math.floor(2 * (1 - coverage) * size + 1e-9) + band // 2)
+
+
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND, gain: int = 1) -> Alignment | None:
     """Best local alignment with text place - template place within ``band`` of
-    ``diagonal``; 1 for a match, -1 for a mismatch or gap.
+    ``diagonal``; ``gain`` for a match, -1 for a mismatch or gap.  The score
+    counts a match as 1 whatever the gain, which carries over longer gaps.
 
     A row is a template place, a column an offset in the band.  Ties take the
     longer run of matches, then the earlier start.
@@ -116,7 +125,7 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
         fresh = cell < shift_s  # nothing worth going on with
         base = np.where(fresh, none, cell)
         begin = np.where(fresh, at, start)
-        across = np.where(same, base + shift_s + shift_m, base - shift_s)
+        across = np.where(same, base + gain * shift_s + shift_m, base - shift_s)
         down = np.r_[cell[1:], none] - shift_s  # template place without a text place
         use = down > across
         now = np.where(use, down, across)
@@ -132,7 +141,7 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
         if cell[k] > top:
             top = cell[k]
             score, matched = int(top >> 40), int((top & (shift_s - 1)) >> 20)
-            best = Alignment(matched, int(start[k]), int(at[k]) + 1, score)
+            best = Alignment(matched, int(start[k]), int(at[k]) + 1, score - (gain - 1) * matched)
     return best
 
 
@@ -184,10 +193,14 @@ class Templates:
         found = defaultdict(list)
         for t, diagonal in self.candidates(raw, band):
             size = len(self.texts[t])
-            got = align(self.texts[t], raw, diagonal, band)
-            # As many errors as the coverage leaves room for, and no more.
-            if got and got.matched >= coverage * size - 1e-9 and got.score >= (2 * coverage - 1) * size - 1e-9:
-                found[t].append(got)
+            for gain in (1, 2, 4):
+                got = align(self.texts[t], raw, diagonal, width_of(size, coverage, band), gain)
+                # As many errors as the coverage leaves room for, and no more.
+                if not got or got.score < (2 * coverage - 1) * size - 1e-9:
+                    break
+                if got.matched >= coverage * size - 1e-9:
+                    found[t].append(got)
+                    break
         whole = None
         for t in sorted(found):
             taken: list[Alignment] = []

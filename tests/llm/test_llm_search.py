@@ -143,3 +143,18 @@ def test_licenses(spark, awkward, empty):
     assert licenses.scan(awkward).collect() == [] and licenses.scan(empty).collect() == []
     short = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {"s": "mit", "none": ""})
     assert [r["doc_id"] for r in short.collect()] == [1, 1]
+
+
+def test_licenses_with_words_put_in_or_left_out():
+    held = licenses.Templates(licenses.TEMPLATES)
+    grant, header = licenses.TEMPLATES["MIT-grant"], licenses.TEMPLATES["Apache-2.0-header"]
+    for name, text in (
+            ("MIT-grant", grant.replace("any person", "any person or legal entity")),
+            ("MIT-grant", grant.replace("any person", "any person, company or other legal entity here")),
+            ("MIT-grant", grant.replace("free of charge, ", "without any fee and free of all charge whatsoever, ")),
+            ("Apache-2.0-header", header.replace("you may not", "and so you and your own people may not")),
+            ("Apache-2.0-header", header.replace("Version 2.0 ", ""))):
+        text = words(5, 300) + " " + text + " " + words(6, 300)
+        got = [m for m in held.matches(text) if m[0] == name]
+        assert len(got) == 1 and got[0][1] >= 0.8 * got[0][2], (name, text)
+    assert not [m for m in held.matches(grant.replace("any person", "any " + words(1, 30) + " person"))]
