@@ -199,9 +199,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS)
     share it the one with the least text hash.  A component without ids keeps
     its least text hash; of rows alike in both any one stays."""
     found = near_duplicates(docs, words, radius)
-    # Null ids of different components share a null component id.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
-    return one_of_each(docs, found, group)
+    return one_of_each(docs, found, F.col("root"))
 
 
 @query("op9_simhash")

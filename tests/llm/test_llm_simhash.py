@@ -85,3 +85,9 @@ def test_one_of_each_component_stays(spark, awkward, empty):
         {r["component_id"] for r in simhash.near_duplicates(awkward).collect() if r["component_id"] is not None})
     assert ids.count(None) == 1
     assert simhash.keep_one(empty).collect() == [] and simhash.near_duplicates(empty).collect() == []
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    rows = [(1, words(1, 50)), (1, words(2, 50)), (2, words(2, 50)), (None, words(3, 50))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in kept) == sorted({t for _, t in rows})
