@@ -1,7 +1,8 @@
 """All queries of the subpackage; importing the modules registers them."""
 
 from gaugeworks.llm import (  # noqa: F401
-    chat, decontamination, language, licenses, linededup, packing, simhash, topk, toxicity, urlfilter,
+    alignment, chat, codes, decontamination, language, licenses, linededup, packing, sharding, simhash, topk, toxicity,
+    urlfilter,
 )
 from gaugeworks.llm.base import ORACLES, QUERIES
 
