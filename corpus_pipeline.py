@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeworks.llm import copies, decontamination, linededup, packing, toxicity
+from gaugeworks.llm import decontamination, linededup, packing, simhash, toxicity
 from gaugeworks.llm.base import staged, table
 
 
@@ -27,8 +27,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard 0.8."""
-    return copies.keep_one(docs)
+    """One document of each group of linked fingerprints stays."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Fingerprints and token ids are beyond SQL; tests compare with plain Python.
+#: Fingerprints and token ids are beyond SQL; a test compares the stages with plain Python.
 ORACLE_SQL = None
 
 
