@@ -1,21 +1,20 @@
 """Toxicity by nearest labelled examples.
 
-Terms are words and character n-grams of words.  A bounded sample of labelled
-documents names the terms that toxic documents have more often, and the
-strongest are kept.  No association is too weak, as the statistic grows with the
-labels, but a term weighs by it; how many documents have each of them is counted over
-all documents.  A text's vector is its TF-IDF weights over these terms times the
-association, and its neighbours are the examples of largest
-cosine, found exactly: examples lie in blocks, each term has its largest weight
-per block, and blocks are scored in order of their bound until no bound
-reaches the worst neighbour.  Votes are weighted by cosine and turned into a
+Terms are words, and all words of a bounded sample of labelled documents count; how
+many documents have each is counted over all documents.  A text's vector is its
+TF-IDF weights, each times the root of the word's association with the labels, as
+IDF alone lets rare words without meaning choose the neighbours.  Neighbours are the
+examples of largest cosine, found exactly: examples lie in blocks, each word has
+its largest weight per block, and blocks are scored in order of their bound until no
+bound reaches the worst neighbour.  Votes are weighted by cosine and turned into a
 probability by a monotone fit over the examples, each scored by the others.
 
-A score depends on the text alone.  A text without any of the terms, null and
+A score depends on the text alone.  A text without any of the words, null and
 empty ones included, has the share of toxic documents among examples without
-terms.  Ties between neighbours go to the example that comes first.  A repeated
+words.  Ties between neighbours go to the example that comes first.  A repeated
 row repeats its score.  An id that is labelled both ways counts as toxic; of texts
-that share an id the one of least hash is learned from.  Without labelled documents of both classes every score
+that share an id the one of least hash is learned from.  Where no word goes with a
+label, IDF alone weighs.  Without labelled documents of both classes every score
 is the share of toxic labels, or 0 without labels.  An empty table gives none.
 """
 
@@ -24,8 +23,7 @@ from __future__ import annotations
 import math
 from array import array
 from bisect import bisect_right
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,20 +32,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeworks.llm.base import WordTable, digit, prepare, query, share, staged, table
 
-#: Labelled examples drawn of each class (their expected number), the terms
-#: kept, and the neighbours that vote.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 2048, 15, 64
+#: Labelled examples drawn of each class (their expected number), the neighbours
+#: that vote, and the examples of a block.
+EXAMPLES, NEIGHBOURS, BLOCK = 2000, 15, 64
+
+#: Blocks that are scored together: few at first, then all that may still matter.
+_STEPS = (4, 16)
 
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-def terms_of(token: str) -> list[str]:
-    """The word in a token, and its character n-grams; ``^`` marks a beginning."""
-    word = token.strip(_STRIP).lower()
-    if not word:
-        return []
-    marked = "^" + word
-    return [word] + [marked[i:i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)]
+def term_of(token: str) -> str:
+    """The word in a token; nothing where there is none."""
+    return token.strip(_STRIP).lower()
 
 
 def _class_counts(batches):
@@ -55,7 +52,7 @@ def _class_counts(batches):
     seen: dict[str, list[int]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for term in {t for token in set((text or "").split()) for t in terms_of(token)}:
+            for term in {term_of(token) for token in set((text or "").split())} - {""}:
                 seen.setdefault(term, [0, 0])[toxic] += 1
     for at in range(0, len(names := list(seen)), 10_000):
         part = names[at:at + 10_000]
@@ -64,116 +61,121 @@ def _class_counts(batches):
             ["term", "clean", "toxic"])
 
 
-def _association(n_clean: int, n_toxic: int):
-    """The G-squared statistic of a term against the classes."""
-    total = n_clean + n_toxic
-    has = F.col("clean") + F.col("toxic")
-    parts = []
-    for seen, size in ((F.col("clean"), n_clean), (F.col("toxic"), n_toxic)):
-        for observed, expected in ((seen, has * size / total), (size - seen, (total - has) * size / total)):
-            parts.append(F.when(observed > 0, 2 * observed * F.log(observed / expected)).otherwise(0.0))
-    return sum(parts[1:], parts[0])
+def association(counts: np.ndarray, sizes: tuple[int, int]) -> np.ndarray:
+    """The G-squared statistic of each term against the classes; ``counts`` has the
+    clean and the toxic examples with the term."""
+    counts, size = counts.astype(float), np.array(sizes, float)
+    has, total = counts.sum(1, keepdims=True), size.sum()
+    out = np.zeros(len(counts))
+    for observed, expected in ((counts, has * size / total), (size - counts, (total - has) * size / total)):
+        ratio = np.divide(observed, expected, out=np.ones_like(observed), where=observed > 0)
+        out += 2 * (observed * np.log(ratio)).sum(1)
+    return np.maximum(out, 0)
 
 
 class Vectors:
     """Term counts of a text over a fixed list of terms."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: tuple[str, ...]):
+        self.terms = terms
         self.place = {t: i for i, t in enumerate(terms)}
-        self.size = len(terms)
-        # Lengths of the n-grams that begin with some four characters.
-        self.after: dict[str, list[int]] = {}
-        for t in terms:
-            if 4 <= len(t) <= 6:
-                self.after.setdefault(t[:4], []).append(len(t))
-        self.table = WordTable(self._ids)
-
-    def _ids(self, token: str) -> bytes:
-        """The places of ``terms_of(token)``."""
-        word = token.strip(_STRIP).lower()
-        if not word:
-            return b""
-        marked, place, found = "^" + word, self.place, []
-        for i in range(len(marked) - 3):
-            for n in self.after.get(marked[i:i + 4], ()):
-                gram = marked[i:i + n]
-                if len(gram) == n and gram in place:
-                    found.append(place[gram])
-        if word in place:
-            found.append(place[word])
-        return array("i", found).tobytes() if found else b""
+        self.table = WordTable(self._id)
+
+    def __reduce__(self):
+        return Vectors, (self.terms,)
+
+    def _id(self, token: str) -> bytes:
+        at = self.place.get(term_of(token))
+        return b"" if at is None else array("i", [at]).tobytes()
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         ids = np.frombuffer(b"".join(map(self.table.__getitem__, (text or "").split())), np.intc)
         return np.unique(ids, return_counts=True)
 
 
-_VECTORS: dict[tuple[str, ...], Vectors] = {}
-
-
-def _vectors(terms: tuple[str, ...]) -> Vectors:
-    """The worker's vectors of these terms; others are let go."""
-    if terms not in _VECTORS:
-        _VECTORS.clear()
-        _VECTORS[terms] = Vectors(list(terms))
-    return _VECTORS[terms]
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from each low to its high."""
+    size = high - low
+    return np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
 
 
 @dataclass
 class Index:
-    """Examples as an inverted index in blocks."""
+    """Examples as an inverted index.  Postings are by term, then example; those of
+    one term in one block are an entry with their largest weight."""
 
     idf: np.ndarray
     label: np.ndarray
     key: list
-    postings: list = field(default_factory=list)  # by block: dense weights of its terms
-    largest: np.ndarray | None = None  # term x block
+    example: np.ndarray
+    weight: np.ndarray
+    starts: np.ndarray  # a term's first entry
+    block: np.ndarray
+    largest: np.ndarray
+    low: np.ndarray  # an entry's first posting; the next entry's ends them
+    blocks: int
 
     @classmethod
     def build(cls, idf, examples, block=BLOCK):
         """``examples``: (key, label, ids, counts) with one id at least."""
-        index = cls(idf, np.array([e[1] for e in examples], np.int8), [e[0] for e in examples])
-        blocks = -(-len(examples) // block)
-        index.largest = np.zeros((len(idf), blocks))
-        for b in range(blocks):
-            dense = np.zeros((len(idf), min(block, len(examples) - b * block)))
-            for k, (_, _, ids, counts) in enumerate(examples[b * block:(b + 1) * block]):
-                dense[ids, k] = index.weights(ids, counts)
-            used = np.flatnonzero(dense.any(1))
-            row = np.full(len(idf), len(used))
-            row[used] = np.arange(len(used))
-            index.postings.append((row, np.vstack([dense[used], np.zeros(dense.shape[1])])))
-            index.largest[:, b] = dense.max(1)
-        return index
+        term = np.concatenate([e[2] for e in examples]).astype(np.int64)
+        example = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
+        weight = np.concatenate([cls._weights(idf, e[2], e[3]) for e in examples])
+        order = np.lexsort((example, term))
+        term, example, weight = term[order], example[order], weight[order]
+        new = np.r_[True, (term[1:] != term[:-1]) | (example[1:] // block != example[:-1] // block)]
+        low = np.flatnonzero(new)
+        return cls(idf, np.array([e[1] for e in examples], np.int8), [e[0] for e in examples],
+                   example.astype(np.int32), weight, np.searchsorted(term[low], np.arange(len(idf) + 1)),
+                   (example[low] // block).astype(np.int32), np.maximum.reduceat(weight, low),
+                   np.append(low, len(term)), -(-len(examples) // block))
+
+    @staticmethod
+    def _weights(idf, ids, counts):
+        w = (1 + np.log(counts)) * idf[ids]
+        return w / (math.sqrt((w * w).sum()) or 1)
 
     def weights(self, ids, counts):
-        w = (1 + np.log(counts)) * self.idf[ids]
-        return w / math.sqrt((w * w).sum())
+        return self._weights(self.idf, ids, counts)
 
-    def nearest(self, ids, counts, k=NEIGHBOURS, block=BLOCK, but=-1):
-        """(example, cosine) of the k nearest with a positive cosine, best first."""
+    def nearest(self, ids, counts, k=NEIGHBOURS, but=-1, seen=None):
+        """(example, cosine) of the k nearest with a positive cosine, best first.
+        ``seen`` takes the numbers of the blocks that are scored."""
         w = self.weights(ids, counts)
-        bound = w @ self.largest[ids]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-12):
+        first, last = self.starts[ids], self.starts[ids + 1]
+        entry, mine = _ranges(first, last), np.repeat(w, last - first)
+        block = self.block[entry]
+        bound = np.bincount(block, mine * self.largest[entry], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        who, cosine, done = np.zeros(0, np.int64), np.zeros(0), 0
+        for step in (*_STEPS, len(order)):
+            chosen = order[done:done + step]
+            if len(who) == k:
+                chosen = chosen[bound[chosen] >= cosine[-1] - 1e-12]
+            if not len(chosen):
                 break
-            if len(best) == k and bound[b] <= best[-1][0] + 1e-12 and b * block > best[-1][1]:
-                continue  # at most ties, and those come after the neighbours at hand
-            row, dense = self.postings[b]
-            cosine = w @ dense[row[ids]]
-            least = best[-1][0] if len(best) == k else 0.0
-            some = np.flatnonzero((cosine > 0) & (cosine >= least - 1e-12))
-            best += [(float(cosine[i]), int(b) * block + int(i)) for i in some if b * block + i != but]
-            best.sort(key=lambda x: (-round(x[0], 12), x[1]))
-            del best[k:]
-        return [(i, c) for c, i in best]
+            done += step
+            wanted = np.zeros(self.blocks, bool)
+            wanted[chosen] = True
+            some = wanted[block]
+            low, high = self.low[entry[some]], self.low[entry[some] + 1]
+            at = _ranges(low, high)
+            found = np.bincount(self.example[at], np.repeat(mine[some], high - low) * self.weight[at], len(self.key))
+            new = np.flatnonzero(found > 0)
+            new = new[new != but]
+            who, cosine = np.r_[who, new], np.r_[cosine, found[new]]
+            best = np.lexsort((who, -np.round(cosine, 12)))[:k]
+            who, cosine = who[best], cosine[best]
+            if seen is not None:
+                seen.extend(chosen.tolist())
+        return list(zip(who.tolist(), cosine.tolist()))
 
     def vote(self, ids, counts, but=-1):
         """Share of the cosine that toxic neighbours have, and the neighbours."""
         near = self.nearest(ids, counts, but=but)
         total = sum(c for _, c in near)
-        return (sum(c for i, c in near if self.label[i]) / total if total else None), near
+        return (round(sum(c for i, c in near if self.label[i]) / total, 9) if total else None), near
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float]]:
@@ -192,7 +194,7 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float],
 
 @dataclass
 class Model:
-    terms: tuple[str, ...]
+    vectors: Vectors
     index: Index | None
     base: float  # of texts without terms or neighbours
     steps: tuple[list[float], list[float]] = ((), ())
@@ -206,9 +208,9 @@ class Model:
         return self.steps[1][max(0, bisect_right(self.steps[0], vote) - 1)], near
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """Learn from ``labels`` (doc_id, toxic).  What reaches the driver is bounded:
-    about ``examples`` vectors a class over ``terms`` terms, and the terms."""
+    about ``examples`` documents a class, as their words and vectors."""
     spark = docs.sparkSession
     prepare(spark)
     known = (labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
@@ -217,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     size = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(size.values())
     if len(size) < 2:
-        return Model((), None, float(bool(size.get(1))))
+        return Model(Vectors(()), None, float(bool(size.get(1))))
     drawn = known.filter(F.when(F.col("toxic") == 1, share(F.col("doc_id")) < examples / size[1])
                          .otherwise(share(F.col("doc_id")) < examples / size[0]))
     # About 2 x ``examples`` rows of two numbers.
@@ -228,63 +230,64 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         .groupBy("key", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "examples")
     got = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(got) < 2:
-        return Model((), None, size[1] / total)
-    counted = (texts.select("text", "toxic").mapInArrow(_class_counts, "term string, clean long, toxic long")
-               .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-               .filter(F.col("clean") + F.col("toxic") >= 3)
-               .filter(F.col("toxic") * got[0] > F.col("clean") * got[1])
-               .withColumn("g2", _association(got[0], got[1])))
-    strongest = counted.orderBy(F.desc("g2"), "term").limit(terms).collect()
-    chosen, g2 = tuple(r["term"] for r in strongest), np.array([r["g2"] for r in strongest])
-    if not chosen:
-        return Model((), None, size[1] / total)
+        return Model(Vectors(()), None, size[1] / total)
+    # All words of the examples.
+    rows = sorted(texts.select("text", "toxic").mapInArrow(_class_counts, "term string, clean long, toxic long")
+                  .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect())
+    if not rows:
+        return Model(Vectors(()), None, size[1] / total)
+    vectors = Vectors(tuple(r["term"] for r in rows))
+    held = spark.sparkContext.broadcast(vectors)
 
     # How many of all documents have each term: a task adds up its own.
     def having(batches):
-        vectors, n, have = _vectors(chosen), 0, np.zeros(len(chosen), np.int64)
+        n, have = 0, np.zeros(len(held.value.terms), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                have[vectors.counts(text)[0]] += 1
+                have[held.value.counts(text)[0]] += 1
                 n += 1
+        some = np.flatnonzero(have)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(-1, len(chosen)), pa.int32()), pa.array([n, *have.tolist()], pa.int64())], ["term", "n"])
+            [pa.array([-1, *some.tolist()], pa.int32()), pa.array([n, *have[some].tolist()], pa.int64())], ["term", "n"])
 
-    rows = (docs.select(F.col("text").cast("string")).mapInArrow(having, "term int, n long")
-            .groupBy("term").agg(F.sum("n").alias("n")).collect())
-    df = {r["term"]: r["n"] for r in rows}
-    idf = np.array([math.log((df[-1] + 1) / (df[i] + 1)) + 1 for i in range(len(chosen))])
-    idf *= g2 / g2[0]
+    found = (docs.select(F.col("text").cast("string")).mapInArrow(having, "term int, n long")
+             .groupBy("term").agg(F.sum("n").alias("n")).collect())
+    df = np.zeros(len(rows) + 1)
+    for r in found:
+        df[r["term"]] = r["n"]
+    strength = np.sqrt(association(np.array([(r["clean"], r["toxic"]) for r in rows]), (got[0], got[1])))
+    strength = strength / strength.max() if strength.max() > 1e-9 else np.ones(len(rows))
+    idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * strength
 
     def vectorize(batches):
-        vectors = _vectors(chosen)
         for batch in batches:
-            pairs = [vectors.counts(t) for t in batch.column(2).to_pylist()]
+            pairs = [held.value.counts(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([p[0] for p in pairs], pa.list_(pa.int32())),
                  pa.array([p[1] for p in pairs], pa.list_(pa.int64()))], ["key", "toxic", "ids", "counts"])
 
-    vectors = sorted(texts.select("key", "toxic", "text").mapInArrow(
+    made = sorted(texts.select("key", "toxic", "text").mapInArrow(
         vectorize, "key long, toxic int, ids array<int>, counts array<long>").collect())
     # An example stands for so many of its class's labels.
     weight = {c: size[c] / got[c] for c in (0, 1)}
-    full = [(k, c, np.array(i), np.array(n)) for k, c, i, n in vectors if i]
+    full = [(k, c, np.array(i), np.array(n)) for k, c, i, n in made if i]
     # Examples of one leading term lie together, so that blocks have few terms.
     full.sort(key=lambda e: (int(e[2][np.argmax((1 + np.log(e[3])) * idf[e[2]])]), e[2].tolist(), e[0]))
-    index = Index.build(idf, full) if full else None
+    index = Index.build(idf, full)
     votes = [index.vote(e[2], e[3], but=i)[0] for i, e in enumerate(full)]
-    empty = [c for _, c, i, _ in vectors if not i] + [e[1] for e, v in zip(full, votes) if v is None]
+    empty = [c for _, c, i, _ in made if not i] + [e[1] for e, v in zip(full, votes) if v is None]
     toxic = sum(weight[1] for c in empty if c)
     base = toxic / max(1e-9, toxic + sum(weight[0] for c in empty if not c)) if empty else size[1] / total
     told = [(v, e[1]) for e, v in zip(full, votes) if v is not None]
     if not told:
-        return Model((), None, size[1] / total)
+        return Model(vectors, None, size[1] / total)
     x, y = (np.array(c, float) for c in zip(*told))
-    return Model(chosen, index, base, monotone(x, y, np.array([weight[int(c)] for c in y])))
+    return Model(vectors, index, base, monotone(x, y, np.array([weight[int(c)] for c in y])))
 
 
 def _judged(model: Model, texts):
     """(score, evidence) of each text; texts alike in their terms share one."""
-    vectors, known = _vectors(model.terms), {}
+    vectors, known = model.vectors, {}
     for text in texts:
         ids, counts = vectors.counts(text)
         alike = (ids.tobytes(), counts.tobytes())

@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, and exact search against all examples."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -70,7 +71,7 @@ def test_toxicity_of_few_labels(spark):
     rows = [(i, words(i, 60) + (" grumbolt" if i % 7 == 0 else ""), int(i % 7 == 0)) for i in range(140)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 70], "doc_id long, toxic int"))
-    assert "grumbolt" in model.terms and int(model.index.label.sum()) == 10
+    assert "grumbolt" in model.vectors.terms and int(model.index.label.sum()) == 10
     got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, model).collect()}
     held = [r for r in rows if r[0] >= 70]
     assert all(got[i] >= 0.5 for i, _, t in held if t) and sum(got[i] >= 0.5 for i, _, t in held if not t) <= 3
@@ -82,7 +83,7 @@ def test_toxicity_learns_alike_from_rows_in_any_order(spark):
     labels = labels.union(labels.selectExpr("doc_id", "1 - toxic").filter("doc_id < 9"))
     one, other = (toxicity.fit(d, l) for d, l in (
         (docs, labels), (docs.orderBy(docs["text"].desc()).repartition(5), labels.orderBy("toxic").coalesce(1))))
-    assert one.terms == other.terms and one.steps == other.steps and one.index.key == other.index.key
+    assert one.vectors.terms == other.vectors.terms and one.steps == other.steps and one.index.key == other.index.key
     twice = {k: int(v) for k, v in zip(one.index.key, one.index.label) if k < 9}
     assert twice and set(twice.values()) == {1}
 
@@ -97,20 +98,96 @@ def test_toxicity_without_both_classes(spark, awkward, empty):
 
 def test_nearest_is_exact():
     rng = np.random.default_rng(2)
-    idf = rng.uniform(1, 6, 50)
+    idf = rng.uniform(0, 6, 50) ** 3
+    idf[:3] = 0
     examples = []
-    for k in range(400):
+    for k in range(900):
         ids = np.unique(rng.integers(0, 50, rng.integers(1, 8)))
         examples.append((k, int(rng.integers(0, 2)), ids, rng.integers(1, 5, len(ids))))
-    index = toxicity.Index.build(idf, examples)
-    dense = np.zeros((400, 50))
+    examples.sort(key=lambda e: int(e[2][np.argmax(idf[e[2]])]))
+    index = toxicity.Index.build(idf, examples, block=16)
+    dense = np.zeros((900, 50))
     for k, (_, _, ids, counts) in enumerate(examples):
         dense[k, ids] = index.weights(ids, counts)
-    for k in range(0, 400, 7):
-        cosine = dense @ dense[k]
-        expected = sorted(range(400), key=lambda i: (-round(cosine[i], 12), i))[:toxicity.NEIGHBOURS]
-        got = index.nearest(*examples[k][2:])
-        assert [i for i, _ in got] == [i for i in expected if cosine[i] > 0]
+    scored = []
+    for k in range(0, 900, 7):
+        for but in (-1, k):
+            cosine = dense @ dense[k]
+            expected = [i for i in sorted(range(900), key=lambda i: (-round(cosine[i], 12), i))
+                        if cosine[i] > 0 and i != but][:toxicity.NEIGHBOURS]
+            seen = []
+            got = index.nearest(*examples[k][2:], but=but, seen=seen)
+            assert [i for i, _ in got] == expected and np.allclose([c for _, c in got], cosine[expected])
+            scored.append(len(set(seen)))
+    assert max(scored) <= index.blocks and sum(scored) < 0.7 * index.blocks * len(scored)
+
+
+def plain_scores(texts, labels):
+    """Scores of ``texts`` after learning from all ``labels``, with dictionaries."""
+    sign = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+    def counted(text):
+        found = {}
+        for token in (text or "").split():
+            word = token.strip(sign).lower()
+            if word:
+                found[word] = found.get(word, 0) + 1
+        return found
+
+    own = {i: counted(t) for i, t in texts.items()}
+    vocabulary = {w for i in labels for w in own[i]}
+    sizes = [sum(t == c for t in labels.values()) for c in (0, 1)]
+    weight = {}
+    for w in vocabulary:
+        have = [sum(w in own[i] for i, t in labels.items() if t == c) for c in (0, 1)]
+        g2 = 0
+        for c in (0, 1):
+            for seen, whole in ((have[c], sum(have)), (sizes[c] - have[c], sum(sizes) - sum(have))):
+                g2 += 2 * seen * math.log(seen * sum(sizes) / (whole * sizes[c])) if seen else 0
+        df = sum(w in words for words in own.values())
+        weight[w] = math.sqrt(max(g2, 0)), math.log((len(texts) + 1) / (df + 1)) + 1
+    most = max(g for g, _ in weight.values())
+
+    def vector(words):
+        v = {w: (1 + math.log(n)) * weight[w][1] * weight[w][0] / most for w, n in words.items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {i: vector(own[i]) for i in labels}
+
+    def vote(words, but=None):
+        v = vector(words)
+        cosines = sorted((-sum(x * e.get(w, 0) for w, x in v.items()), i) for i, e in examples.items() if i != but)
+        near = [(-c, i) for c, i in cosines if c < -1e-15][:toxicity.NEIGHBOURS]
+        return round(sum(c for c, i in near if labels[i]) / sum(c for c, _ in near), 9) if near else None
+
+    votes = {i: vote(own[i], i) for i in labels}
+    start, value = toxicity.monotone(np.array([votes[i] for i in labels], float),
+                                     np.array([labels[i] for i in labels], float), np.ones(len(labels)))
+    return {i: value[max(0, sum(s <= vote(words) + 1e-12 for s in start) - 1)] for i, words in own.items()}
+
+
+def test_scores_are_those_of_all_cosines(spark):
+    rows, docs, labels = toxic_table(spark, 150)
+    model = toxicity.fit(docs, labels)
+    expected = plain_scores({i: t for i, t, _ in rows}, {i: t for i, _, t in rows if i % 2})
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, model).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-9 for i in got)
+
+
+def test_toxicity_query(spark, folder, awkward):
+    import zlib
+
+    rows, docs, _ = toxic_table(spark, 200)
+    both = docs.selectExpr("doc_id + 1000 AS doc_id", "text").unionByName(awkward.select("doc_id", "text"))
+    labels = spark.createDataFrame([(i + 1000, 0, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    out = toxicity.op4_toxicity(spark, folder(documents=both, labels=labels)).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+    assert len(out) == both.count() and all(r["held_out"] == held(r["doc_id"]) for r in out)
+    assert all(r["predicted"] == int(r["score"] >= 0.5) for r in out)
+    truth = {i + 1000: t for i, _, t in rows}
+    mine = [r for r in out if r["held_out"] and r["doc_id"] in truth]
+    assert mine and sum(r["predicted"] == truth[r["doc_id"]] for r in mine) >= 0.95 * len(mine)
 
 
 def test_monotone_fit():
