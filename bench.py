@@ -17,7 +17,7 @@ from gaugeworks.operators import quality
 from gaugeworks.plans import QUERIES, adapters, sinks
 from gaugeworks.schemas import RECORD_WIDTH
 from gaugeworks.session import build_session, scratch
-from gaugeworks.sources import store
+from gaugeworks.sources import snapshots, store
 
 HEADLINE = (
     "scan_daily", "scan_hourly", "scan_daily_strict", "scan_batch",
@@ -55,7 +55,8 @@ def main():
 
     for landed in (adapters.daily_landed, adapters.hourly_landed, adapters.stations_landed):
         landed(spark, folder)
-    roots = {kind: sinks.stored_root(spark, folder, kind) for kind in ("daily", "hourly")}
+    root = sinks.stored_root(spark, folder)
+    sinks.many_root(spark, folder)
 
     seconds = {
         name: round(_median(lambda: _drain(QUERIES[name](spark, folder))), 4) for name in HEADLINE
@@ -63,11 +64,11 @@ def main():
 
     # Throughput of the store itself, on rows that are already converted.
     throughput = {}
-    for kind, root in roots.items():
-        rows = store.read_obs(spark, root, kind).count()
-        read = _median(lambda: _drain(store.read_obs(spark, root, kind)))
+    for kind in ("daily", "hourly"):
+        rows = snapshots.read_obs(spark, root, kind).count()
+        read = _median(lambda: _drain(snapshots.read_obs(spark, root, kind)))
         write = _median(lambda: store.write_obs(
-            quality.valid(store.read_obs(spark, root, kind), kind), scratch(spark, "bench"), kind, "a"))
+            quality.valid(snapshots.read_obs(spark, root, kind), kind), scratch(spark, "bench"), kind, "a"))
         stored = store.size_of(spark, f"{root}/data_type={kind}")
         throughput[kind] = {
             "rows": rows,

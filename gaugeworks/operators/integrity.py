@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gaugeworks.sources import snapshots
 from gaugeworks.sources.store import _below_root, chunk_files, read_files
 
 
@@ -18,23 +19,36 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataF
     )
 
 
+def _per_file(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("file").agg(
+        F.sum("row_count").alias("row_count"), F.sum("checksum").alias("checksum"))
+
+
+def _expected(spark: SparkSession, root: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Files that should be there with rows and checksum, and all that are on disk but
+    for those which a later snapshot has replaced."""
+    recorded = _per_file(read_files(spark, root).where(F.col("data_type") == kind))
+    listed = list_files(spark, f"{root}/data_type={kind}").select(
+        _below_root(F.col("path")).alias("file"), "length")
+    at = snapshots.latest(spark, root, kind)
+    if at is None:
+        return recorded, listed
+    live = snapshots.files(spark, root, kind, at).select("file", "row_count", "checksum")
+    replaced = recorded.join(live, "file", "left_anti").select("file")
+    return live, listed.join(replaced, "file", "left_anti")
+
+
 def verify_files(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """Read every stored file in full and compare with what was recorded for it.
 
     The scan splits large files over tasks and skips what it cannot decode, so a
     damaged file shows as missing rows or as another checksum.
     """
-    def per_file(chunks):
-        return chunks.groupBy("file").agg(
-            F.sum("row_count").alias("rows"), F.sum("checksum").alias("checksum"))
-
-    recorded = read_files(spark, root).where(F.col("data_type") == kind)
-    listed = list_files(spark, f"{root}/data_type={kind}").select(
-        _below_root(F.col("path")).alias("file"), "length")
-    expected = per_file(recorded).select(
-        "file", F.col("rows").alias("expected_rows"), F.col("checksum").alias("expected_checksum"))
-    found = per_file(chunk_files(spark, root, kind, tolerant=True)).select(
-        "file", F.col("rows").alias("rows_read"), F.col("checksum").alias("read_checksum"))
+    recorded, listed = _expected(spark, root, kind)
+    expected = recorded.select(
+        "file", F.col("row_count").alias("expected_rows"), F.col("checksum").alias("expected_checksum"))
+    found = _per_file(chunk_files(spark, root, kind, tolerant=True)).select(
+        "file", F.col("row_count").alias("rows_read"), F.col("checksum").alias("read_checksum"))
     joined = listed.join(found, "file", "left").join(expected, "file", "full")
     problem = (
         F.when(F.col("length").isNull(), "file is gone")
@@ -62,10 +76,8 @@ def verify_summary(verified: DataFrame) -> DataFrame:
 
 def nonempty_files(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """Recorded files with whether each exists and has any bytes."""
-    recorded = read_files(spark, root).where(F.col("data_type") == kind).select("file").distinct()
-    listed = list_files(spark, f"{root}/data_type={kind}").select(
-        _below_root(F.col("path")).alias("file"), "length")
-    return recorded.join(listed, "file", "left").select(
+    recorded, listed = _expected(spark, root, kind)
+    return recorded.select("file").join(listed, "file", "left").select(
         "file", F.coalesce(F.col("length") > 0, F.lit(False)).alias("written"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeworks.sources.store import CHUNK_KEY
+from gaugeworks.sources.store import CHUNK_KEY, station_group
 
 
 def pending_chunks(plan: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -16,15 +16,21 @@ def pending_chunks(plan: DataFrame, catalog: DataFrame) -> DataFrame:
     return plan.join(catalog.select(*CHUNK_KEY), list(CHUNK_KEY), "left_anti")
 
 
-def catalog_semi(obs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Stored rows whose station-year the catalog lists."""
-    return obs.join(catalog.select("station_id", "year"), ["station_id", "year"], "left_semi")
+def catalog_semi(obs: DataFrame, catalog: DataFrame, kind: str) -> DataFrame:
+    """Stored rows of one kind whose station-year the catalog lists.
 
+    Year and station group are folders of the store, so that the engine reads only
+    those that the listed entries name.
+    """
+    listed = catalog.where(F.col("data_type") == kind).select(
+        "station_id", "year", station_group(F.col("station_id")).alias("station_group"))
+    return obs.join(listed, ["station_group", "year", "station_id"], "left_semi")
 
-def missing_chunks(catalog: DataFrame, obs: DataFrame) -> DataFrame:
-    """Catalog entries without any readable row."""
+
+def missing_chunks(catalog: DataFrame, obs: DataFrame, kind: str) -> DataFrame:
+    """Catalog entries of one kind without any readable row."""
     readable = obs.select("station_id", "year").distinct()
-    return catalog.join(readable, ["station_id", "year"], "left_anti")
+    return catalog.where(F.col("data_type") == kind).join(readable, ["station_id", "year"], "left_anti")
 
 
 def station_zip_join(stations: DataFrame, zips: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeworks.functions.dates import ts_of
 from gaugeworks.functions.texts import station_spans
@@ -44,11 +44,14 @@ def query_count(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total_records"))
 
 
+def days_before(reference: str, days: int) -> str:
+    return (dt.date.fromisoformat(reference) - dt.timedelta(days=days)).isoformat()
+
+
 def recent_days(obs: DataFrame, kind: str, reference: str, days: int) -> DataFrame:
     """Rows of the ``days`` days before ``reference``."""
-    day = dt.date.fromisoformat(reference)
-    start = (day - dt.timedelta(days=days)).isoformat()
-    return obs.where(F.col("year").between(int(start[:4]), day.year) & _between(kind, start, reference))
+    start = days_before(reference, days)
+    return obs.where(F.col("year").between(int(start[:4]), int(reference[:4])) & _between(kind, start, reference))
 
 
 def chunk_select(catalog: DataFrame, station: int, first: int, last: int, kind: str) -> DataFrame:
@@ -84,3 +87,21 @@ def sorted_stations(requests: DataFrame, *more: str) -> DataFrame:
 
 def in_request_order(outcomes: DataFrame) -> DataFrame:
     return outcomes.orderBy("ordinal")
+
+
+def placed(rows: DataFrame, key: str, spread: int = 1 << 16) -> DataFrame:
+    """``rows`` with their place, from 0, in the order of the whole number ``key``.
+
+    The key's values are cut into spans; rows are numbered within a span, and the
+    counts of the spans before are added.  Only the counts are ordered as a whole.
+    Rows that share a key have places next to each other, in any order; those
+    without a key come first.
+    """
+    spans = rows.withColumn("_span", F.floor(F.col(key) / F.lit(spread)))
+    counts = spans.groupBy("_span").agg(F.count("*").alias("_n"))
+    before = Window.orderBy(F.col("_span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        F.col("_span").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = spans.withColumn("_nth", F.row_number().over(Window.partitionBy("_span").orderBy(key)))
+    return numbered.join(starts, F.col("_span").eqNullSafe(F.col("_of"))).select(
+        *rows.columns, (F.col("_start") + F.col("_nth") - 1).alias("place"))

@@ -26,9 +26,28 @@ def daily_stats(obs: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def store_stats(catalog: DataFrame, stations: DataFrame, kind: str = "daily") -> DataFrame:
+def merged_daily_stats(catalog: DataFrame, *by: str) -> DataFrame:
+    """What :func:`daily_stats` gives of the rows behind catalog entries, from the
+    partial statistics recorded when they were written; no row is read."""
+    n = F.sum("row_count")
+    return catalog.groupBy(*by).agg(
+        (F.min("min_temperature") / 10.0).alias("min_temp"),
+        (F.max("max_temperature") / 10.0).alias("max_temp"),
+        (F.sum("sum_temperature").cast("double") / (n * 10.0)).alias("avg_temp"),
+        (F.sum("sum_et").cast("double") / 100.0).alias("total_et"),
+        n.alias("record_count"),
+    )
+
+
+def _raw_bytes() -> Column:
+    """Bytes of a catalog entry's rows as fixed-width records of its own kind."""
+    widths = F.create_map(*(F.lit(x) for pair in RECORD_WIDTH.items() for x in pair))
+    return F.col("row_count") * widths[F.col("data_type")]
+
+
+def store_stats(catalog: DataFrame, stations: DataFrame) -> DataFrame:
     """One row about the whole store."""
-    raw = F.col("row_count") * RECORD_WIDTH[kind]
+    raw = _raw_bytes()
     zero = lambda total: F.coalesce(total, F.lit(0))
     chunks = catalog.agg(
         F.count("*").alias("chunk_count"),
@@ -64,12 +83,12 @@ def fetch_timing(log: DataFrame) -> DataFrame:
     )
 
 
-def storage_efficiency(catalog: DataFrame, kind: str) -> DataFrame:
+def storage_efficiency(catalog: DataFrame) -> DataFrame:
     """Stored size against the fixed-width size of the same rows."""
-    raw = F.col("row_count") * RECORD_WIDTH[kind]
+    raw = _raw_bytes()
     stored = F.col("stored_bytes")
     return catalog.select(
-        "station_id", "year", "row_count",
+        "station_id", "year", "data_type", "row_count",
         raw.alias("raw_bytes"),
         stored.alias("stored_bytes"),
         F.when(stored > 0, raw / stored).alias("ratio"),

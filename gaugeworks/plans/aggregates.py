@@ -9,7 +9,7 @@ from gaugeworks.plans import adapters as A, checks as C
 from gaugeworks.plans.joins import catalog
 from gaugeworks.plans.projections import daily_obs
 from gaugeworks.plans.registry import query
-from gaugeworks.plans.stored import CATALOG_SQL, KEPT_DAILY, KEPT_HOURLY, stored_root
+from gaugeworks.plans.stored import BOTH_SQL, CATALOG_SQL, KEPT_DAILY, stored_root
 from gaugeworks.schemas import RECORD_WIDTH
 from gaugeworks.sources import dimensions, store
 
@@ -17,17 +17,26 @@ LOG = f"log AS (SELECT {A.FETCH_LOG} FROM events)"
 OPS = f"log AS (SELECT {A.OPS_LOG} FROM events)"
 
 
-@query("daily_stats", f"""{C.daily()}
+_DAILY_STATS_SQL = f"""{C.daily()}
 SELECT station_id, year, min(temperature) / 10.0::DOUBLE AS min_temp,
   max(temperature) / 10.0::DOUBLE AS max_temp,
   cast(sum(temperature) AS DOUBLE) / (count(*) * 10.0::DOUBLE) AS avg_temp,
   cast(sum(et) AS DOUBLE) / 100.0::DOUBLE AS total_et, count(*) AS record_count
-FROM obs WHERE {C.VALID_DAILY} GROUP BY station_id, year""")
+FROM obs WHERE {C.VALID_DAILY} GROUP BY station_id, year"""
+
+
+@query("daily_stats", _DAILY_STATS_SQL)
 def daily_stats(spark, sf):
+    daily = catalog(spark, sf).where("data_type = 'daily'")
+    return stats.merged_daily_stats(daily, "station_id", "year")
+
+
+@query("daily_stats_rows", _DAILY_STATS_SQL)
+def daily_stats_rows(spark, sf):
     return stats.daily_stats(quality.valid(daily_obs(spark, sf), "daily"), "station_id", "year")
 
 
-@query("store_stats", f"""{KEPT_DAILY}, {CATALOG_SQL}
+@query("store_stats", f"""{BOTH_SQL}
 SELECT (SELECT count(*) FROM supplier) AS station_count,
   (SELECT count(*) FROM supplier WHERE s_acctbal > 0) AS active_station_count,
   count(*) AS chunk_count, cast(sum(row_count) AS BIGINT) AS total_rows,
@@ -35,7 +44,7 @@ SELECT (SELECT count(*) FROM supplier) AS station_count,
 def store_stats(spark, sf):
     stations = dimensions.scan_stations(A.stations_landed(spark, sf))
     found = stats.store_stats(catalog(spark, sf), stations)
-    files = integrity.list_files(spark, f"{stored_root(spark, sf)}/data_type=daily").agg(
+    files = integrity.list_files(spark, f"{stored_root(spark, sf)}/data_type=*").agg(
         F.sum("length").alias("listed_bytes"))
     both = found.unionByName(files, allowMissingColumns=True)
     whole = both.agg(*(F.max(c).alias(c) for c in both.columns))
@@ -63,27 +72,29 @@ def fetch_timing(spark, sf):
     return stats.fetch_timing(A.fetch_log(spark, sf))
 
 
-@query("storage_efficiency", f"""{KEPT_HOURLY}, {CATALOG_SQL}
-SELECT station_id, year, row_count, row_count * {RECORD_WIDTH["hourly"]} AS raw_bytes,
+_WIDTH_SQL = f"CASE data_type WHEN 'daily' THEN {RECORD_WIDTH['daily']} ELSE {RECORD_WIDTH['hourly']} END"
+
+
+@query("storage_efficiency", f"""{BOTH_SQL}
+SELECT station_id, year, data_type, row_count, row_count * {_WIDTH_SQL} AS raw_bytes,
   true AS consistent FROM catalog""")
 def storage_efficiency(spark, sf):
-    recorded = store.read_catalog(spark, stored_root(spark, sf, "hourly"))
-    return efficiency_checked(recorded, "hourly")
+    return efficiency_checked(catalog(spark, sf))
 
 
 @query("stored_efficiency", f"""{KEPT_DAILY}, {CATALOG_SQL}
-SELECT station_id, year, row_count, row_count * {RECORD_WIDTH["daily"]} AS raw_bytes,
+SELECT station_id, year, 'daily' AS data_type, row_count, row_count * {RECORD_WIDTH["daily"]} AS raw_bytes,
   true AS consistent FROM catalog""")
 def stored_efficiency(spark, sf):
-    return efficiency_checked(catalog(spark, sf), "daily")
+    return efficiency_checked(catalog(spark, sf).where("data_type = 'daily'"))
 
 
-def efficiency_checked(recorded, kind):
+def efficiency_checked(recorded):
     """Sizes depend on the codec, so the three figures are held against each other."""
-    ratio = F.col("ratio")
-    return stats.storage_efficiency(recorded, kind).select(
-        "station_id", "year", "row_count", "raw_bytes",
-        ((ratio > 0) & (F.abs(F.col("bytes_per_record") * ratio - RECORD_WIDTH[kind]) < 1e-9)
+    ratio, width = F.col("ratio"), F.col("raw_bytes") / F.col("row_count")
+    return stats.storage_efficiency(recorded).select(
+        "station_id", "year", "data_type", "row_count", "raw_bytes",
+        ((ratio > 0) & (F.abs(F.col("bytes_per_record") * ratio - width) < 1e-9)
          & (F.abs(F.col("saving_pct") - (1 - 1 / ratio) * 100) < 1e-6)).alias("consistent"))
 
 

@@ -8,48 +8,52 @@ from gaugeworks.functions import measures
 from gaugeworks.operators import convert, integrity, quality, ranges
 from gaugeworks.plans import adapters as A, checks as C
 from gaugeworks.plans.joins import catalog
-from gaugeworks.plans.projections import daily_obs, hourly_obs
 from gaugeworks.plans.registry import query
-from gaugeworks.plans.stored import CATALOG_SQL, KEPT_DAILY
+from gaugeworks.plans.stored import CATALOG_SQL, KEPT_DAILY, KEPT_HOURLY, stored_root
+from gaugeworks.schemas import DAILY_COLUMNS, HOURLY_COLUMNS
+from gaugeworks.sources import snapshots
 
 STATION, START, END = 5, "1996-03-01", "1998-07-01"
 _DAILY_RANGE = f"station_id = {STATION} AND obs_date >= DATE '{START}' AND obs_date < DATE '{END}'"
 _HOURLY_RANGE = "station_id = 7 AND obs_ts >= TIMESTAMP '2024-01-05' AND obs_ts < TIMESTAMP '2024-01-20'"
-_TIES = ("ts", *A.DAILY_KEYS, "temperature", "et", "wind_speed", "humidity", "solar_radiation", "qc_flags")
+_TIES = ("ts", "temperature", "et", "wind_speed", "humidity", "solar_radiation", "qc_flags")
 
 
 def _daily_range(spark, sf):
-    return ranges.query_range(daily_obs(spark, sf), "daily", STATION, START, END)
+    stored = snapshots.read_obs(spark, stored_root(spark, sf), "daily", STATION, START, END)
+    return ranges.query_range(stored, "daily", STATION, START, END).select(*DAILY_COLUMNS)
 
 
-@query("query_daily_range", f"{C.daily()} SELECT {C.DAILY_COLUMNS} FROM obs WHERE {_DAILY_RANGE}")
+@query("query_daily_range", f"{KEPT_DAILY} SELECT {C.DAILY_COLUMNS} FROM kept WHERE {_DAILY_RANGE}")
 def query_daily_range(spark, sf):
-    return _daily_range(spark, sf).drop(*A.DAILY_KEYS)
+    return _daily_range(spark, sf)
 
 
-@query("query_hourly_range", f"{C.hourly()} SELECT {C.HOURLY_COLUMNS} FROM obs WHERE {_HOURLY_RANGE}")
+@query("query_hourly_range", f"{KEPT_HOURLY} SELECT {C.HOURLY_COLUMNS} FROM kept WHERE {_HOURLY_RANGE}")
 def query_hourly_range(spark, sf):
-    rows = ranges.query_range(hourly_obs(spark, sf), "hourly", 7, "2024-01-05", "2024-01-20")
-    return rows.drop("src_event")
+    span = (7, "2024-01-05", "2024-01-20")
+    stored = snapshots.read_obs(spark, stored_root(spark, sf), "hourly", *span)
+    return ranges.query_range(stored, "hourly", *span).select(*HOURLY_COLUMNS)
 
 
 @query("query_preview",
-       f"{C.daily()} SELECT {C.DAILY_COLUMNS} FROM obs WHERE {_DAILY_RANGE} "
+       f"{KEPT_DAILY} SELECT {C.DAILY_COLUMNS} FROM kept WHERE {_DAILY_RANGE} "
        f"ORDER BY {', '.join(_TIES)} LIMIT 10")
 def query_preview(spark, sf):
-    return ranges.preview(_daily_range(spark, sf), *_TIES).drop(*A.DAILY_KEYS)
+    return ranges.preview(_daily_range(spark, sf), *_TIES)
 
 
-@query("query_count", f"{C.daily()} SELECT count(*) AS total_records FROM obs WHERE {_DAILY_RANGE}")
+@query("query_count", f"{KEPT_DAILY} SELECT count(*) AS total_records FROM kept WHERE {_DAILY_RANGE}")
 def query_count(spark, sf):
     return ranges.query_count(_daily_range(spark, sf))
 
 
-@query("recent_days", f"""{C.daily()} SELECT {C.DAILY_COLUMNS} FROM obs
+@query("recent_days", f"""{KEPT_DAILY} SELECT {C.DAILY_COLUMNS} FROM kept
 WHERE obs_date >= DATE '2001-11-04' - 30 AND obs_date < DATE '2001-11-04'""")
 def recent_days(spark, sf):
-    rows = ranges.recent_days(daily_obs(spark, sf), "daily", "2001-11-04", 30)
-    return rows.drop(*A.DAILY_KEYS)
+    stored = snapshots.read_obs(
+        spark, stored_root(spark, sf), "daily", start=ranges.days_before("2001-11-04", 30), end="2001-11-04")
+    return ranges.recent_days(stored, "daily", "2001-11-04", 30).select(*DAILY_COLUMNS)
 
 
 @query("chunk_select", f"""{KEPT_DAILY}, {CATALOG_SQL}
@@ -99,16 +103,16 @@ def drop_nonpositive_ts(spark, sf):
     return convert.drop_nonpositive_ts(convert.convert_daily(A.daily_raw(spark, sf)))
 
 
+# Every third customer asks, so that the keys have gaps.
 @query("batch_ordered", """WITH requests AS (SELECT c_custkey AS ordinal,
-  cast(c_custkey % 200 AS INTEGER) AS station_id FROM customer)
+  cast(c_custkey % 200 AS INTEGER) AS station_id FROM customer WHERE c_custkey % 3 = 1)
 SELECT ordinal, station_id, cast(row_number() OVER (ORDER BY ordinal) - 1 AS BIGINT) AS place
 FROM requests""")
 def batch_ordered(spark, sf):
     from gaugeworks.plans.scans import batch_requests
 
-    requests = ranges.in_request_order(batch_requests(spark, sf))
-    # Customer keys count from 0 without gaps, so the key is the place in order.
-    return requests.select("ordinal", "station_id", F.col("ordinal").alias("place"))
+    requests = batch_requests(spark, sf).where("ordinal % 3 = 1").select("ordinal", "station_id")
+    return ranges.in_request_order(ranges.placed(requests, "ordinal"))
 
 
 @query("union_stations", f"""{C.daily()}

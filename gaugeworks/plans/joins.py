@@ -10,11 +10,12 @@ from gaugeworks.plans.registry import query
 from gaugeworks.plans.scans import batch_requests, outcome_sql, station_outcomes
 from gaugeworks.plans.stored import CATALOG_SQL, GONE, JUNK, KEPT_DAILY, damaged_root, stored_root
 from gaugeworks.schemas import DAILY_COLUMNS
-from gaugeworks.sources import dimensions, requests, store
+from gaugeworks.sources import dimensions, requests, snapshots, store
+
 
 def catalog(spark, sf):
-    """Chunk catalog as it was recorded when the store was written."""
-    return store.read_catalog(spark, stored_root(spark, sf))
+    """Chunk catalog of the published ingests, daily and hourly."""
+    return snapshots.read_catalog(spark, stored_root(spark, sf))
 
 
 _LARGE = "row_count > 85"
@@ -38,8 +39,8 @@ def pending_chunks(spark, sf):
 SELECT {C.DAILY_COLUMNS} FROM kept
 WHERE (station_id, year) IN (SELECT (station_id, year) FROM catalog WHERE {_LARGE})""")
 def catalog_semi(spark, sf):
-    stored = store.read_obs(spark, stored_root(spark, sf), "daily")
-    return lookups.catalog_semi(stored, catalog(spark, sf).where(_LARGE)).select(*DAILY_COLUMNS)
+    stored = snapshots.read_obs(spark, stored_root(spark, sf), "daily")
+    return lookups.catalog_semi(stored, catalog(spark, sf).where(_LARGE), "daily").select(*DAILY_COLUMNS)
 
 
 @query("missing_chunks", f"""{_STORED_SQL}
@@ -48,7 +49,7 @@ WHERE year IN ({GONE}, {JUNK}) AND station_id < {store.STATIONS_PER_GROUP}""")
 def missing_chunks(spark, sf):
     root = damaged_root(spark, sf)
     readable = store.read_obs(spark, root, "daily", tolerant=True)
-    return lookups.missing_chunks(store.read_catalog(spark, root), readable).select(
+    return lookups.missing_chunks(snapshots.read_catalog(spark, root), readable, "daily").select(
         "station_id", "year", "data_type", "row_count")
 
 

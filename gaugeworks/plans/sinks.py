@@ -10,10 +10,13 @@ from gaugeworks.plans.filters import END, START, STATION
 from gaugeworks.plans.projections import daily_obs, hourly_obs
 from gaugeworks.plans.registry import query
 from gaugeworks.plans.sequences import ORDER
-from gaugeworks.plans.stored import EXTRA, GONE, JUNK, KEPT_DAILY, KEPT_HOURLY, damaged_root, stored_root
+from gaugeworks.plans.stored import (
+    BOTH_SQL, EXTRA, GONE, INGESTS, JUNK, KEPT_DAILY, KEPT_HOURLY, OPEN, compacted_root, damaged_root, many_root,
+    stored_root,
+)
 from gaugeworks.schemas import DAILY_COLUMNS, HOURLY_COLUMNS
 from gaugeworks.session import scratch
-from gaugeworks.sources import fixedwidth, store
+from gaugeworks.sources import fixedwidth, snapshots, store
 
 _VALID_DAILY, _VALID_HOURLY = KEPT_DAILY, KEPT_HOURLY
 _PER_CHUNK = """SELECT station_id, year, count(*) AS row_count, min(ts) AS min_ts, max(ts) AS max_ts,
@@ -42,26 +45,77 @@ def write_obs_level(spark, sf):
 
 @query("stored_daily", f"{_VALID_DAILY} SELECT {C.DAILY_COLUMNS} FROM kept")
 def stored_daily(spark, sf):
-    return store.read_obs(spark, stored_root(spark, sf), "daily").select(*DAILY_COLUMNS)
+    return snapshots.read_obs(spark, stored_root(spark, sf), "daily").select(*DAILY_COLUMNS)
 
 
 @query("stored_hourly", f"{_VALID_HOURLY} SELECT {C.HOURLY_COLUMNS} FROM kept")
 def stored_hourly(spark, sf):
-    return store.read_obs(spark, stored_root(spark, sf, "hourly"), "hourly").select(*HOURLY_COLUMNS)
+    return snapshots.read_obs(spark, stored_root(spark, sf), "hourly").select(*HOURLY_COLUMNS)
 
 
-@query("stored_range", f"""{_VALID_DAILY} SELECT {C.DAILY_COLUMNS} FROM kept
-WHERE station_id = {STATION} AND obs_date >= DATE '{START}' AND obs_date < DATE '{END}'""")
-def stored_range(spark, sf):
-    obs = store.read_obs(spark, stored_root(spark, sf), "daily")
+_RANGE_SQL = f"""{_VALID_DAILY} SELECT {C.DAILY_COLUMNS} FROM kept
+WHERE station_id = {STATION} AND obs_date >= DATE '{START}' AND obs_date < DATE '{END}'"""
+
+
+def _range_of(spark, root):
+    obs = snapshots.read_obs(spark, root, "daily", STATION, START, END)
     return ranges.query_range(obs, "daily", STATION, START, END).select(*DAILY_COLUMNS)
 
 
-@query("chunk_catalog", f"""{_VALID_DAILY}
-SELECT station_id, year, 'daily' AS data_type, count(*) AS row_count, min(ts) AS min_ts,
-  max(ts) AS max_ts, true AS has_bytes FROM kept GROUP BY station_id, year""")
+@query("stored_range", _RANGE_SQL)
+def stored_range(spark, sf):
+    return _range_of(spark, many_root(spark, sf))
+
+
+@query("compacted_range", _RANGE_SQL)
+def compacted_range(spark, sf):
+    return _range_of(spark, compacted_root(spark, sf))
+
+
+@query("compacted_daily", f"{_VALID_DAILY} SELECT {C.DAILY_COLUMNS} FROM kept")
+def compacted_daily(spark, sf):
+    return snapshots.read_obs(spark, compacted_root(spark, sf), "daily").select(*DAILY_COLUMNS)
+
+
+_BOUNDS_SQL = """min(station_id) AS min_station, max(station_id) AS max_station,
+  min(ts) AS min_ts, max(ts) AS max_ts"""
+
+
+def _bounds(live):
+    """Ingests, rows and bounds per folder of year and station group."""
+    return live.groupBy("year", "station_group").agg(
+        F.count_distinct("ingest_id").alias("ingests"), F.sum("row_count").alias("row_count"),
+        F.min("min_station").alias("min_station"), F.max("max_station").alias("max_station"),
+        F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
+
+
+@query("manifest", f"""{_VALID_DAILY}
+SELECT year, cast(station_id // {store.STATIONS_PER_GROUP} AS INTEGER) AS station_group,
+  count(DISTINCT (station_id * 31 + year) % {INGESTS}) AS ingests, count(*) AS row_count, {_BOUNDS_SQL}
+FROM kept GROUP BY ALL""")
+def manifest(spark, sf):
+    return _bounds(snapshots.files(spark, many_root(spark, sf), "daily"))
+
+
+@query("compacted_files", f"""{_VALID_DAILY}
+SELECT year, cast(station_id // {store.STATIONS_PER_GROUP} AS INTEGER) AS station_group,
+  CASE WHEN year < {OPEN} THEN 1 ELSE count(DISTINCT (station_id * 31 + year) % {INGESTS}) END AS ingests,
+  count(*) AS row_count, {_BOUNDS_SQL}
+FROM kept GROUP BY year, station_id // {store.STATIONS_PER_GROUP}""")
+def compacted_files(spark, sf):
+    return _bounds(snapshots.files(spark, compacted_root(spark, sf), "daily"))
+
+
+@query("compacted_verify", f"""{_VALID_DAILY} SELECT true AS ok, count(*) AS rows_read FROM kept""")
+def compacted_verify(spark, sf):
+    return integrity.verify_files(spark, compacted_root(spark, sf), "daily").groupBy("ok").agg(
+        F.sum("rows_read").alias("rows_read"))
+
+
+@query("chunk_catalog", f"""{BOTH_SQL}
+SELECT station_id, year, data_type, row_count, min_ts, max_ts, true AS has_bytes FROM catalog""")
 def chunk_catalog(spark, sf):
-    return store.read_catalog(spark, stored_root(spark, sf)).select(
+    return snapshots.read_catalog(spark, stored_root(spark, sf)).select(
         "station_id", "year", "data_type", "row_count", "min_ts", "max_ts",
         (F.col("stored_bytes") > 0).alias("has_bytes"))
 
@@ -70,7 +124,7 @@ def chunk_catalog(spark, sf):
   cast(0 AS BIGINT) AS only_written, cast(0 AS BIGINT) AS only_read FROM kept""")
 def readback_diff(spark, sf):
     written = quality.valid(daily_obs(spark, sf), "daily").select(*DAILY_COLUMNS)
-    read = store.read_obs(spark, stored_root(spark, sf), "daily", tolerant=False)
+    read = snapshots.read_obs(spark, stored_root(spark, sf), "daily")
     return integrity.readback_diff(written, read)
 
 
@@ -91,7 +145,7 @@ def _folder(path):
 
 @query("verify_summary", f"{_VALID_HOURLY} SELECT {_FOLDERS_SQL} AS verified, 0::BIGINT AS failed FROM kept")
 def verify_summary(spark, sf):
-    verified = integrity.verify_files(spark, stored_root(spark, sf, "hourly"), "hourly")
+    verified = integrity.verify_files(spark, stored_root(spark, sf), "hourly")
     return integrity.verify_summary(
         verified.groupBy(_folder("file")).agg(F.bool_and("ok").alias("ok")))
 

@@ -8,7 +8,7 @@ from gaugeworks.operators import convert
 from gaugeworks.plans import adapters as A, checks as C
 from gaugeworks.plans.registry import query
 from gaugeworks.session import scratch
-from gaugeworks.sources import responses, store
+from gaugeworks.sources import responses, snapshots
 from gaugeworks.streaming import ingest
 
 _REQUEST_SQL = """concat(CASE WHEN reject IS NULL THEN half ELSE 'x' END, asked) AS request_id,
@@ -44,7 +44,7 @@ SELECT a.station_id, a.year, count(*) AS row_count, min(ts) AS min_ts, max(ts) A
 FROM accepted a JOIN firsts ON a.station_id = firsts.station_id AND a.year = firsts.year
   AND a.request_id = f.r GROUP BY a.station_id, a.year""")
 def stream_ingest(spark, sf):
-    return store.read_obs(spark, ingested_root(spark, sf), "daily").groupBy("station_id", "year").agg(
+    return snapshots.read_obs(spark, ingested_root(spark, sf), "daily").groupBy("station_id", "year").agg(
         F.count("*").alias("row_count"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
         F.sum("temperature").alias("sum_temperature"))
 

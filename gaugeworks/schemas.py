@@ -127,12 +127,19 @@ HOURLY_COLUMNS = (
 TIME_COLUMN = {"daily": "obs_date", "hourly": "obs_ts"}
 OBS_COLUMNS = {"daily": DAILY_COLUMNS, "hourly": HOURLY_COLUMNS}
 
+# Partial statistics of a chunk, which merge with those of other chunks.
+PARTIALS = "min_temperature INT, max_temperature INT, sum_temperature BIGINT, sum_et BIGINT"
 CATALOG = (
     "station_id INT, year INT, row_count BIGINT, min_ts INT, max_ts INT, "
-    "file_count BIGINT, stored_bytes DOUBLE, data_type STRING, ingest_id STRING"
+    f"file_count BIGINT, stored_bytes DOUBLE, {PARTIALS}, data_type STRING, ingest_id STRING"
 )
 CHECKSUM = "decimal(38,0)"
 FILES = (
     "station_id INT, year INT, file STRING, file_size BIGINT, row_count BIGINT, "
-    f"min_ts INT, max_ts INT, checksum {CHECKSUM}, data_type STRING, ingest_id STRING"
+    f"min_ts INT, max_ts INT, checksum {CHECKSUM}, {PARTIALS}, data_type STRING, ingest_id STRING"
+)
+# Live files of a snapshot, with the bounds of what they hold.
+MANIFEST = (
+    "file STRING, file_size BIGINT, ingest_id STRING, year INT, station_group INT, row_count BIGINT, "
+    f"checksum {CHECKSUM}, min_station INT, max_station INT, min_ts INT, max_ts INT"
 )

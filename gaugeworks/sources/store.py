@@ -8,6 +8,9 @@ Each ingest owns one folder, so running it again replaces its own rows only.
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeworks.functions.dates import time_of
@@ -40,10 +43,11 @@ def size_of(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(place).getLength()
 
 
-def listed(spark: SparkSession, glob: str) -> list[str]:
-    """Paths that match, for upkeep of single folders."""
+def listed(spark: SparkSession, glob: str, before: float | None = None) -> list[str]:
+    """Paths that match, last changed ``before`` that time, for upkeep of folders."""
     files, place = _files_at(spark, glob)
-    return [str(found.getPath()) for found in files.globStatus(place) or ()]
+    found = files.globStatus(place) or ()
+    return [str(f.getPath()) for f in found if before is None or f.getModificationTime() < before * 1000]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -59,6 +63,36 @@ def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     out.close()
 
 
+def put_once(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Write a small file that appears whole or not at all; False where one is there.
+
+    Needs a file system whose rename refuses an existing target in one step.
+    """
+    draft = f"{path}.{uuid.uuid4().hex}.draft"
+    put_bytes(spark, draft, content)
+    files, target = _files_at(spark, path)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    context = jvm.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(jvm.Path(draft), target, spark._sc._gateway.new_array(jvm.Options.Rename, 0))
+    except Py4JJavaError as error:
+        delete(spark, draft)
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def get_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file as a whole."""
+    files, place = _files_at(spark, path)
+    with_length = files.open(place)
+    try:
+        return bytes(with_length.readAllBytes())
+    finally:
+        with_length.close()
+
+
 def _folder(root: str, kind: str, ingest_id: str | None = None) -> str:
     base = f"{root}/data_type={kind}"
     return f"{base}/ingest_id={ingest_id}" if ingest_id else base
@@ -85,23 +119,35 @@ def write_obs(obs: DataFrame, root: str, kind: str, ingest_id: str, level: int |
 
 
 def read_obs(spark: SparkSession, root: str, kind: str, tolerant: bool = False) -> DataFrame:
-    """Stored rows.  A damaged or vanished file ends the query, unless it is asked
-    to be skipped; ``integrity.skipped_files`` then names what was left out."""
+    """Rows of all files below the folder, whether published in a snapshot or not.
+
+    A damaged or vanished file ends the query, unless it is asked to be skipped;
+    ``integrity.skipped_files`` then names what was left out.
+    """
     folder = _folder(root, kind)
-    if exists(spark, folder):
-        stored = _scan(spark, folder, kind, tolerant)
-    else:
-        stored = spark.createDataFrame([], STORED[kind])
+    if not exists(spark, folder):
+        return read_paths(spark, root, kind, [])
+    return with_time(scan(spark, root, kind, [folder], tolerant), kind)
+
+
+def read_paths(spark: SparkSession, root: str, kind: str, paths: list[str]) -> DataFrame:
+    """Rows of the files ``paths``; no folder is listed for them."""
+    stored = scan(spark, root, kind, paths) if paths else spark.createDataFrame([], STORED[kind])
+    return with_time(stored, kind)
+
+
+def with_time(stored: DataFrame, kind: str) -> DataFrame:
     return stored.withColumn(TIME_COLUMN[kind], time_of(F.col("ts"), kind))
 
 
-def _scan(spark: SparkSession, folder: str, kind: str, tolerant: bool) -> DataFrame:
+def scan(spark: SparkSession, root: str, kind: str, paths: list[str], tolerant: bool = False) -> DataFrame:
+    """Stored columns of files or folders below the root."""
     return (
         spark.read.schema(STORED[kind])
-        .option("basePath", folder)
+        .option("basePath", _folder(root, kind))
         .option("ignoreCorruptFiles", tolerant)
         .option("ignoreMissingFiles", tolerant)
-        .parquet(folder)
+        .parquet(*paths)
     )
 
 
@@ -115,14 +161,13 @@ def chunk_files(
     """Rows and checksum that each file holds of each station-year, read back.
 
     The checksum is a sum, whatever the order of rows: equal rows add up rather
-    than cancel, and checksums of chunks add up to a file's.
+    than cancel, and checksums of chunks add up to a file's.  The statistics merge
+    likewise: of no rows are there more than one row per station-year and file.
     """
-    if not exists(spark, _folder(root, kind)):
+    folder = _folder(root, kind, ingest_id)
+    if not exists(spark, folder):
         return spark.createDataFrame([], FILES)
-    stored = _scan(spark, _folder(root, kind), kind, tolerant)
-    if ingest_id is not None:
-        stored = stored.where(F.col("ingest_id") == ingest_id)
-    return stored.groupBy(
+    return scan(spark, root, kind, [folder], tolerant).groupBy(
         "ingest_id", F.lit(kind).alias("data_type"), "station_id", "year",
         _below_root(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_size").alias("file_size"),
@@ -131,6 +176,10 @@ def chunk_files(
         F.min("ts").alias("min_ts"),
         F.max("ts").alias("max_ts"),
         F.sum(F.xxhash64(*_STORED_COLUMNS[kind]).cast("decimal(20,0)")).cast(CHECKSUM).alias("checksum"),
+        F.min("temperature").alias("min_temperature"),
+        F.max("temperature").alias("max_temperature"),
+        F.sum("temperature").alias("sum_temperature"),
+        F.sum("et").alias("sum_et"),
     )
 
 
@@ -151,6 +200,10 @@ def chunk_catalog(files: DataFrame) -> DataFrame:
             F.max("max_ts").alias("max_ts"),
             F.count("*").alias("file_count"),
             F.sum(share).alias("stored_bytes"),
+            F.min("min_temperature").alias("min_temperature"),
+            F.max("max_temperature").alias("max_temperature"),
+            F.sum("sum_temperature").alias("sum_temperature"),
+            F.sum("sum_et").alias("sum_et"),
         )
     )
 
@@ -172,6 +225,26 @@ def write_catalog(spark: SparkSession, root: str, kind: str, ingest_id: str) ->
     )
 
 
+def write_all(obs: DataFrame, root: str, kind: str, ingest_id: Column) -> None:
+    """Write the first rows of a store, which came in many ingests, and record them
+    all: one job for the files, and one each for their records and the catalog."""
+    placed = obs.select(*_STORED_COLUMNS[kind], ingest_id.alias("ingest_id"),
+                        station_group(F.col("station_id")).alias("station_group"))
+    folders = ("ingest_id", "year", "station_group")
+    (
+        placed.hint("rebalance", *folders)
+        .sortWithinPartitions(*folders, "station_id", "ts")
+        .write.mode("errorifexists")
+        .partitionBy(*folders)
+        .option("compression", "zstd")
+        .parquet(_folder(root, kind))
+    )
+    spark, own = obs.sparkSession, f"data_type={kind}"
+    chunk_files(spark, root, kind).drop("data_type").write.partitionBy("ingest_id").parquet(f"{root}/files/{own}")
+    chunk_catalog(read_files(spark, root).where(F.col("data_type") == kind)).drop("data_type").write.partitionBy(
+        "ingest_id").parquet(f"{root}/catalog/{own}")
+
+
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], schema)

@@ -15,7 +15,7 @@ from gaugeworks.functions import dates
 from gaugeworks.operators.convert import convert_daily_strict, minimal
 from gaugeworks.schemas import DAILY_COLUMNS, LANDED
 from gaugeworks.session import discard, scratch
-from gaugeworks.sources import store
+from gaugeworks.sources import snapshots, store
 from gaugeworks.sources.responses import strict_records
 
 _REQUEST = ("request_id", "landed_seq")
@@ -81,11 +81,12 @@ def ingest_batch(
     strict_records(landed, *_REQUEST).write.parquet(stage)
     records = spark.read.parquet(stage)
     rows = convert_daily_strict(minimal(records.where(F.col("Date").isNotNull())), _REQUEST)
-    others = store.read_catalog(spark, root).where(F.col("ingest_id") != ingest_id)
+    others = snapshots.read_catalog(spark, root).where(F.col("ingest_id") != ingest_id)
     fresh = pending_rows(of_whole_requests(rows, records), others)
     if not dry_run:
         store.write_obs(fresh.select(*DAILY_COLUMNS), root, "daily", ingest_id)
         store.write_catalog(spark, root, "daily", ingest_id)
+        snapshots.publish(spark, root, "daily", ingest_id)
     # A request whose station-years were stored before succeeds with no records.
     taken = fresh.groupBy("request_id").agg(F.count("*").alias("taken"))
     log = scan_outcomes(records, "request_id", "station_id").join(taken, "request_id", "left")

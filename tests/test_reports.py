@@ -46,10 +46,12 @@ def test_query_throughput(spark):
 
 
 def test_storage_efficiency(spark):
-    catalog = spark.createDataFrame([(2, 2024, 366, 1872.0)], "station_id int, year int, row_count bigint, stored_bytes double")
-    row = stats.storage_efficiency(catalog, "daily").first()
-    assert row["raw_bytes"] == 5856 and round(row["ratio"], 2) == 3.13
-    assert round(row["bytes_per_record"], 2) == 5.11 and round(row["saving_pct"], 1) == 68.0
+    catalog = spark.createDataFrame(
+        [(2, 2024, "daily", 250, 1000.0), (2, 2024, "hourly", 250, 1000.0)],
+        "station_id int, year int, data_type string, row_count bigint, stored_bytes double")
+    daily, hourly = stats.storage_efficiency(catalog).orderBy("data_type").collect()
+    assert (daily["raw_bytes"], daily["ratio"], daily["bytes_per_record"], daily["saving_pct"]) == (4000, 4.0, 4.0, 75.0)
+    assert (hourly["raw_bytes"], hourly["ratio"]) == (6000, 6.0)
 
 
 def test_schedule(spark):

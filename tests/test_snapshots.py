@@ -1,0 +1,276 @@
+"""Snapshots: files by manifest, commits, compaction and cleaning up."""
+
+import re
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from gaugeworks.operators import integrity, lookups, ranges, stats
+from gaugeworks.schemas import DAILY_COLUMNS
+from gaugeworks.sources import snapshots, store
+from gaugeworks.streaming import ingest
+from test_responses import body, day
+from test_store import obs
+
+YEARS = (2021, 2022, 2023, 2024)
+
+
+@pytest.fixture
+def root(tmp_path):
+    return str(tmp_path / "store")
+
+
+def put(spark, root, ingest_id, rows, kind="daily"):
+    store.write_obs(obs(spark, rows), root, kind, ingest_id)
+    store.write_catalog(spark, root, kind, ingest_id)
+    return snapshots.publish(spark, root, kind, ingest_id)
+
+
+def days(station, year, temperature=1, n=5):
+    return [(station, f"{year}-03-{1 + i:02d}", temperature + i) for i in range(n)]
+
+
+def fill(spark, root, ingests=4):
+    """Every ingest has each year of its own station, of two station groups."""
+    for i in range(ingests):
+        put(spark, root, f"run-{i}", [r for y in YEARS for r in days(2 + i % 2 * 600 + i, y, 10 * i)])
+
+
+def rows_of(frame):
+    return sorted((r["station_id"], r["ts"], r["temperature"]) for r in frame.collect())
+
+
+def files_read(frame):
+    """Paths that the executed plan's scan holds."""
+    return sorted(f.split("/data_type=daily/")[1] for f in frame.inputFiles())
+
+
+def test_range_opens_only_files_of_its_group_and_years(spark, root):
+    fill(spark, root)
+    rows = snapshots.read_obs(spark, root, "daily", 602 + 1, "2022-01-01", "2024-01-01")
+    assert {re.sub(r"/part-.*", "", f) for f in files_read(rows)} == {
+        f"ingest_id=run-1/year={y}/station_group=2" for y in (2022, 2023)}
+    found = ranges.query_range(rows, "daily", 603, "2022-01-01", "2024-01-01")
+    assert rows_of(found) == rows_of(
+        ranges.query_range(store.read_obs(spark, root, "daily"), "daily", 603, "2022-01-01", "2024-01-01"))
+    assert found.count() == 10
+
+    assert snapshots.read_obs(spark, root, "daily", 9_999_999).isEmpty()
+    assert snapshots.read_obs(spark, root, "daily", end="2000-01-01").isEmpty()
+
+
+def test_time_bounds_choose_files_within_a_year(spark, root):
+    put(spark, root, "spring", days(2, 2024))
+    put(spark, root, "autumn", [(2, "2024-10-01", 7)])
+    read = lambda *span: files_read(snapshots.read_obs(spark, root, "daily", 2, *span))
+    assert [f.split("/")[0] for f in read("2024-01-01", "2024-03-02")] == ["ingest_id=spring"]
+    # The end day is not part of the range.
+    assert read("2024-03-06", "2024-10-01") == []
+    assert [f.split("/")[0] for f in read("2024-03-06", "2024-10-02")] == ["ingest_id=autumn"]
+
+
+def test_nothing_published_is_an_empty_store(spark, root):
+    assert snapshots.latest(spark, root, "daily") is None
+    rows = snapshots.read_obs(spark, root, "daily")
+    assert rows.isEmpty() and set(DAILY_COLUMNS) <= set(rows.columns)
+    assert snapshots.read_catalog(spark, root).isEmpty() and snapshots.compact(spark, root, "daily", 2030) is None
+    assert snapshots.clean(spark, root, "daily", 0) == []
+
+
+def test_unpublished_files_are_not_read(spark, root):
+    put(spark, root, "a", days(2, 2024))
+    store.write_obs(obs(spark, days(3, 2024)), root, "daily", "half done")
+    store.write_catalog(spark, root, "daily", "half done")
+    assert {s for s, *_ in rows_of(snapshots.read_obs(spark, root, "daily"))} == {2}
+    assert {r["station_id"] for r in snapshots.read_catalog(spark, root).collect()} == {2}
+
+
+def test_an_ingest_published_again_replaces_its_own_rows(spark, root):
+    put(spark, root, "a", days(2, 2024))
+    put(spark, root, "b", days(3, 2024))
+    at = put(spark, root, "b", days(3, 2024, temperature=50, n=2))
+    assert (at.number, len(at.parts)) == (3, 2)
+    assert rows_of(snapshots.read_obs(spark, root, "daily").where("station_id = 3")) == rows_of(
+        obs(spark, days(3, 2024, 50, 2)))
+    at = put(spark, root, "a", [])
+    assert {s for s, *_ in rows_of(snapshots.read_obs(spark, root, "daily"))} == {3} and at.number == 4
+
+
+def test_compaction_leaves_one_ingest_a_closed_year(spark, root):
+    fill(spark, root)
+    before, old = rows_of(snapshots.read_obs(spark, root, "daily")), snapshots.latest(spark, root, "daily")
+    catalog = snapshots.read_catalog(spark, root)
+    totals = lambda c: sorted(map(tuple, c.select(
+        "station_id", "year", "row_count", "min_ts", "max_ts", "sum_temperature").collect()))
+    listed = totals(catalog)
+    reader = snapshots.read_obs(spark, root, "daily")
+    done = snapshots.compact(spark, root, "daily", 2024)
+    assert done.number == old.number + 1 and len(done.parts) == 1
+    assert rows_of(snapshots.read_obs(spark, root, "daily")) == before and totals(snapshots.read_catalog(spark, root)) == listed
+    # Who began before the swap goes on with the old files, by frame or by number.
+    assert rows_of(reader) == before and rows_of(snapshots.read_obs(spark, root, "daily", at=old)) == before
+    per_year = {r["year"]: (r["ingests"], r["files"]) for r in snapshots.files(spark, root, "daily").groupBy("year").agg(
+        F.count_distinct("ingest_id").alias("ingests"), F.count("*").alias("files")).collect()}
+    assert per_year == {2021: (1, 2), 2022: (1, 2), 2023: (1, 2), 2024: (4, 4)}
+    assert snapshots.compact(spark, root, "daily", 2024) is None
+    verified = integrity.verify_files(spark, root, "daily")
+    assert verified.where("ok").count() == 10 and verified.where("NOT ok").isEmpty()
+
+
+def test_cleaning_deletes_what_was_replaced(spark, root):
+    fill(spark, root)
+    before = rows_of(snapshots.read_obs(spark, root, "daily"))
+    snapshots.compact(spark, root, "daily", 2024)
+    assert snapshots.clean(spark, root, "daily", 3600) == []
+    deleted = snapshots.clean(spark, root, "daily", -3600)
+    assert sum("/year=" in d for d in deleted) == 12 and sum("/part-" in d for d in deleted) == 4
+    assert rows_of(snapshots.read_obs(spark, root, "daily")) == before == rows_of(store.read_obs(spark, root, "daily"))
+    assert integrity.verify_files(spark, root, "daily").where("NOT ok").isEmpty()
+    assert integrity.nonempty_files(spark, root, "daily").where("NOT written").isEmpty()
+    assert snapshots.clean(spark, root, "daily", -3600) == []
+
+
+def test_a_killed_compaction_changes_nothing(spark, root, monkeypatch):
+    fill(spark, root)
+    before, at = rows_of(snapshots.read_obs(spark, root, "daily")), snapshots.latest(spark, root, "daily")
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    for step in ("commit", "_write_part", "_same_rows"):
+        with monkeypatch.context() as patch, pytest.raises(KeyboardInterrupt):
+            patch.setattr(snapshots, step, killed)
+            snapshots.compact(spark, root, "daily", 2024)
+    assert snapshots.latest(spark, root, "daily") == at
+    assert rows_of(snapshots.read_obs(spark, root, "daily")) == before
+    assert snapshots.read_catalog(spark, root).count() == 16
+    # What it left behind is deleted as unused, and the next one succeeds.
+    assert snapshots.compact(spark, root, "daily", 2024) is not None
+    snapshots.clean(spark, root, "daily", -3600)
+    assert rows_of(store.read_obs(spark, root, "daily")) == before
+
+
+def racing(monkeypatch, act):
+    """Run ``act`` once, after a compaction wrote its rows and before its commit."""
+    plain, once = snapshots._same_rows, []
+
+    def first(*args):
+        plain(*args)
+        if not once:
+            once.append(1)
+            act()
+
+    monkeypatch.setattr(snapshots, "_same_rows", first)
+
+
+def test_a_compaction_goes_in_front_of_what_was_added(spark, root, monkeypatch):
+    fill(spark, root)
+    racing(monkeypatch, lambda: put(spark, root, "late", days(77, 2021)))
+    done = snapshots.compact(spark, root, "daily", 2024)
+    assert [len(p.ingests) for p in done.parts] == [5, 1]
+    assert snapshots.read_obs(spark, root, "daily").where("station_id = 77").count() == 5
+    assert snapshots.read_obs(spark, root, "daily").count() == 16 * 5 + 5
+
+
+def test_a_compaction_gives_up_when_its_files_were_replaced(spark, root, monkeypatch):
+    fill(spark, root)
+    racing(monkeypatch, lambda: put(spark, root, "run-1", days(603, 2021, 900)))
+    assert snapshots.compact(spark, root, "daily", 2024) is None
+    assert not list(Path(root).rglob("*ingest_id=compact-*"))
+    rows = rows_of(snapshots.read_obs(spark, root, "daily"))
+    assert len(rows) == 3 * 20 + 5 and sum(t >= 900 for *_, t in rows) == 5
+
+
+def test_only_one_of_two_commits_takes_a_number(spark, root):
+    path = f"{root}/snapshots/x/000000000001.json"
+    assert store.put_once(spark, path, b"first") and not store.put_once(spark, path, b"second")
+    assert store.get_bytes(spark, path) == b"first"
+    assert [p for p in Path(path).parent.iterdir() if "draft" in p.name] == []
+    seen = []
+
+    def change(parts):
+        seen.append(len(parts))
+        if len(seen) == 1:  # another one commits while this one thinks
+            snapshots.commit(spark, root, "daily", lambda p: (*p, snapshots.Part("other", ("o",))))
+        return (*parts, snapshots.Part("mine", ("m",)))
+
+    done = snapshots.commit(spark, root, "daily", change)
+    assert seen == [0, 1] and [p.path for p in done.parts] == ["other", "mine"] and done.number == 2
+
+
+def test_a_repeated_batch_after_compaction_adds_nothing(spark, root):
+    from gaugeworks.schemas import LANDED
+
+    batch = lambda i, station: spark.createDataFrame(
+        [(f"q{i}", i, station, None, body([day("2023-01-15"), day("2024-01-15")]))], LANDED)
+    for i in range(3):
+        ingest.ingest_batch(batch(i, 2 + i), root, f"batch-{i}")
+    before = rows_of(snapshots.read_obs(spark, root, "daily"))
+    snapshots.compact(spark, root, "daily", 2024)
+    ingest.ingest_batch(batch(1, 3), root, "batch-1")
+    assert rows_of(snapshots.read_obs(spark, root, "daily")) == before and len(before) == 6
+    assert snapshots.read_catalog(spark, root).count() == 6
+
+
+def test_statistics_merge_without_reading_rows(spark, root):
+    fill(spark, root, 3)
+    put(spark, root, "hours", [])
+    for year in (None, 2024):
+        if year:
+            snapshots.compact(spark, root, "daily", year)
+        merged = stats.merged_daily_stats(snapshots.read_catalog(spark, root), "station_id", "year")
+        rows = stats.daily_stats(snapshots.read_obs(spark, root, "daily"), "station_id", "year")
+        assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, rows.collect()))
+        assert "data_type=daily/ingest_id" not in " ".join(
+            f for f in merged.inputFiles() if "/catalog/" not in f and "/manifest/" not in f)
+        whole = stats.merged_daily_stats(snapshots.read_catalog(spark, root)).first()
+        assert tuple(whole) == tuple(stats.daily_stats(snapshots.read_obs(spark, root, "daily")).first())
+
+
+def hourly(spark, rows):
+    """Hourly rows of ``(station, hours since the epoch)``."""
+    zero = [F.lit(0).alias(c) for c in ("temperature", "et", "wind_speed", "wind_direction", "humidity",
+                                        "solar_radiation", "precipitation", "vapor_pressure", "qc_flags")]
+    return spark.createDataFrame(rows, "station_id int, ts int").select(
+        "station_id", F.year(F.date_add(F.lit("1985-01-01").cast("date"), F.expr("int(ts div 24)"))).alias("year"),
+        "ts", *zero)
+
+
+def test_lookups_keep_daily_and_hourly_apart(spark, root):
+    put(spark, root, "d", days(2, 2024) + days(4, 2024))
+    at = (2024 - 1985) * 366 * 24
+    store.write_obs(hourly(spark, [(2, at), (3, at), (3, at + 1)]), root, "hourly", "h")
+    store.write_catalog(spark, root, "hourly", "h")
+    snapshots.publish(spark, root, "hourly", "h")
+    catalog = snapshots.read_catalog(spark, root)
+    assert catalog.count() == 4
+    daily, hours = (snapshots.read_obs(spark, root, kind) for kind in ("daily", "hourly"))
+    assert lookups.missing_chunks(catalog, daily, "daily").isEmpty()
+    assert lookups.missing_chunks(catalog, hours, "hourly").isEmpty()
+    # An hourly chunk does not stand in for a lost daily one of its station and year.
+    lost = lookups.missing_chunks(catalog, daily.where("station_id = 4"), "daily").collect()
+    assert [(r["station_id"], r["data_type"]) for r in lost] == [(2, "daily")]
+    only = catalog.where("data_type = 'hourly'")
+    assert lookups.catalog_semi(daily, only, "daily").isEmpty()
+    assert rows_of(lookups.catalog_semi(hours, only, "hourly")) == rows_of(hours)
+    raw = stats.storage_efficiency(catalog).groupBy("data_type").agg(F.sum("raw_bytes").alias("n")).collect()
+    assert {r["data_type"]: r["n"] for r in raw} == {"daily": 160, "hourly": 72}
+
+
+def test_catalog_prunes_folders_while_the_query_runs(spark, root):
+    fill(spark, root)
+    wanted = snapshots.read_catalog(spark, root).where("station_id = 2 AND year = 2022")
+    rows = lookups.catalog_semi(snapshots.read_obs(spark, root, "daily"), wanted, "daily")
+    assert rows.count() == 5
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+
+
+def test_places_follow_the_order(spark):
+    keys = [5, 70_000, -3, 5, 200_000, 65_536, 65_535, 0, None]
+    frame = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int").repartition(3)
+    got = sorted((r["place"], r["k"]) for r in ranges.placed(frame, "k").collect())
+    ordered = sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert got == list(enumerate(ordered))
+    assert ranges.placed(frame.limit(0), "k").isEmpty()

@@ -154,7 +154,7 @@ def test_verify_reports_damage(spark, root):
     assert skipped == {f for k, files in by_error.items() if k for f in files}
     stored = store.read_obs(spark, root, "daily", tolerant=True)
     assert len(stored.collect()) == 28 * 3
-    assert lookups.missing_chunks(store.read_catalog(spark, root), stored).count() == 3
+    assert lookups.missing_chunks(store.read_catalog(spark, root), stored, "daily").count() == 3
     written = integrity.nonempty_files(spark, root, "daily").groupBy("written").count().collect()
     assert {r["written"]: r["count"] for r in written} == {True: 5, False: 1}
 
