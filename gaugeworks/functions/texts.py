@@ -52,8 +52,20 @@ def sorted_ids(ids: Column) -> Column:
 
 
 def _plain_number(value: Column) -> Column:
-    """Shortest text that reads back to the same number."""
-    return F.regexp_replace(value.cast("double").cast("string"), r"\.0\z", "")
+    """Decimals that read back to the same number, without an exponent.
+
+    They are the digits of the engine's own text, in a decimal that holds them all; numbers
+    of more than 38 digits before or 37 behind the point have no text.
+    """
+    number = value.cast("double")
+    text, size = number.cast("string"), F.abs(number)
+    held = lambda kind: text.try_cast(kind).cast("string")
+    plain = (
+        F.when(~text.contains("E"), text)
+        .when(size < 1, held("decimal(38,37)")).when(size < 1e20, held("decimal(38,18)"))
+        .otherwise(held("decimal(38,0)"))
+    )
+    return F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
 
 
 def coordinates_text(points: Column) -> Column:
@@ -71,11 +83,11 @@ def addresses_text(places: Column) -> Column:
 
 
 def status_hint(status: Column) -> Column:
-    """What to do about a response status; null when there is nothing to say."""
+    """A short code of what to do about a response status; null when there is nothing to say."""
     return (
-        F.when(status.isin(401, 403), "check that the application key is set and valid")
-        .when(status == 429, "rate limited: lower the concurrency or wait before retrying")
-        .when(status >= 500, "server error: retry later")
+        F.when(status.isin(401, 403), "credentials")
+        .when(status == 429, "slow_down")
+        .when(status >= 500, "later")
     )
 
 

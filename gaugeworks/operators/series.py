@@ -5,49 +5,44 @@ at fixed values.  Each segment is computed by itself and receives one carried
 row, or one carried total, from the segments before it.  The cut depends on the
 data alone: a station with very many readings is spread over as many groups as
 it has segments, and building a query starts no job.
+
+Rows are shuffled once, by segment.  What is carried is derived from the same rows
+in the same columns, so that the engine reuses that shuffle, and the carried rows
+join on its key.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Units of the order's first column (days or hours) that a segment spans.
 SPAN = 64
 
 
-def _same(left: str, right: str) -> Column:
-    return F.col(left).eqNullSafe(F.col(right))
-
-
 class Segments:
     """Rows of ``keys`` in ``order``, as consecutive segments."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], span: int = SPAN):
         # Nulls come first in the order.
         cut = F.coalesce(F.floor(F.col(order[0]) / F.lit(span)), F.lit(-(1 << 62)))
-        self.df = df.withColumn("_segment", cut)
+        # A struct equals another with nulls in the same places.
+        self.df = df.withColumn("_segment", F.struct(F.struct(*keys).alias("of"), cut.alias("at"))) \
+            .drop(*keys).repartition("_segment")
         self.keys, self.order = list(keys), list(order)
-        self.group = [*self.keys, "_segment"]
-        self.window = Window.partitionBy(*self.group).orderBy(*self.order)
-        self.segments = Window.partitionBy(*self.keys).orderBy("_segment")
+        self.window = Window.partitionBy("_segment").orderBy(*self.order)
+        self.segments = Window.partitionBy("_segment.of").orderBy("_segment.at")
 
     def _carry(self, small: DataFrame) -> DataFrame:
         """Bring one row per segment to the segment's rows."""
-        names = {c: f"_of_{c}" for c in self.group}
-        return self.df.join(
-            small.withColumnsRenamed(names),
-            reduce(Column.__and__, (_same(c, n) for c, n in names.items())),
-        ).drop(*names.values())
+        return self.df.join(small, "_segment")
 
     def previous(self, columns: list[str], out: str) -> None:
         """Add the row before each, over segment bounds, as a struct."""
         values = F.struct(*columns)
         carried = (
-            self.df.groupBy(*self.group)
+            self.df.groupBy("_segment")
             .agg(F.max_by(values, F.struct(*self.order)).alias("_last"))
-            .select(*self.group, F.lag("_last").over(self.segments).alias("_carried"))
+            .select("_segment", F.lag("_last").over(self.segments).alias("_carried"))
         )
         self.df = self.df.withColumn("_inner", F.lag(values).over(self.window))
         self.df = (
@@ -58,17 +53,19 @@ class Segments:
     def running(self, sums: dict[str, str]) -> None:
         """Add running sums, as a map of column to its sum's name."""
         before = self.segments.rowsBetween(Window.unboundedPreceding, -1)
-        totals = self.df.groupBy(*self.group).agg(*(F.sum(c).alias(f"_total_{c}") for c in sums))
-        offsets = totals.select(*self.group, *(
-            F.coalesce(F.sum(f"_total_{c}").over(before), F.lit(0)).alias(f"_offset_{c}") for c in sums))
         upto = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        self.df = self.df.withColumns({f"_inner_{c}": F.sum(c).over(upto) for c in sums})
+        self.df = self.df.withColumns({
+            "_nth": F.row_number().over(self.window), **{f"_inner_{c}": F.sum(c).over(upto) for c in sums}})
+        # A segment's totals are the sums at its last row.
+        totals = self.df.groupBy("_segment").agg(*(F.max_by(f"_inner_{c}", "_nth").alias(f"_total_{c}") for c in sums))
+        offsets = totals.select("_segment", *(
+            F.coalesce(F.sum(f"_total_{c}").over(before), F.lit(0)).alias(f"_offset_{c}") for c in sums))
         self.df = self._carry(offsets).withColumns(
             {out: F.col(f"_inner_{c}") + F.col(f"_offset_{c}") for c, out in sums.items()}
-        ).drop(*(f"{part}_{c}" for c in sums for part in ("_inner", "_offset")))
+        ).drop("_nth", *(f"{part}_{c}" for c in sums for part in ("_inner", "_offset")))
 
     def done(self) -> DataFrame:
-        return self.df.drop("_segment")
+        return self.df.withColumns({k: F.col(f"_segment.of.{k}") for k in self.keys}).drop("_segment")
 
 
 def _ordered(columns: list[str], order: list[str]) -> tuple[list[str], list[str]]:

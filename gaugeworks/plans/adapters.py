@@ -132,14 +132,47 @@ def _shaped(spark: SparkSession, sf: str, name: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT {columns} FROM {{source}}", source=table(spark, sf, name))
 
 
-def daily_texts(spark: SparkSession, sf: str) -> DataFrame:
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def _land(name, build):
+    """Write the landed rows once per session and table folder, then scan the copy.
+
+    Scans read files in practice, and a body that is both built and parsed in
+    one plan would be optimized away.
+    """
+    def landed(spark: SparkSession, sf: str) -> DataFrame:
+        return spark.read.parquet(landed_path(spark, sf, name, build))
+
+    landed.__doc__ = build.__doc__
+    return landed
+
+
+def landed_path(spark: SparkSession, sf: str, name: str, build) -> str:
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _LANDED:
+        path = scratch(spark, f"landed-{name}")
+        # Row groups small enough that a scan of the copy is many tasks.
+        build(spark, sf).write.option("compression", "zstd").option(
+            "parquet.block.size", 2 << 20).parquet(path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
+def _build_daily_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily readings as texts, one row each."""
     return _shaped(spark, sf, "lineitem", DAILY)
 
 
-def hourly_texts(spark: SparkSession, sf: str) -> DataFrame:
+def _build_hourly_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly readings as texts, one row each."""
     return _shaped(spark, sf, "events", HOURLY)
 
 
+daily_texts = _land("daily-texts", _build_daily_texts)
+hourly_texts = _land("hourly-texts", _build_hourly_texts)
+
+
 def _measure(value: str, qc: str | None = None):
     code = F.col(qc) if qc else F.lit(" ")
     return F.when(
@@ -203,33 +236,6 @@ def _body(first, second):
     return F.to_json(F.struct(F.struct(providers.alias("Providers")).alias("Data")))
 
 
-_LANDED: dict[tuple[str, str, str], str] = {}
-
-
-def _land(name, build):
-    """Write the landed rows once per session and table folder, then scan the copy.
-
-    Scans read files in practice, and a body that is both built and parsed in
-    one plan would be optimized away.
-    """
-    def landed(spark: SparkSession, sf: str) -> DataFrame:
-        return spark.read.parquet(landed_path(spark, sf, name, build))
-
-    landed.__doc__ = build.__doc__
-    return landed
-
-
-def landed_path(spark: SparkSession, sf: str, name: str, build) -> str:
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _LANDED:
-        path = scratch(spark, f"landed-{name}")
-        # Row groups small enough that a scan of the copy is many tasks.
-        build(spark, sf).write.option("compression", "zstd").option(
-            "parquet.block.size", 8 << 20).parquet(path)
-        _LANDED[key] = path
-    return _LANDED[key]
-
-
 def build_daily_landed(spark: SparkSession, sf: str) -> DataFrame:
     """One landed response line per page, with the records of both providers.
 

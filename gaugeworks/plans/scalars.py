@@ -198,15 +198,20 @@ _LAT = "cast(30 + c_custkey % 977 * 0.0137 AS decimal(9,4))"
 _LNG = "cast(c_custkey % 61 * 0.25 - 125 AS decimal(9,4))"
 
 
+# Numbers that are printed with an exponent unless told otherwise.
+_ODD = """cast(CASE c_custkey % 4 WHEN 0 THEN -0.0005 WHEN 1 THEN 12345678.5 WHEN 2 THEN 0.0000007
+  ELSE -120000000 END AS decimal(18,7))"""
+
+
 @query("format_coordinates", f"""SELECT c_custkey,
   concat('lat=', {_plain_sql(_LAT)}, ',lng=', {_plain_sql(_LNG)},
-    ';lat=', {_plain_sql(_LNG)}, ',lng=', {_plain_sql(_LAT)}) AS coordinates FROM customer""")
+    ';lat=', {_plain_sql(_ODD)}, ',lng=', {_plain_sql(_LAT)}) AS coordinates FROM customer""")
 def format_coordinates(spark, sf):
     point = lambda a, b: F.struct(a.cast("double").alias("lat"), b.cast("double").alias("lng"))
     lat, lng = F.expr(_LAT), F.expr(_LNG)
     return A.table(spark, sf, "customer").select(
         "c_custkey",
-        texts.coordinates_text(F.array(point(lat, lng), point(lng, lat))).alias("coordinates"))
+        texts.coordinates_text(F.array(point(lat, lng), point(F.expr(_ODD), lat))).alias("coordinates"))
 
 
 @query("format_addresses", """SELECT c_custkey,
@@ -222,9 +227,9 @@ def format_addresses(spark, sf):
 
 @query("status_hint", f"""WITH {LOG}
 SELECT ordinal, status_code, CASE
-  WHEN status_code IN (401, 403) THEN 'check that the application key is set and valid'
-  WHEN status_code = 429 THEN 'rate limited: lower the concurrency or wait before retrying'
-  WHEN status_code >= 500 THEN 'server error: retry later' END AS hint FROM log""")
+  WHEN status_code IN (401, 403) THEN 'credentials'
+  WHEN status_code = 429 THEN 'slow_down'
+  WHEN status_code >= 500 THEN 'later' END AS hint FROM log""")
 def status_hint(spark, sf):
     return A.fetch_log(spark, sf).select(
         "ordinal", "status_code", texts.status_hint(F.col("status_code")).alias("hint"))

@@ -12,7 +12,7 @@ from gaugeworks.plans.registry import query
 from gaugeworks.plans.sequences import ORDER
 from gaugeworks.plans.stored import (
     BOTH_SQL, EXTRA, GONE, INGESTS, JUNK, KEPT_DAILY, KEPT_HOURLY, OPEN, compacted_root, damaged_root, many_root,
-    stored_root,
+    packed_root, stored_root,
 )
 from gaugeworks.schemas import DAILY_COLUMNS, HOURLY_COLUMNS
 from gaugeworks.session import scratch
@@ -255,15 +255,39 @@ def _payloads(obs, kind, order):
     return blocks.select("block", F.concat("content", F.unhex(F.lit("FF" * 7))).alias("content"))
 
 
-@query("unpack_daily", f"{C.daily()} SELECT {C.DAILY_COLUMNS} FROM obs WHERE {_FITS}")
-def unpack_daily(spark, sf):
+@query("unpack_blocks", f"{C.daily()} SELECT {C.DAILY_COLUMNS} FROM obs WHERE {_FITS}")
+def unpack_blocks(spark, sf):
     payloads = _payloads(daily_obs(spark, sf), "daily", list(ORDER))
     rows = fixedwidth.with_time(fixedwidth.unpack(payloads, "daily"), "daily")
     return rows.withColumn("ts", F.col("ts").cast("int")).select(*DAILY_COLUMNS)
 
 
+@query("unpack_daily", f"{C.daily()} SELECT {C.DAILY_COLUMNS} FROM obs WHERE {_FITS}")
+def unpack_daily(spark, sf):
+    return fixedwidth.read_packed(spark, packed_root(spark, sf, "daily"), "daily").select(*DAILY_COLUMNS)
+
+
 @query("unpack_hourly", f"{C.hourly()} SELECT {C.HOURLY_COLUMNS} FROM obs")
 def unpack_hourly(spark, sf):
-    payloads = _payloads(hourly_obs(spark, sf), "hourly", ["ts", "src_event"])
-    rows = fixedwidth.with_time(fixedwidth.unpack(payloads, "hourly"), "hourly")
-    return rows.withColumn("ts", F.col("ts").cast("int")).select(*HOURLY_COLUMNS)
+    return fixedwidth.read_packed(spark, packed_root(spark, sf, "hourly"), "hourly").select(*HOURLY_COLUMNS)
+
+
+@query("unpack_range", f"""{C.daily()} SELECT {C.DAILY_COLUMNS} FROM obs WHERE {_FITS}
+AND station_id = {STATION} AND obs_date >= DATE '{START}' AND obs_date < DATE '{END}'""")
+def unpack_range(spark, sf):
+    rows = fixedwidth.read_packed(spark, packed_root(spark, sf, "daily"), "daily", STATION, START, END)
+    return rows.select(*DAILY_COLUMNS)
+
+
+@query("packed_index", f"""{C.daily()} SELECT year, cast(station_id // {store.STATIONS_PER_GROUP} AS INTEGER) AS station_group,
+  count(*) AS row_count, min(station_id) AS min_station, max(station_id) AS max_station,
+  cast(min(ts) AS BIGINT) AS min_ts, cast(max(ts) AS BIGINT) AS max_ts
+FROM obs WHERE {_FITS} GROUP BY year, station_id // {store.STATIONS_PER_GROUP}""")
+def packed_index(spark, sf):
+    return fixedwidth.read_index(spark, packed_root(spark, sf, "daily"))
+
+
+@query("packed_rejects", f"""{C.daily()}
+SELECT {C.DAILY_COLUMNS}, CASE {_MISFIT} END AS field FROM obs WHERE CASE {_MISFIT} END IS NOT NULL""")
+def packed_rejects(spark, sf):
+    return fixedwidth.read_rejects(spark, packed_root(spark, sf, "daily")).select(*DAILY_COLUMNS, "field")

@@ -8,7 +8,7 @@ from gaugeworks.operators import quality
 from gaugeworks.plans import checks as C
 from gaugeworks.plans.projections import daily_obs, hourly_obs
 from gaugeworks.session import scratch
-from gaugeworks.sources import snapshots, store
+from gaugeworks.sources import fixedwidth, snapshots, store
 
 INGEST = "full"
 KEPT_DAILY = f"{C.daily()}, kept AS (SELECT * FROM obs WHERE {C.VALID_DAILY})"
@@ -73,6 +73,16 @@ def compacted_root(spark, sf):
     return _ROOTS[key]
 
 
+def packed_root(spark, sf, kind):
+    """Record files of all converted rows that fit a record."""
+    key = (spark.sparkContext.applicationId, sf, f"packed-{kind}")
+    if key not in _ROOTS:
+        root = scratch(spark, f"packed-{kind}")
+        fixedwidth.write_packed(daily_obs(spark, sf) if kind == "daily" else hourly_obs(spark, sf), root, kind)
+        _ROOTS[key] = root
+    return _ROOTS[key]
+
+
 def damaged_root(spark, sf):
     """A daily store that was damaged after it had been recorded."""
     key = (spark.sparkContext.applicationId, sf, "damaged")

@@ -1,4 +1,12 @@
-"""Fixed-width little-endian records: export as binary columns, import from files."""
+"""Fixed-width little-endian records, as columns and as files.
+
+Files hold whole records and nothing else, and are filed under year and station
+group.  The last byte of a record is always zero.  That byte is written as the line
+separator of a text file, so that tasks write record files with the engine's own
+writer and its commit.  An index has a row per folder with the stations and times
+found when the files were read back; a range query opens only folders that can hold
+its rows, and files of any size are read in splits.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gaugeworks.functions import dates
 from gaugeworks.operators.series import numbered
 from gaugeworks.schemas import RECORD_WIDTH
+from gaugeworks.sources.store import listed, station_group
 
 # Field, byte width and signedness, in record order.
 LAYOUT = {
@@ -68,10 +77,12 @@ def pack(obs: DataFrame, kind: str) -> DataFrame:
 
 
 def pack_blocks(obs: DataFrame, kind: str, order: list[str], rows: int = 4096) -> DataFrame:
-    """Records of each station in order, joined into payloads of at most ``rows``."""
-    packed = obs.where(fits(kind)).select("station_id", *order, _record_text(kind).alias("_text"))
-
-    placed = numbered(packed, ["station_id"], order, "_position")
+    """Records of each station in order, joined into payloads of at most ``rows``;
+    fields that the order does not name break its ties."""
+    fields = [name for name, _, _ in LAYOUT[kind]]
+    by = [*order, *(f for f in fields if f not in (*order, "station_id"))]
+    kept = obs.where(fits(kind)).select(*dict.fromkeys(["station_id", *by]))
+    placed = numbered(kept, ["station_id"], by, "_position").withColumn("_text", _record_text(kind))
     item = F.struct("_position", "_text")
     joined = F.array_join(F.transform("_items", lambda i: i["_text"]), "")
     return (
@@ -95,7 +106,8 @@ def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Whole records of files that hold nothing else, one per row.
 
     A payload row carries its file in one piece, which suits chunk files; this
-    scan cuts files of any size into splits at record boundaries.
+    scan cuts files of any size into splits at record boundaries.  ``path`` may
+    name several places, with commas between them.
     """
     records = spark._jsc.sc().binaryRecords(
         path, RECORD_WIDTH[kind], spark._jsc.hadoopConfiguration())
@@ -141,3 +153,71 @@ def with_time(records: DataFrame, kind: str) -> DataFrame:
         return timed.withColumn("year", F.year("obs_date"))
     timed = records.withColumn("obs_ts", dates.hours_to_timestamp(F.col("ts").cast("int")))
     return timed.withColumn("year", F.year("obs_ts"))
+
+
+INDEX = (
+    "year INT, station_group INT, row_count BIGINT, min_station INT, max_station INT, min_ts BIGINT, max_ts BIGINT"
+)
+
+
+def write_packed(obs: DataFrame, root: str, kind: str) -> None:
+    """Write rows as record files below ``root``, those that do not fit as a table with
+    the field that refuses them, and the index of what can be read back."""
+    text = F.encode(_record_text(kind), _BYTES)
+    body = F.substring(text, 1, RECORD_WIDTH[kind] - 1).cast("string")
+    placed = obs.where(fits(kind)).select(
+        "year", station_group(F.col("station_id")).alias("station_group"), "station_id", "ts", body.alias("value"))
+    (
+        placed.hint("rebalance", "year", "station_group")
+        .sortWithinPartitions("year", "station_group", "station_id", "ts")
+        .select("year", "station_group", "value")
+        .write.mode("overwrite")
+        .partitionBy("year", "station_group")
+        .option("lineSep", "\0")
+        .text(f"{root}/records")
+    )
+    rejects(obs, kind).write.mode("overwrite").parquet(f"{root}/rejects")
+    written = _contents(obs.sparkSession, listed(obs.sparkSession, f"{root}/records/year=*/station_group=*"), kind)
+    found = with_time(unpack(written, kind), kind)
+    found.groupBy("year", station_group(F.col("station_id")).alias("station_group")).agg(
+        F.count("*").alias("row_count"), F.min("station_id").alias("min_station"),
+        F.max("station_id").alias("max_station"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
+    ).write.mode("overwrite").parquet(f"{root}/index")
+
+
+def _contents(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
+    """Records of all files in some folders."""
+    return read_records(spark, ",".join(paths), kind) if paths else spark.createDataFrame([], "content BINARY")
+
+
+def read_index(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(f"{root}/index")
+
+
+def read_packed(
+    spark: SparkSession, root: str, kind: str, station: int | None = None,
+    start: str | None = None, end: str | None = None,
+) -> DataFrame:
+    """Rows of the record files in the folders that can hold a station's rows from
+    ``start`` up to but not including ``end``, and of those only such rows; bounds
+    that are not given hold for all."""
+    folders = read_index(spark, root)
+    wanted = F.lit(True)
+    if station is not None:
+        folders = folders.where(F.lit(station).between(F.col("min_station"), F.col("max_station")))
+        wanted = wanted & (F.col("station_id") == station)
+    if start is not None:
+        first = dates.ts_of(start, kind)
+        folders, wanted = folders.where(F.col("max_ts") >= first), wanted & (F.col("ts") >= first)
+    if end is not None:
+        last = dates.ts_of(end, kind)
+        folders, wanted = folders.where(F.col("min_ts") < last), wanted & (F.col("ts") < last)
+    # A path a folder, of which there is one a year and station group.
+    chosen = folders.select("year", "station_group").collect()
+    paths = sorted(f"{root}/records/year={r['year']}/station_group={r['station_group']}" for r in chosen)
+    rows = unpack(_contents(spark, paths, kind), kind).drop("record_no").where(wanted)
+    return with_time(rows.withColumn("ts", F.col("ts").cast("int")), kind)
+
+
+def read_rejects(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/rejects")

@@ -1,6 +1,9 @@
 """Value tables of the scalar rules."""
 
 import datetime as dt
+import random
+import re
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,12 +39,16 @@ def test_normalize_date(spark):
 
 
 def test_lenient_parts(spark):
-    taken = {"2100-07-31": (2100, 7, 31), "1999-02-28": (1999, 2, 28), "1985-10-09": (1985, 10, 9)}
-    # out of bounds by year, month or day; wrong marks; too short or too long by kind
-    refused = ["1970-05-05", "2150-05-05", "2001-14-05", "2001-00-05", "2001-05-40", "2001-05-00",
-               "2001.05.05", "20010505", " ", "5"]
-    got = [tuple(p) if p else None for p in rows(spark, [*taken, *refused], dates.lenient_parts(X))]
-    assert got == list(taken.values()) + [None] * len(refused)
+    # Each part at its bounds and one beyond them; then other marks, and a sign less or more.
+    whole, bounds = (2037, 8, 17), ((1985, 2100), (1, 12), (1, 31))
+    text = lambda parts, mark="-": mark.join(f"{p:0{4 if i == 0 else 2}d}" for i, p in enumerate(parts))
+    put = lambda place, value: tuple(value if i == place else p for i, p in enumerate(whole))
+    taken = [put(i, v) for i, ends in enumerate(bounds) for v in ends] + [whole]
+    refused = [text(put(i, v)) for i, (low, high) in enumerate(bounds) for v in (low - 1, high + 1)]
+    refused += [text(whole, mark) for mark in ("/", ".", " ", "")] + [text(whole)[:n] for n in range(10)] + [
+        text(whole) + "0", "x" + text(whole)]
+    got = [tuple(p) if p else None for p in rows(spark, [*map(text, taken), *refused], dates.lenient_parts(X))]
+    assert got == taken + [None] * len(refused)
 
 
 def test_lenient_date_rolls_over_and_falls_back(spark):
@@ -114,12 +121,29 @@ def test_format_measure(spark):
 
 
 def test_station_list(spark):
-    cases = {
-        "44": [44], "7,3": [7, 3], "  8,9  ": [8, 9], "11-13": [11, 12, 13], "20-20,4": [20, 4],
-        "30,1-2,31": [30, 1, 2, 31], "9-8": [], "+6": [6],
-        "six": None, "4-5-6": None, "4-x": None, "x-4": None, " ": None, "4,,5": None, "4,": None, "-4": None,
-    }
-    assert rows(spark, list(cases), texts.station_list(X)) == list(cases.values())
+    # Lists from a small grammar: numbers and ranges, with blanks and signs, joined by commas.
+    rng = random.Random(6)
+    blank = lambda: " " * rng.randrange(3)
+
+    def part():
+        low, long = rng.randrange(300), rng.randrange(-2, 5)
+        if rng.random() < 0.5:
+            return blank() + "+" * (rng.random() < 0.2) + str(low) + blank(), [low]
+        high = max(0, low + long)
+        return f"{blank()}{low}{blank()}-{blank()}{high}{blank()}", list(range(low, high + 1))
+
+    lists = [[part() for _ in range(rng.randrange(1, 5))] for _ in range(60)]
+    assert rows(spark, [",".join(t for t, _ in parts) for parts in lists], texts.station_list(X)) == [
+        [i for _, ids in parts for i in ids] for parts in lists]
+    # One part that is none spoils a list, wherever it stands.
+    number = lambda: str(rng.randrange(300))
+    spoilt = [blank(), "-", f"{number()}-", f"-{number()}", "-".join(number() for _ in range(3)),
+              f"{number()}.{number()}", f"{number()} {number()}", f"{number()}{chr(rng.randrange(97, 123))}"]
+    lists = []
+    for bad in spoilt:
+        parts = [part()[0] for _ in range(2)]
+        lists += [",".join(parts[:k] + [bad] + parts[k:]) for k in range(3)] + [bad]
+    assert rows(spark, lists, texts.station_list(X)) == [None] * len(lists)
 
 
 @pytest.mark.parametrize("ids", [[], [9], [40, 7], [7, 40, 7, 8], list(range(20, 0, -1))])
@@ -139,18 +163,25 @@ def test_long_ranges_are_cut_in_steps(spark):
 
 
 def test_target_texts(spark):
-    points = [[(34.99, -118.34), (36.45, -118.16)], [(34.99, -118.0), (100.0, 0.0)]]
-    assert rows(spark, points, texts.coordinates_text(X), "x array<struct<lat:double,lng:double>>") == [
-        "lat=34.99,lng=-118.34;lat=36.45,lng=-118.16", "lat=34.99,lng=-118;lat=100,lng=0"]
-    places = [[("a", "1 First St"), ("b", "2 Second St")]]
+    places = [[("north", "field 3, gate"), ("south", "")], []]
     assert rows(spark, places, texts.addresses_text(X), "x array<struct<name:string,address:string>>") == [
-        "addr-name=a,addr=1 First St;addr-name=b,addr=2 Second St"]
+        "addr-name=north,addr=field 3, gate;addr-name=south,addr=", ""]
 
 
-def test_coordinates_keep_all_digits(spark):
-    points = [[(34.1234567, -118.00000012), (-0.5, 7.0)]]
-    assert rows(spark, points, texts.coordinates_text(X), "x array<struct<lat:double,lng:double>>") == [
-        "lat=34.1234567,lng=-118.00000012;lat=-0.5,lng=7"]
+def test_coordinates_are_plain_decimals(spark):
+    """Digits and a point alone, which read back as the same number."""
+    rng = random.Random(7)
+    known = [0.0, -0.0005, 0.001, 1e-7, 5e-10, 12345678.5, -1e7, 9999999.0, 1e19, 1e20, 123456789e20, 7.0, -0.25, 50.0]
+    numbers = known + [rng.uniform(-180, 180) for _ in range(50)] + [rng.choice((-1, 1)) * 10 ** rng.uniform(-12, 25)
+                                                               for _ in range(100)]
+    points = [[(a, b)] for a, b in zip(numbers, reversed(numbers))]
+    got = rows(spark, points, texts.coordinates_text(X), "x array<struct<lat:double,lng:double>>")
+    parts = [re.fullmatch(r"lat=(-?\d+(?:\.\d*[1-9])?),lng=(-?\d+(?:\.\d*[1-9])?)", text).groups() for text in got]
+    assert [(float(a), float(b)) for a, b in parts] == [p for (p,) in points]
+    assert [a for a, _ in parts[:len(known)]] == [format(Decimal(repr(x)).normalize(), "f") for x in known]
+    several = [[(1.5, 2.0), (-3.25, 0.0005)]]
+    assert rows(spark, several, texts.coordinates_text(X), "x array<struct<lat:double,lng:double>>") == [
+        "lat=1.5,lng=2;lat=-3.25,lng=0.0005"]
 
 
 def test_retry_class(spark):
@@ -167,6 +198,5 @@ def test_retry_class(spark):
 
 def test_status_hint_and_backoff(spark):
     hints = rows(spark, [200, 400, 401, 403, 429, 500, 503], texts.status_hint(X), "x int")
-    assert [h.split()[0] if h else None for h in hints] == [
-        None, None, "check", "check", "rate", "server", "server"]
+    assert hints == [None, None, "credentials", "credentials", "slow_down", "later", "later"]
     assert rows(spark, [0, 1, 2, 3], texts.backoff_seconds(X), "x int") == [0, 2, 4, 8]

@@ -143,14 +143,14 @@ def test_target_scans(spark):
         spark,
         body([day("2024-06-15", ZipCodes="93624"), day("2024-06-16", ZipCodes="95974,93624")]),
         body([day("2024-06-17", ZipCodes="95974")], kind="spatial"),
-        body([day("2024-06-18", Coordinate="lat=34.99,lng=-118.34", Address="1315 10th Street Sacramento, CA")]))
+        body([day("2024-06-18", Coordinate="lat=30.25,lng=-111.5", Address="7 Field Lane, Gate 2")]))
     days = lambda frame: sorted(r["Date"] for r in frame.collect())
     assert days(R.scan_daily_by_zip(rows, ["93624"])) == ["2024-06-15", "2024-06-16"]
     assert days(R.scan_spatial_zip(rows, ["95974"])) == ["2024-06-17"]
     assert "DayAirTmpAvg" not in R.scan_geo_zip(rows, ["95974"]).columns
-    points = spark.createDataFrame([("lat=34.99,lng=-118.34",)] * 2, "Coordinate string")
+    points = spark.createDataFrame([("lat=30.25,lng=-111.5",)] * 2, "Coordinate string")
     assert days(R.scan_by_coordinate(rows, points)) == ["2024-06-18"]
-    places = spark.createDataFrame([("1315 10th Street Sacramento, CA",)], "Address string")
+    places = spark.createDataFrame([("7 Field Lane, Gate 2",)], "Address string")
     assert days(R.scan_by_address(rows, places)) == ["2024-06-18"]
 
 

@@ -140,7 +140,7 @@ def test_building_starts_no_job(spark, readings):
 def test_a_hot_station_is_cut(spark, readings):
     """No group has more than the readings of a segment, whatever the station has."""
     rows = series.Segments(readings, ["station_id"], ["ts", "id"], 10)
-    largest = rows.df.groupBy(*rows.group).count().agg(F.max("count")).first()[0]
+    largest = rows.df.groupBy("_segment").count().agg(F.max("count")).first()[0]
     whole = readings.groupBy("station_id").count().agg(F.max("count")).first()[0]
     assert largest * 10 < whole
 
@@ -164,3 +164,89 @@ def test_blocks_keep_order_and_bound(spark, readings):
     for r in back.collect():
         got.setdefault(r["station_id"], []).append((r["ts"], r["temperature"], r["qc_flags"]))
     assert got == {s: [(r["ts"], r["temperature"], r["qc_flags"]) for r in rs] for s, rs in brute(readings).items()}
+
+
+def test_rows_are_shuffled_once(spark, readings, tmp_path):
+    """What is carried over segments comes from the shuffle of the rows themselves."""
+    readings.select("station_id", "ts", "id", "temperature", "qc_flags").write.parquet(str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    values, order = ["temperature"], ["ts", "id"]
+    deltas = series.delta_columns(stored.drop("qc_flags"), values, [*order, *values])
+    runs = series.value_runs(stored, "qc_flags", [*order, "qc_flags"])
+    places = series.numbered(stored.select("station_id", *order), ["station_id"], order, "n")
+    for frame in (deltas, runs, places):
+        frame.write.format("noop").mode("overwrite").save()
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in final, final
+        assert final.count("Scan parquet") == 1, final
+
+
+@pytest.mark.parametrize("kind", ["daily", "hourly"])
+def test_record_files(spark, tmp_path, kind):
+    """Files of exact records come back as the rows that fit, and rejects are the rest."""
+    import random
+    import struct
+
+    rng, root = random.Random(9), str(tmp_path / "packed")
+    layout = "<IHhhHBBBx" if kind == "daily" else "<IHhhHBBHHHBxxx"
+    names = [n for n, _, _ in fixedwidth.LAYOUT[kind]]
+    per_year = 365 * (1 if kind == "daily" else 24)
+    rows = []
+    for i in range(600):
+        values = [rng.randint(*fixedwidth.bounds(w, s)) for _, w, s in fixedwidth.LAYOUT[kind]]
+        values[0], values[1] = rng.randrange(1, 3 * per_year), rng.choice((0, 7, 255, 256, 600, 65_535))
+        if i % 10 == 0:
+            values[rng.randrange(2, len(values))] = rng.choice((70_000, -70_000, None))
+        rows.append(tuple(values))
+    frame = fixedwidth.with_time(spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names)), kind)
+    fixedwidth.write_packed(frame, root, kind)
+    fit = [r for r in rows if all(v is not None and low <= v <= high for v, (low, high) in zip(
+        r, (fixedwidth.bounds(w, s) for _, w, s in fixedwidth.LAYOUT[kind])))]
+    assert 0 < len(fit) < len(rows)
+    got = fixedwidth.read_packed(spark, root, kind)
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(fit)
+    assert set(got.columns) == set(frame.columns)
+    refused = fixedwidth.read_rejects(spark, root)
+    assert refused.count() == len(rows) - len(fit) and refused.where("field IS NULL").isEmpty()
+    from pathlib import Path
+
+    on_disk = b"".join(f.read_bytes() for f in Path(root, "records").rglob("*.txt"))
+    width = struct.calcsize(layout)
+    assert sorted(on_disk[i:i + width] for i in range(0, len(on_disk), width)) == sorted(
+        struct.pack(layout, *r) for r in fit)
+    index = fixedwidth.read_index(spark, root).collect()
+    assert sum(r["row_count"] for r in index) == len(fit)
+    # A range reads the folders that can hold it, and nothing else.
+    some = fixedwidth.read_packed(spark, root, kind, 600, "1986-02-01", "1986-11-01")
+    day = lambda text: fixedwidth.dates.ts_of(text, kind)
+    assert sorted(r["ts"] for r in some.collect()) == sorted(
+        r[0] for r in fit if r[1] == 600 and day("1986-02-01") <= r[0] < day("1986-11-01"))
+    for folder in Path(root, "records").glob("year=*/station_group=*"):
+        if folder.as_posix().rsplit("/records/")[1] != "year=1986/station_group=2":
+            for file in folder.glob("*"):
+                file.unlink()
+    assert some.count() == fixedwidth.read_packed(spark, root, kind, 600, "1986-02-01", "1986-11-01").count()
+    assert fixedwidth.read_packed(spark, root, kind, 9, "2050-01-01").isEmpty()
+
+
+def test_no_record_files(spark, tmp_path):
+    frame, _, _ = packed_rows(spark, "daily")
+    timed = fixedwidth.with_time(frame, "daily").limit(0)
+    fixedwidth.write_packed(timed.withColumn("ts", F.col("ts").cast("int")), str(tmp_path / "p"), "daily")
+    assert fixedwidth.read_packed(spark, str(tmp_path / "p"), "daily").isEmpty()
+
+
+def test_record_files_are_read_in_splits(spark, tmp_path):
+    root = str(tmp_path / "packed")
+    zero = [F.lit(0).alias(n) for n, _, _ in fixedwidth.LAYOUT["daily"][2:]]
+    rows = spark.range(20_000).select((F.col("id") % 300 + 1).cast("int").alias("ts"), F.lit(5).alias("station_id"), *zero)
+    fixedwidth.write_packed(fixedwidth.with_time(rows, "daily").coalesce(1), root, "daily")
+    split, conf = "mapreduce.input.fileinputformat.split.maxsize", spark._jsc.hadoopConfiguration()
+    conf.set(split, "50000")
+    try:
+        got = fixedwidth.read_packed(spark, root, "daily")
+        assert got.rdd.getNumPartitions() >= 6 and got.count() == 20_000
+    finally:
+        conf.unset(split)
