@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeworks.sources import snapshots
-from gaugeworks.sources.store import _below_root, chunk_files, read_files
+from gaugeworks.sources.store import _below_root, chunk_files, read_files, station_group
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
@@ -104,6 +104,48 @@ def readback_diff(written: DataFrame, read: DataFrame) -> DataFrame:
     )
 
 
+#: Days or hours that one part of a comparison spans.
+PART_SPAN = 64
+
+
+def _parts(rows: DataFrame) -> list[Column]:
+    """Levels of a part, from the year down to a segment of time."""
+    return [F.col("year").alias("_year"), station_group(F.col("station_id")).alias("_group"),
+            F.floor(F.col("ts") / PART_SPAN).alias("_segment")]
+
+
+def differing_parts(written: DataFrame, read: DataFrame) -> DataFrame:
+    """Parts (year, station group, segment of time) whose rows or checksums differ.
+
+    Checksums add up, so each side is one row a part before anything is compared, and
+    parts that are equal end there.
+    """
+    def summed(rows, side):
+        total = F.sum(F.xxhash64(*written.columns).cast("decimal(20,0)"))
+        return rows.groupBy(*_parts(rows)).agg(F.count("*").alias(f"{side}_rows"), total.alias(f"{side}_sum"))
+
+    levels = ["_year", "_group", "_segment"]
+    both = summed(written, "w").join(summed(read.select(*written.columns), "r"), levels, "full")
+    same = F.col("w_rows").eqNullSafe(F.col("r_rows")) & F.col("w_sum").eqNullSafe(F.col("r_sum"))
+    return both.where(~same).select(*levels)
+
+
+def located_diff(written: DataFrame, read: DataFrame) -> DataFrame:
+    """Rows that only one side has, with the side and how often; the rows of equal parts
+    are not shuffled, only their checksums."""
+    columns, levels = written.columns, ["_year", "_group", "_segment"]
+    parts = differing_parts(written, read)
+
+    def suspects(rows, sign):
+        placed = rows.select(*columns, *_parts(rows))
+        return placed.join(parts, levels, "left_semi").select(*columns, F.lit(sign).alias("_side"))
+
+    signed = suspects(written, 1).unionByName(suspects(read.select(*columns), -1))
+    left = signed.groupBy(*columns).agg(F.sum("_side").alias("_over")).where("_over <> 0")
+    return left.select(*columns, F.when(F.col("_over") > 0, "written").otherwise("read").alias("side"),
+                       F.abs("_over").alias("times"))
+
+
 def union_stations(first: DataFrame, *rest: DataFrame) -> DataFrame:
     """All records of several results, repeats kept."""
     for other in rest:

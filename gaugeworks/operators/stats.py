@@ -83,6 +83,29 @@ def fetch_timing(log: DataFrame) -> DataFrame:
     )
 
 
+#: Size of the quantile sketches; the rank of what they give is within about 0.3 % of
+#: the rank asked for, and beyond ``RANK_ERROR`` practically never.
+SKETCH_SIZE, RANK_ERROR = 1600, 0.01
+
+
+def timing_sketches(log: DataFrame, *by: str) -> DataFrame:
+    """A quantile sketch of each phase's times, of what succeeded, per ``by``.
+
+    Sketches are a few kilobytes whatever the log holds, and merge.
+    """
+    made = log.where("success").groupBy(*by).agg(
+        *(F.kll_sketch_agg_bigint(F.col(p).cast("bigint"), F.lit(SKETCH_SIZE)).alias(p) for p in PHASES))
+    return made.unpivot(list(by), list(PHASES), "phase", "sketch")
+
+
+def merged_percentiles(sketches: DataFrame, **ranks: float) -> DataFrame:
+    """Rows behind each phase's sketches, and the time at each of ``ranks``."""
+    merged = sketches.groupBy("phase").agg(F.kll_merge_agg_bigint("sketch", F.lit(SKETCH_SIZE)).alias("sketch"))
+    return merged.select(
+        "phase", F.kll_sketch_get_n_bigint("sketch").alias("fetches"),
+        *(F.kll_sketch_get_quantile_bigint("sketch", F.lit(rank)).alias(name) for name, rank in ranks.items()))
+
+
 def storage_efficiency(catalog: DataFrame) -> DataFrame:
     """Stored size against the fixed-width size of the same rows."""
     raw = _raw_bytes()

@@ -21,6 +21,8 @@ _TS = "cast(ts AS string)"
 # A page holds the readings of one station, month and half of an order's lines,
 # out of so many orders; this bounds it however busy the station is.
 ORDERS_PER_PAGE = 100_000
+# A page of hourly readings holds those of one station and month, out of so many.
+EVENTS_PER_PAGE = 50_000
 _HALF = "CASE WHEN l_linenumber <= 4 THEN 'a' ELSE 'b' END"
 _ASKED = f"concat('-', cast(cast(l_suppkey AS int) AS string), '-', substr({_SHIPPED}, 1, 4))"
 _PAGE_NUMBER = (
@@ -90,7 +92,11 @@ HOURLY = f"""
   cast(event_id % 1100 AS string) AS sol_v,
   cast(cast((event_id % 50) * 0.01 AS decimal(10,2)) AS string) AS pre_v,
   cast(cast({_K} * 0.04 AS decimal(10,2)) AS string) AS vap_v,
-  lpad(cast(user_id % 97 AS string), 5, '0') AS zip
+  lpad(cast(user_id % 97 AS string), 5, '0') AS zip,
+  CASE WHEN event_id % 2 = 1 THEN 'station' ELSE 'spatial' END AS kind,
+  concat(cast(cast(user_id AS int) AS string), '-', substr({_TS}, 1, 7), '-',
+    cast(cast(floor(event_id / {EVENTS_PER_PAGE}) AS int) AS string)) AS page,
+  CASE WHEN user_id % 13 = 4 THEN 'truncated' WHEN user_id % 13 = 6 THEN 'no providers' END AS fault
 """
 
 STATIONS = """
@@ -261,20 +267,34 @@ def build_daily_landed(spark: SparkSession, sf: str) -> DataFrame:
         "station_id",
         F.when(fault == "failed", "status 502").alias("error"),
         F.when(fault == "failed", F.lit(None).cast("string"))
-        .when(fault == "truncated", F.expr("'{\"Data\":{\"Providers\":[{\"Name\":'"))
+        .when(fault == "truncated", F.lit(_CUT_OFF))
         .when(fault == "no providers", F.lit('{"Data":{}}'))
         .otherwise(_body(F.col("first"), F.col("second"))).alias("body"),
     )
 
 
+_CUT_OFF = '{"Data":{"Providers":[{"Name":'
+
+
 def build_hourly_landed(spark: SparkSession, sf: str) -> DataFrame:
-    """One landed response line per reading."""
-    records = F.array(F.struct(*_hourly_fields()))
-    return hourly_texts(spark, sf).select(
-        F.col("src_event").cast("string").alias("request_id"),
-        F.col("src_event").alias("landed_seq"), "station_id",
+    """One landed response line per page, with the records of both providers."""
+    record = F.struct(*_hourly_fields())
+    pages = (
+        hourly_texts(spark, sf)
+        .withColumn("record", record)
+        .groupBy("page", "station_id", "fault")
+        .agg(
+            F.collect_list(F.when(F.col("kind") == "station", F.col("record"))).alias("first"),
+            F.collect_list(F.when(F.col("kind") == "spatial", F.col("record"))).alias("second"),
+            F.min("src_event").alias("landed_seq"),
+        )
+    )
+    return pages.select(
+        F.col("page").alias("request_id"), "landed_seq", "station_id",
         F.lit(None).cast("string").alias("error"),
-        _body(records, F.slice(records, 1, 0)).alias("body"),
+        F.when(F.col("fault") == "truncated", F.lit(_CUT_OFF))
+        .when(F.col("fault") == "no providers", F.lit('{"Data":{}}'))
+        .otherwise(_body(F.col("first"), F.col("second"))).alias("body"),
     )
 
 

@@ -11,6 +11,7 @@ from gaugeworks.plans.projections import daily_obs
 from gaugeworks.plans.registry import query
 from gaugeworks.plans.stored import BOTH_SQL, CATALOG_SQL, KEPT_DAILY, stored_root
 from gaugeworks.schemas import RECORD_WIDTH
+from gaugeworks.session import scratch
 from gaugeworks.sources import dimensions, store
 
 LOG = f"log AS (SELECT {A.FETCH_LOG} FROM events)"
@@ -72,6 +73,26 @@ def fetch_timing(spark, sf):
     return stats.fetch_timing(A.fetch_log(spark, sf))
 
 
+@query("fetch_percentiles", f"""WITH {LOG}, ok AS (SELECT * FROM log WHERE success)
+{" UNION ALL ".join(f"SELECT '{p}' AS phase, count({p}) AS fetches, true AS p50_close, true AS p99_close FROM ok"
+                    for p in stats.PHASES)}""")
+def fetch_percentiles(spark, sf):
+    """Sketches of seven ingests are stored and merged; what they give is held against
+    the exact ranks of the same values."""
+    log, place = A.fetch_log(spark, sf), scratch(spark, "timing")
+    per_ingest = stats.timing_sketches(log.withColumn("ingest_id", F.col("ordinal") % 7), "ingest_id")
+    per_ingest.write.partitionBy("ingest_id").parquet(place)
+    found = stats.merged_percentiles(spark.read.parquet(place), p50=0.5, p99=0.99)
+    times = log.where("success").unpivot(["ordinal"], list(stats.PHASES), "phase", "ms")
+
+    def close(name, rank):
+        below, upto = F.count_if(F.col("ms") < F.col(name)), F.count_if(F.col("ms") <= F.col(name))
+        return ((below <= (rank + stats.RANK_ERROR) * F.count("*"))
+                & (upto >= (rank - stats.RANK_ERROR) * F.count("*"))).alias(f"{name}_close")
+
+    return times.join(found, "phase").groupBy("phase", "fetches").agg(close("p50", 0.5), close("p99", 0.99))
+
+
 _WIDTH_SQL = f"CASE data_type WHEN 'daily' THEN {RECORD_WIDTH['daily']} ELSE {RECORD_WIDTH['hourly']} END"
 
 

@@ -40,14 +40,14 @@ def _daily(records, measures=_DAILY_VALUES):
 def _hourly(records):
     return records.select(
         "station_id", F.col("Date").alias("day_text"), F.col("Hour").alias("hour_text"),
-        *_values(records, *_HOURLY_VALUES))
+        F.col("provider_type").alias("kind"), *_values(records, *_HOURLY_VALUES))
 
 
 _DAILY_SQL = f"""WITH {C.RAW_DAILY}
 SELECT station_id, day_text, zip, tmp_v, eto_v, wnd_v, hum_v, sol_v FROM raw WHERE fault IS NULL"""
 _HOURLY_SQL = f"""WITH {C.RAW_HOURLY}
-SELECT station_id, day_text, hour_text, tmp_v, eto_v, wnd_v, dir_v, hum_v, sol_v, pre_v, vap_v
-FROM raw WHERE true"""
+SELECT station_id, day_text, hour_text, kind, tmp_v, eto_v, wnd_v, dir_v, hum_v, sol_v, pre_v, vap_v
+FROM raw WHERE fault IS NULL"""
 
 
 @query("scan_daily", _DAILY_SQL)

@@ -128,6 +128,24 @@ def readback_diff(spark, sf):
     return integrity.readback_diff(written, read)
 
 
+# One station reads warmer in a month, one loses a week, and a day of another comes twice.
+_WARMER = "station_id % 11 = 3 AND ts BETWEEN 4400 AND 4430"
+_LOST = "station_id % 11 = 5 AND ts BETWEEN 4500 AND 4506"
+_TWICE = "station_id % 11 = 7 AND ts = 4600"
+
+
+@query("located_diff", f"""{_VALID_DAILY}, few AS (SELECT {C.DAILY_COLUMNS}, count(*) AS n FROM kept GROUP BY ALL)
+SELECT *, 'written' AS side FROM (SELECT {C.DAILY_COLUMNS}, n AS times FROM few WHERE {_WARMER} OR {_LOST})
+UNION ALL SELECT station_id, year, ts, obs_date, temperature + 10000 AS temperature, et, wind_speed, humidity,
+  solar_radiation, qc_flags, n AS times, 'read' AS side FROM few WHERE {_WARMER}
+UNION ALL SELECT *, 'read' FROM (SELECT {C.DAILY_COLUMNS}, n AS times FROM few WHERE {_TWICE})""")
+def located_diff(spark, sf):
+    written = snapshots.read_obs(spark, stored_root(spark, sf), "daily").select(*DAILY_COLUMNS)
+    warmer = F.when(F.expr(_WARMER), F.col("temperature") + 10000).otherwise(F.col("temperature"))
+    read = written.withColumn("temperature", warmer).where(f"NOT ({_LOST})")
+    return integrity.located_diff(written, read.unionByName(written.where(_TWICE)))
+
+
 @query("verify_files", f"""{_VALID_DAILY} SELECT true AS ok, count(*) AS rows_read FROM kept""")
 def verify_files(spark, sf):
     return integrity.verify_files(spark, stored_root(spark, sf), "daily").groupBy("ok").agg(

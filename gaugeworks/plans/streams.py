@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from gaugeworks.operators import convert
 from gaugeworks.plans import adapters as A, checks as C
 from gaugeworks.plans.registry import query
-from gaugeworks.session import scratch
+from gaugeworks.session import discard, scratch
 from gaugeworks.sources import responses, snapshots
-from gaugeworks.streaming import ingest
+from gaugeworks.streaming import delivery, ingest
 
 _REQUEST_SQL = """concat(CASE WHEN reject IS NULL THEN half ELSE 'x' END, asked) AS request_id,
   CASE half WHEN 'a' THEN 1 ELSE 2 END AS landed_seq,"""
@@ -68,3 +68,38 @@ def stream_dedup(spark, sf):
     records = responses.scan_daily_strict(A.daily_landed(spark, sf), "request_id", "landed_seq")
     rows = convert.convert_daily_strict(convert.minimal(records), ("request_id", "landed_seq"))
     return ingest.first_responses(rows)
+
+
+# Pages land in three batches, a batch a day; every third page comes again in the next
+# batch and every ninth a second time in its own.
+_BATCH = "pmod(crc32(cast(concat(request_id, '/', page_no) AS binary)), 3)"
+
+
+def _deliveries(spark, sf):
+    pages = A.build_daily_landed(spark, sf).withColumn("page_no", F.xxhash64("body", "error").cast("string"))
+    first = pages.withColumn("batch", F.expr(_BATCH))
+    again = first.where("pmod(xxhash64(request_id, page_no), 3) = 0 AND batch < 2").withColumn("batch", F.col("batch") + 1)
+    twice = first.where("pmod(xxhash64(request_id, page_no), 9) = 1")
+    return first.unionByName(again).unionByName(twice).withColumn(
+        "landed_at", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(batch AS int))")).drop("page_no")
+
+
+@query("stream_once", f"""WITH {C.RAW_DAILY}, pages AS (SELECT DISTINCT page,
+  concat(CASE WHEN fault IS NOT NULL OR reject IS NOT NULL THEN 'x' ELSE half END, asked) AS request_id, fault
+  FROM raw)
+SELECT request_id, count(*) FILTER (fault IS NULL) AS pages, bool_or(fault IS NOT NULL) AS faulty
+FROM pages GROUP BY request_id""")
+def stream_once(spark, sf):
+    """Three batches with a restart between them; the result counts each page once.
+    Faulty pages have no records to tell them apart, so that they count as one."""
+    landing, out, progress = (scratch(spark, n) for n in ("deliveries", "delivered", "progress"))
+    held = scratch(spark, "pages")
+    _deliveries(spark, sf).write.partitionBy("batch").parquet(held)
+    for batch in range(3):
+        spark.read.parquet(f"{held}/batch={batch}").write.mode("append").json(landing)
+        delivery.deliver_once(spark, landing, out, progress, "3 days").awaitTermination()
+    discard(spark, held)
+    discard(spark, landing)
+    fault = F.col("error").isNotNull() | ~F.col("body").startswith('{"Data":{"Providers":[{"Name":"first"')
+    return spark.read.parquet(out).groupBy("request_id").agg(
+        F.count_if(~fault).alias("pages"), F.bool_or(fault).alias("faulty"))

@@ -112,6 +112,7 @@ def write_obs(obs: DataFrame, root: str, kind: str, ingest_id: str, level: int |
         .partitionBy("year", "station_group")
         .option("compression", "zstd")
         .option("parquet.writer.version", "v2")
+        .option("parquet.page.write-checksum.enabled", True)
     )
     if level is not None:
         writer = writer.option("parquet.compression.codec.zstd.level", level)
@@ -140,10 +141,14 @@ def with_time(stored: DataFrame, kind: str) -> DataFrame:
     return stored.withColumn(TIME_COLUMN[kind], time_of(F.col("ts"), kind))
 
 
-def scan(spark: SparkSession, root: str, kind: str, paths: list[str], tolerant: bool = False) -> DataFrame:
-    """Stored columns of files or folders below the root."""
+def scan(
+    spark: SparkSession, root: str, kind: str, paths: list[str], tolerant: bool = False, checked: bool = False,
+) -> DataFrame:
+    """Stored columns of files or folders below the root; ``checked`` reads verify the
+    checksum of every page, so that damage which still decodes ends them too."""
     return (
         spark.read.schema(STORED[kind])
+        .option("parquet.page.verify-checksum.enabled", checked)
         .option("basePath", _folder(root, kind))
         .option("ignoreCorruptFiles", tolerant)
         .option("ignoreMissingFiles", tolerant)
@@ -167,7 +172,7 @@ def chunk_files(
     folder = _folder(root, kind, ingest_id)
     if not exists(spark, folder):
         return spark.createDataFrame([], FILES)
-    return scan(spark, root, kind, [folder], tolerant).groupBy(
+    return scan(spark, root, kind, [folder], tolerant, checked=True).groupBy(
         "ingest_id", F.lit(kind).alias("data_type"), "station_id", "year",
         _below_root(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_size").alias("file_size"),

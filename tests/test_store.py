@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugeworks.operators import integrity, lookups, ranges, reports, stats
 from gaugeworks.schemas import DAILY_COLUMNS, LANDED
 from gaugeworks.sources import store
-from gaugeworks.streaming import ingest
+from gaugeworks.streaming import delivery, ingest
 from test_responses import body, day
 
 DAYS = "station_id int, ts int, temperature int"
@@ -173,6 +173,76 @@ def test_verify_sees_equal_rows_swapped(spark, root):
     assert (row["ok"], row["error"]) == (False, "rows differ")
 
 
+def test_verify_sees_a_flipped_byte_that_still_decodes(spark, root):
+    """A page's checksum tells damage where the values decode and would only differ."""
+    import pyarrow.parquet as pq
+
+    spark.conf.set("spark.sql.parquet.enableVectorizedReader", "true")
+    rows = [(2, f"2024-05-{d:02d}", 1000 + 37 * d * d) for d in range(1, 29)]
+    placed = obs(spark, rows).drop("obs_date").withColumn("station_group", F.lit(0))
+    folder = f"{root}/data_type=daily/ingest_id=a"
+    # Plain pages without compression, so that a value can be changed in place.
+    placed.coalesce(1).write.partitionBy("year", "station_group").option("compression", "none").option(
+        "parquet.enable.dictionary", False).parquet(folder)
+    store.write_catalog(spark, root, "daily", "a")
+    assert integrity.verify_files(spark, root, "daily").first()["ok"]
+    (file,) = Path(folder).rglob("*.parquet")
+    whole, value = bytearray(file.read_bytes()), (1000 + 37 * 25).to_bytes(4, "little")
+    assert whole.count(value) == 1
+    whole[whole.index(value)] ^= 1
+    file.write_bytes(whole)
+    for crc in Path(root).rglob(".*.crc"):
+        crc.unlink()
+    assert sorted(pq.read_table(file)["temperature"].to_pylist()) != sorted(t for *_, t in rows)
+    # The changed value decodes, and a read that does not look at checksums takes it.
+    assert store.read_obs(spark, root, "daily").count() == 28
+    (row,) = integrity.verify_files(spark, root, "daily").collect()
+    assert (row["ok"], row["error"], row["rows_read"]) == (False, "file cannot be read", 0)
+
+
+def test_differences_are_located(spark):
+    rows = [(s, f"{y}-0{m}-{d:02d}", s + d) for s in (2, 3, 600) for y in (2023, 2024) for m in (1, 6) for d in range(1, 20)]
+    written = obs(spark, rows + [(2, "2024-01-05", 500)] * 2)
+    changed = [r for r in rows if r != (3, "2023-06-07", 10)] + [(600, "2024-01-09", 777), (2, "2024-01-05", 500)]
+    read = obs(spark, changed)
+    got = {(r["station_id"], str(r["obs_date"]), r["temperature"], r["side"], r["times"])
+           for r in integrity.located_diff(written, read).collect()}
+    assert got == {(3, "2023-06-07", 10, "written", 1), (600, "2024-01-09", 777, "read", 1),
+                   (2, "2024-01-05", 500, "written", 1)}
+    assert integrity.located_diff(written, written).isEmpty()
+    assert integrity.located_diff(written.limit(0), written.limit(0)).isEmpty()
+    assert integrity.located_diff(written.limit(0), read).agg(F.sum("times")).first()[0] == len(changed)
+
+
+def test_rows_of_equal_parts_are_not_shuffled(spark, tmp_path):
+    whole = spark.range(300_000).select(
+        (F.col("id") % 40).cast("int").alias("station_id"), (F.col("id") % 5000 + 3000).cast("int").alias("ts"),
+        F.col("id").cast("int").alias("temperature"))
+    date = F.date_add(F.lit("1985-01-01").cast("date"), F.col("ts"))
+    whole.withColumn("year", F.year(date)).write.parquet(str(tmp_path / "w"))
+    written = spark.read.parquet(str(tmp_path / "w"))
+    read = written.withColumn("temperature", F.when(F.col("temperature") == 77_777, 0).otherwise(F.col("temperature")))
+    found = integrity.located_diff(written, read)
+    assert sorted((r["temperature"], r["side"]) for r in found.collect()) == [(0, "read"), (77_777, "written")]
+    # Row counts of the exchanges that ran: checksums per part, then the rows of one part.
+    plan, rows = found._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if "ShuffleExchange" in node.getClass().getName():
+            rows.append(node.metrics().apply("shuffleRecordsWritten").value())
+        inner = node.getClass().getSimpleName()
+        if inner == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif inner.endswith("QueryStageExec"):
+            walk(node.plan())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    assert rows and max(rows) < 30_000, rows
+
+
 def test_verify_names_unrecorded_files(spark, root):
     store.write_obs(eleven(spark), root, "daily", "a")
     (row,) = integrity.verify_files(spark, root, "daily").collect()
@@ -240,3 +310,51 @@ def test_dry_run_writes_no_observations(spark, root):
     ingest.ingest_batch(rows, root, "x", dry_run=True)
     assert not Path(root, "data_type=daily").exists()
     assert spark.read.parquet(f"{root}/fetch_log").first()["records"] == 1
+
+
+def delivered(folder, name, *pages):
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    names = ("request_id", "landed_seq", "station_id", "error", "body", "landed_at")
+    Path(folder, name).write_text("\n".join(json.dumps(dict(zip(names, p))) for p in pages))
+
+
+def test_repeated_deliveries_are_taken_once(spark, tmp_path):
+    """Three runs from one checkpoint: repeats within the delay go, in a batch and later."""
+    landing, out, progress = (str(tmp_path / n) for n in ("landing", "out", "progress"))
+
+    def run():
+        delivery.deliver_once(spark, landing, out, progress, "2 days", files_per_batch=1).awaitTermination()
+        return sorted((r["request_id"], r["body"]) for r in spark.read.parquet(out).collect())
+
+    a, b = ("a", 1, 2, None, "x"), ("b", 2, 2, "status 502", None)
+    delivered(landing, "1.json", (*a, "2024-01-01T00:00:00Z"), (*a, "2024-01-01T01:00:00Z"), (*b, "2024-01-01T02:00:00Z"))
+    assert run() == [("a", "x"), ("b", None)]
+    # Another page of the same request is another page; the same one again is not.
+    delivered(landing, "2.json", (*a, "2024-01-02T00:00:00Z"), ("a", 1, 2, None, "y", "2024-01-02T00:00:00Z"))
+    assert run() == [("a", "x"), ("a", "y"), ("b", None)]
+    delivered(landing, "3.json", (*b, "2024-01-02T12:00:00Z"), ("c", 3, 5, None, "z", "2024-01-09T00:00:00Z"))
+    assert run() == [("a", "x"), ("a", "y"), ("b", None), ("c", "z")]
+    # Beyond the delay a page that is too late is dropped, and state has been let go.
+    delivered(landing, "4.json", ("late", 4, 5, None, "w", "2024-01-01T00:00:00Z"), (*a, "2024-01-09T01:00:00Z"))
+    assert run() == [("a", "x"), ("a", "x"), ("a", "y"), ("b", None), ("c", "z")]
+    assert run() == [("a", "x"), ("a", "x"), ("a", "y"), ("b", None), ("c", "z")]
+
+
+def test_timing_sketches_merge(spark):
+    import random
+
+    rng = random.Random(3)
+    log = [(i, i % 5, i % 9 != 0, *(int(rng.expovariate(0.01)) + k for k in range(len(stats.PHASES)))) for i in range(20_000)]
+    frame = spark.createDataFrame(log, "ordinal int, ingest_id int, success boolean, "
+                                  + ", ".join(f"{p} bigint" for p in stats.PHASES))
+    sketches = stats.timing_sketches(frame, "ingest_id")
+    assert sketches.count() == 5 * len(stats.PHASES)
+    got = {r["phase"]: r for r in stats.merged_percentiles(sketches, p50=0.5, p99=0.99, p0=0.0, p100=1.0).collect()}
+    for k, phase in enumerate(stats.PHASES):
+        values = sorted(r[3 + k] for r in log if r[2])
+        row, n = got[phase], len(values)
+        assert row["fetches"] == n and (row["p0"], row["p100"]) == (values[0], values[-1])
+        for name, rank in (("p50", 0.5), ("p99", 0.99)):
+            low, high = (values[max(0, min(n - 1, round((rank + e) * n)))] for e in (-stats.RANK_ERROR, stats.RANK_ERROR))
+            assert low <= row[name] <= high
+    assert stats.merged_percentiles(stats.timing_sketches(frame.limit(0), "ingest_id"), p50=0.5).isEmpty()
