@@ -7,9 +7,8 @@ of tokens whose ranges overlap is a link.  How often a pair of ids is linked is
 counted over all texts, and a text's links are rated by these counts.
 
 Both tokenizers cut at a space that follows a letter or sign, and what they do
-on either side does not depend on the other, so that texts are tokenized a
-stretch between such spaces at a time and common stretches are remembered.
-Alignment is done for many whole texts at a time.
+on either side does not depend on the other, so that a very long text is tokenized
+in stretches between such spaces.  Alignment is done for many whole texts at a time.
 
 Texts are read once.  A task cuts its texts into chunks of a bounded number of
 tokens (a longer text is a chunk of its own) and writes one row a chunk: its
@@ -28,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,14 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from tokenizers import Tokenizer
 
+from gaugeworks.llm import packing
 from gaugeworks.llm.base import prepare, query, staged, table
 
 #: Tokens of both tokenizers after which a chunk ends.
-CHUNK_TOKENS = 600_000
+CHUNK_TOKENS = 400_000
 
-#: Stretches that a worker remembers, and their longest length.
-_STRETCHES, _STRETCH_CHARS = 300_000, 64
+#: Characters after which a long text is cut for the tokenizers.
+_STRETCH_CHARS = 16_384
 
 #: Characters of texts that are tokenized together; a longer text is by itself.
 _SLAB_CHARS = 1_000_000
@@ -55,11 +55,12 @@ _SHIFT = 32
 _CUT = re.compile(r"(?<=\S)(?= (?s:.))")
 
 
-def public_files() -> tuple[str, str]:
-    """Tokenizer file and piece model of the public vocabularies."""
+def public_files() -> tuple[str, str, str, str]:
+    """Tokenizer file, rank file and split pattern of the first, piece model of the
+    second of the public vocabularies."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return *packing.public_files(), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -71,12 +72,16 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Ids and byte lengths of a stretch's tokens under both tokenizers."""
+    """Ids and byte lengths of a text's tokens under both tokenizers.
 
-    def __init__(self, byte_file: str, piece_file: str):
+    Most texts' ids of the first come from the rank file of the same vocabulary, as
+    :class:`packing.Encoder` says; names of special tokens are plain text to both files.
+    """
+
+    def __init__(self, byte_file: str, rank_file: str, pattern: str, piece_file: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
+        self.ranks = packing.encoder(byte_file, rank_file, pattern).ranks
         self.a = Tokenizer.from_file(byte_file)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=piece_file)
@@ -84,12 +89,13 @@ class Tokenizers:
         entries = self.a.get_vocab(with_added_tokens=True)
         self.a_bytes = {i: bytes(map(letters.__getitem__, e)) if set(e) <= letters.keys() else e.encode()
                         for e, i in entries.items()}
-        self.b_bytes = [self._piece(i) for i in range(self.b.vocab_size())]
+        self.b_bytes = dict(enumerate(map(self._piece, range(self.b.vocab_size()))))
+        self.ids = 1 + max(*self.a_bytes, *self.b_bytes)
+        self.a_length, self.b_length = (
+            np.array([len(of.get(i, b"")) for i in range(self.ids)], np.int32) for of in (self.a_bytes, self.b_bytes))
         # Pieces that go on behind an inner space would tie stretches together.
-        self.apart = not any(b" " in p.lstrip(b" ") for p in self.b_bytes)
-        self.known: dict[str, tuple] = {}
+        self.apart = not any(b" " in p.lstrip(b" ") for p in self.b_bytes.values())
         # Each id in decimals, with each of the signs that may follow it.
-        self.ids = 1 + max(max(self.a_bytes), len(self.b_bytes))
         self.signed = np.array([f"{i}{sign}" for sign in ",|;" for i in range(self.ids)], object)
 
     def _piece(self, i: int) -> bytes:
@@ -99,42 +105,42 @@ class Tokenizers:
         return piece.replace("▁", " ").encode()
 
     def stretches(self, text: str) -> list[str]:
-        spaced = " " + text
-        return _CUT.split(spaced) if self.apart else [spaced]
-
-    def _tokens(self, stretches: list[str]) -> Iterator[tuple[bytes, ...] | None]:
-        """Packed ids and lengths of both for each; None where the bytes differ."""
-        packed = lambda numbers: array("i", numbers).tobytes()
-        both = zip(self.a.encode_batch_fast(stretches, add_special_tokens=False),
-                   self.b.encode([s[1:] for s in stretches], num_threads=1))
-        for stretch, (a, b) in zip(stretches, both):
-            raw, a = stretch.encode(), a.ids
-            a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            same = b"".join(a_parts) == raw and b"".join(b_parts) == raw
-            yield (packed(a), packed(map(len, a_parts)), packed(b), packed(map(len, b_parts))) if same else None
+        """The text with a space before it, cut where neither tokenizer notices."""
+        spaced, out, at = " " + text, [], 0
+        while self.apart and len(spaced) - at > _STRETCH_CHARS:
+            cut = _CUT.search(spaced, at + _STRETCH_CHARS)
+            if cut is None:
+                break
+            out.append(spaced[at:cut.start()])
+            at = cut.start()
+        return [*out, spaced[at:]]
+
+    def _ids_a(self, stretch: str, raw: bytes) -> list[int]:
+        if raw.isascii() or max(raw) < packing._PLAIN_BELOW:
+            return self.ranks.encode_ordinary(stretch)
+        return self.a.encode(stretch, add_special_tokens=False).ids
 
     def texts(self, texts: list[str | None]) -> list[tuple[np.ndarray, ...] | None]:
         """Ids and lengths of whole texts under both; None where a text has no tokens."""
         cut = [self.stretches(t) if t else [] for t in texts]
-        known = self.known
-        new = list({s for stretches in cut for s in stretches if s not in known})
-        known.update(zip(new, self._tokens(new)))
+        # The second tokenizer puts a space before a text by itself.
+        b_ids = iter(self.b.encode([s[1:] for stretches in cut for s in stretches], num_threads=1))
         out = []
         for stretches in cut:
-            found = [known[s] for s in stretches]
-            if not found or None in found:
-                out.append(None)
-            else:
-                out.append(tuple(np.frombuffer(b"".join(column), np.int32) for column in zip(*found)))
-        if len(known) > _STRETCHES:
-            known.clear()
-        for s in new:
-            if len(s) > _STRETCH_CHARS:
-                known.pop(s, None)
+            a, b, same = [], [], bool(stretches)
+            for stretch in stretches:
+                raw, mine = stretch.encode(), next(b_ids)
+                ids = self._ids_a(stretch, raw)
+                same = same and b"".join(map(self.a_bytes.__getitem__, ids)) == raw
+                same = same and b"".join(map(self.b_bytes.__getitem__, mine)) == raw
+                a += ids
+                b += mine
+            a, b = np.array(a, np.int32), np.array(b, np.int32)
+            out.append((a, self.a_length[a], b, self.b_length[b]) if same else None)
         return out
 
 
-_TOKENIZERS: dict[tuple[str, str], Tokenizers] = {}
+_TOKENIZERS: dict[tuple[str, ...], Tokenizers] = {}
 
 
 def tokenizers(*files: str) -> Tokenizers:
@@ -248,7 +254,7 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
             yield ids, texts
 
 
-def chunks(docs: DataFrame, files: tuple[str, str], chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def chunks(docs: DataFrame, files: tuple[str, ...], chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """One row a chunk of texts of ``docs`` (doc_id, text)."""
     def row(number, chunk, both):
         got = chunk.figures(both)
@@ -305,7 +311,7 @@ def _rated(key, texts: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(v, _ARROW[_TEXT_COLUMNS.get(n, "long")]) for n, v in out.items() if n != "entries"})
 
 
-def align_documents(docs: DataFrame, files: tuple[str, str] | None = None,
+def align_documents(docs: DataFrame, files: tuple[str, ...] | None = None,
                     chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum) of
     every document."""
@@ -318,7 +324,7 @@ def align_documents(docs: DataFrame, files: tuple[str, str] | None = None,
             .applyInArrow(_rated, schema + ", n_best long, count_sum long"))
 
 
-def spans(text: str | None, files: tuple[str, str] | None = None) -> list[tuple]:
+def spans(text: str | None, files: tuple[str, ...] | None = None) -> list[tuple]:
     """(start, end, ids of A, ids of B) of each group of a text, whose bytes have a
     space before them; nothing where the text has no tokens."""
     got = tokenizers(*(files or public_files())).texts([text])[0]

@@ -57,7 +57,9 @@ TEXTS = ["one two  three\n\n four's don't\tfive ", " lead", "  ", " ", "a", "x \
          "tail   ", "\x1c \x1f a\x00b \x85 c", "don't it's we'll I'D"]
 
 
-def test_stretches_tokenize_as_the_whole(whole):
+@pytest.mark.parametrize("chars", [1, 12, 16_384])
+def test_stretches_tokenize_as_the_whole(whole, chars, monkeypatch):
+    monkeypatch.setattr(alignment, "_STRETCH_CHARS", chars)
     both = alignment.tokenizers(*FILES)
     rng = random.Random(3)
     stock = ["a", "Be", "'s", " ", "  ", "\n", "\t", "é", "日本", ".", "12", " ", " ", "🙂", "<s>", "ing", "\r\n"]
