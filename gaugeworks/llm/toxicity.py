@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from array import array
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,10 @@ from gaugeworks.llm.base import WordTable, digit, prepare, query, share, staged,
 #: that vote, and the examples of a block.
 EXAMPLES, NEIGHBOURS, BLOCK = 2000, 15, 64
 
+#: Share of the examples from which on a term is common, and texts that are looked
+#: up together.
+COMMON, TEXTS = 1 / 16, 64
+
 #: Blocks that are scored together: few at first, then all that may still matter.
 _STEPS = (4, 16)
 
@@ -96,17 +101,21 @@ class Vectors:
 def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """All numbers from each low to its high."""
     size = high - low
-    return np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+    return np.arange(size.sum(), dtype=np.int32) + np.repeat((low - (np.cumsum(size) - size)).astype(np.int32), size)
 
 
 @dataclass
 class Index:
     """Examples as an inverted index.  Postings are by term, then example; those of
-    one term in one block are an entry with their largest weight."""
+    one term in one block are an entry with their largest weight.  Terms that one
+    example in ``1 / COMMON`` or more has are columns of a table instead, whose part
+    of every cosine a matrix product gives for many texts together."""
 
     idf: np.ndarray
     label: np.ndarray
     key: list
+    column: np.ndarray  # a common term's column, -1 for others
+    table: np.ndarray  # common terms x examples, whole blocks
     example: np.ndarray
     weight: np.ndarray
     starts: np.ndarray  # a term's first entry
@@ -121,14 +130,21 @@ class Index:
         term = np.concatenate([e[2] for e in examples]).astype(np.int64)
         example = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
         weight = np.concatenate([cls._weights(idf, e[2], e[3]) for e in examples])
-        order = np.lexsort((example, term))
-        term, example, weight = term[order], example[order], weight[order]
-        new = np.r_[True, (term[1:] != term[:-1]) | (example[1:] // block != example[:-1] // block)]
+        blocks = -(-len(examples) // block)
+        common = np.bincount(term, minlength=len(idf)) >= COMMON * len(examples)
+        column = np.where(common, np.cumsum(common) - 1, -1)
+        table = np.zeros((int(common.sum()), blocks * block))
+        often = common[term]
+        table[column[term[often]], example[often]] = weight[often]
+        order = np.lexsort((example[~often], term[~often]))
+        term, example, weight = term[~often][order], example[~often][order], weight[~often][order]
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (example[1:] // block != example[:-1] // block)
         low = np.flatnonzero(new)
-        return cls(idf, np.array([e[1] for e in examples], np.int8), [e[0] for e in examples],
-                   example.astype(np.int32), weight, np.searchsorted(term[low], np.arange(len(idf) + 1)),
-                   (example[low] // block).astype(np.int32), np.maximum.reduceat(weight, low),
-                   np.append(low, len(term)), -(-len(examples) // block))
+        return cls(idf, np.array([e[1] for e in examples], np.int8), [e[0] for e in examples], column, table,
+                   example.astype(np.int32), weight, np.searchsorted(term[low], np.arange(len(idf) + 1)).astype(np.int32),
+                   (example[low] // block).astype(np.int32), np.maximum.reduceat(weight, low) if len(low) else weight,
+                   np.append(low, len(term)).astype(np.int32), blocks)
 
     @staticmethod
     def _weights(idf, ids, counts):
@@ -138,14 +154,27 @@ class Index:
     def weights(self, ids, counts):
         return self._weights(self.idf, ids, counts)
 
-    def nearest(self, ids, counts, k=NEIGHBOURS, but=-1, seen=None):
-        """(example, cosine) of the k nearest with a positive cosine, best first.
-        ``seen`` takes the numbers of the blocks that are scored."""
-        w = self.weights(ids, counts)
+    def nearest(self, texts, k=NEIGHBOURS, but=None, seen=None):
+        """For each text (ids, counts) its k nearest examples with a positive cosine,
+        as (example, cosine), best first; ``but`` names an example to leave out for
+        each.  ``seen`` takes the numbers of the blocks that are scored."""
+        for at in range(0, len(texts), TEXTS):
+            part = [(ids, self.weights(ids, counts)) for ids, counts in texts[at:at + TEXTS]]
+            asked = np.zeros((len(part), len(self.table)))
+            for row, (ids, w) in zip(asked, part):
+                column = self.column[ids]
+                row[column[column >= 0]] = w[column >= 0]
+            often = asked @ self.table
+            best_often = often.reshape(len(part), self.blocks, -1).max(2)
+            for j, (ids, w) in enumerate(part):
+                left_out = -1 if but is None else but[at + j]
+                yield self._nearest(ids, w, often[j], best_often[j], k, left_out, seen)
+
+    def _nearest(self, ids, w, often, best_often, k, but, seen):
         first, last = self.starts[ids], self.starts[ids + 1]
         entry, mine = _ranges(first, last), np.repeat(w, last - first)
         block = self.block[entry]
-        bound = np.bincount(block, mine * self.largest[entry], self.blocks)
+        bound = np.bincount(block, mine * self.largest[entry], self.blocks) + best_often
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         who, cosine, done = np.zeros(0, np.int64), np.zeros(0), 0
@@ -161,21 +190,28 @@ class Index:
             some = wanted[block]
             low, high = self.low[entry[some]], self.low[entry[some] + 1]
             at = _ranges(low, high)
-            found = np.bincount(self.example[at], np.repeat(mine[some], high - low) * self.weight[at], len(self.key))
-            new = np.flatnonzero(found > 0)
-            new = new[new != but]
+            found = np.bincount(self.example[at], np.repeat(mine[some], high - low) * self.weight[at], len(often))
+            found = np.round(found + often, 12)
+            if but >= 0:
+                found[but] = 0
+            theirs = found.reshape(self.blocks, -1)[chosen].ravel()
+            least = cosine[-1] if len(who) == k else 0.0
+            if len(theirs) > k:
+                least = max(least, np.partition(theirs, -k)[-k])
+            new = np.flatnonzero((found > 0) & (found >= least) & np.repeat(wanted, len(found) // self.blocks))
             who, cosine = np.r_[who, new], np.r_[cosine, found[new]]
-            best = np.lexsort((who, -np.round(cosine, 12)))[:k]
+            best = np.lexsort((who, -cosine))[:k]
             who, cosine = who[best], cosine[best]
             if seen is not None:
                 seen.extend(chosen.tolist())
         return list(zip(who.tolist(), cosine.tolist()))
 
-    def vote(self, ids, counts, but=-1):
-        """Share of the cosine that toxic neighbours have, and the neighbours."""
-        near = self.nearest(ids, counts, but=but)
-        total = sum(c for _, c in near)
-        return (round(sum(c for i, c in near if self.label[i]) / total, 9) if total else None), near
+    def votes(self, texts, but=None):
+        """For each text the share of the cosine that toxic neighbours have, nothing
+        where there are none, and the neighbours."""
+        for near in self.nearest(texts, but=but):
+            total = sum(c for _, c in near)
+            yield (round(sum(c for i, c in near if self.label[i]) / total, 9) if total else None), near
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float]]:
@@ -199,13 +235,16 @@ class Model:
     base: float  # of texts without terms or neighbours
     steps: tuple[list[float], list[float]] = ((), ())
 
-    def score(self, ids, counts) -> tuple[float, list]:
-        if self.index is None or not len(ids):
-            return self.base, []
-        vote, near = self.index.vote(ids, counts)
-        if vote is None:
-            return self.base, []
-        return self.steps[1][max(0, bisect_right(self.steps[0], vote) - 1)], near
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list]]:
+        """Score and neighbours of each text (ids, counts)."""
+        if self.index is None:
+            yield from ((self.base, []) for _ in texts)
+            return
+        for vote, near in self.index.votes(texts):
+            if vote is None:
+                yield self.base, []
+            else:
+                yield self.steps[1][max(0, bisect_right(self.steps[0], vote) - 1)], near
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
@@ -274,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     # Examples of one leading term lie together, so that blocks have few terms.
     full.sort(key=lambda e: (int(e[2][np.argmax((1 + np.log(e[3])) * idf[e[2]])]), e[2].tolist(), e[0]))
     index = Index.build(idf, full)
-    votes = [index.vote(e[2], e[3], but=i)[0] for i, e in enumerate(full)]
+    votes = [v for v, _ in index.votes([e[2:] for e in full], range(len(full)))]
     empty = [c for _, c, i, _ in made if not i] + [e[1] for e, v in zip(full, votes) if v is None]
     toxic = sum(weight[1] for c in empty if c)
     base = toxic / max(1e-9, toxic + sum(weight[0] for c in empty if not c)) if empty else size[1] / total
@@ -287,16 +326,12 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
 
 def _judged(model: Model, texts):
     """(score, evidence) of each text; texts alike in their terms share one."""
-    vectors, known = model.vectors, {}
-    for text in texts:
-        ids, counts = vectors.counts(text)
-        alike = (ids.tobytes(), counts.tobytes())
-        if alike not in known:
-            if len(known) >= 50_000:
-                known.clear()
-            score, near = model.score(ids, counts)
-            known[alike] = score, [{"doc_id": model.index.key[i], "cosine": c} for i, c in near[:3]]
-        yield known[alike]
+    counted = [model.vectors.counts(text) for text in texts]
+    alike = [(ids.tobytes(), counts.tobytes()) for ids, counts in counted]
+    different = dict(zip(alike, counted))
+    known = {key: (score, [{"doc_id": model.index.key[i], "cosine": c} for i, c in near[:3]])
+             for key, (score, near) in zip(different, model.scores(list(different.values())))}
+    return [known[key] for key in alike]
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -309,7 +344,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            got = list(_judged(held.value, batch.column(1).to_pylist()))
+            got = _judged(held.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], kind)],
                 ["doc_id", "score", "evidence"])

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from tests_llm_rows import awkward_rows, words
 
 from gaugeworks.llm import chat, language, toxicity, urlfilter
@@ -100,9 +101,10 @@ def test_nearest_is_exact():
     rng = np.random.default_rng(2)
     idf = rng.uniform(0, 6, 50) ** 3
     idf[:3] = 0
+    chance = 1 / np.arange(1, 51)
     examples = []
     for k in range(900):
-        ids = np.unique(rng.integers(0, 50, rng.integers(1, 8)))
+        ids = np.unique(rng.choice(50, rng.integers(1, 8), p=chance / chance.sum()))
         examples.append((k, int(rng.integers(0, 2)), ids, rng.integers(1, 5, len(ids))))
     examples.sort(key=lambda e: int(e[2][np.argmax(idf[e[2]])]))
     index = toxicity.Index.build(idf, examples, block=16)
@@ -110,13 +112,14 @@ def test_nearest_is_exact():
     for k, (_, _, ids, counts) in enumerate(examples):
         dense[k, ids] = index.weights(ids, counts)
     scored = []
+    assert 0 < len(index.table) < 50
     for k in range(0, 900, 7):
         for but in (-1, k):
             cosine = dense @ dense[k]
             expected = [i for i in sorted(range(900), key=lambda i: (-round(cosine[i], 12), i))
                         if cosine[i] > 0 and i != but][:toxicity.NEIGHBOURS]
             seen = []
-            got = index.nearest(*examples[k][2:], but=but, seen=seen)
+            (got,) = index.nearest([examples[k][2:]], but=[but], seen=seen)
             assert [i for i, _ in got] == expected and np.allclose([c for _, c in got], cosine[expected])
             scored.append(len(set(seen)))
     assert max(scored) <= index.blocks and sum(scored) < 0.7 * index.blocks * len(scored)
@@ -237,6 +240,33 @@ def test_urls_are_learned(spark, empty):
     assert urlfilter.judge(one.limit(0)).collect() == []
 
 
+def test_a_rare_verdict_is_learned(spark):
+    rows = [(i, "a.com", f"/fr/{i}/{i % 7}", "allow") for i in range(3000)] + [
+        (5000 + i, "b.com", f"/de/{i}", "block") for i in range(12)]
+    told = spark.createDataFrame(rows, "page_id long, host string, path string, told string")
+    urls = spark.createDataFrame([("c.com", "/de/901"), ("c.com", "/fr/902/3")], "host string, path string")
+    got = {r["path"]: r["blocked_score"] for r in urlfilter.learned_scores(urls, told, labelled=200).collect()}
+    assert got["/de/901"] >= 0.5 > got["/fr/902/3"]
+
+
+def test_urls_held_out(spark):
+    """Verdicts of rules, learned from four in five of the urls they decide."""
+    rng = random.Random(4)
+    label = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))
+    pages = spark.createDataFrame([
+        (i, f"http://{label()}.{rng.choice(('org', 'com', 'net'))}/{rng.choice(('de', 'fr', 'es', 'en'))}/{label()}/{i}")
+        for i in range(3000)], "page_id long, url string")
+    judged = urlfilter.judge(pages).filter("rule IS NOT NULL").select("page_id", "host", "path", F.col("verdict").alias("told"))
+    held = urlfilter.learned_scores(judged.filter("page_id % 5 = 0"), judged.filter("page_id % 5 <> 0")).collect()
+    assert len(held) > 200 and sum((r["blocked_score"] >= 0.5) == (r["told"] == "block") for r in held) >= 0.98 * len(held)
+
+
+def test_urls_of_any_length(spark):
+    long = "http://" + "a." * 3000 + "org/" + "x/%E4?" * 20_000
+    got = urlfilter.judge(spark.createDataFrame([(1, long), (2, "x://" + "/" * 50_000)], "page_id long, url string")).collect()
+    assert {r["page_id"]: (r["rule"], len(r["host"])) for r in got} == {1: ("org/", 6003), 2: (None, 0)}
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
