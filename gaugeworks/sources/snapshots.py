@@ -115,8 +115,7 @@ def _write_part(rows: DataFrame, root: str, kind: str, ingests: tuple[str, ...])
 
 def publish(spark: SparkSession, root: str, kind: str, *ingests: str) -> Snapshot:
     """Make the recorded files of these ingests live, in place of what they had before."""
-    recorded = store.read_files(spark, root).where(
-        (F.col("data_type") == kind) & F.col("ingest_id").isin(list(ingests)))
+    recorded = store.read_files_of(spark, root, kind, ingests)
     part = _write_part(_manifest_rows(recorded), root, kind, tuple(sorted(ingests)))
 
     def change(parts):
@@ -193,8 +192,7 @@ def compact(spark: SparkSession, root: str, kind: str, before_year: int) -> Snap
     rows = store.read_paths(spark, root, kind, [f"{root}/{r['file']}" for r in closed.select("file").collect()])
     store.write_obs(rows, root, kind, made)
     store.write_catalog(spark, root, kind, made)
-    written = _manifest_rows(store.read_files(spark, root).where(
-        (F.col("data_type") == kind) & (F.col("ingest_id") == made)))
+    written = _manifest_rows(store.read_files_of(spark, root, kind, (made,)))
     _same_rows(closed, written)
     left = live.where(~F.col("year").isin(years)).unionByName(written)
     ingests = tuple(sorted(r["ingest_id"] for r in left.select("ingest_id").distinct().collect()))

@@ -262,3 +262,13 @@ def read_catalog(spark: SparkSession, root: str) -> DataFrame:
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     return _table(spark, f"{root}/files", FILES)
+
+
+def read_files_of(spark: SparkSession, root: str, kind: str, ingests: tuple[str, ...]) -> DataFrame:
+    """Recorded files of some ingests; only their folders are listed."""
+    own = f"{root}/files/data_type={kind}"
+    named = {place.rsplit("ingest_id=", 1)[1] for place in listed(spark, f"{own}/ingest_id=*")}
+    paths = [f"{own}/ingest_id={i}" for i in sorted(set(ingests) & named)]
+    if not paths:
+        return spark.createDataFrame([], FILES)
+    return spark.read.schema(FILES).option("basePath", f"{root}/files").parquet(*paths)

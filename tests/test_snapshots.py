@@ -60,6 +60,32 @@ def test_range_opens_only_files_of_its_group_and_years(spark, root):
     assert snapshots.read_obs(spark, root, "daily", end="2000-01-01").isEmpty()
 
 
+def test_bounds_reach_the_scan(spark, root):
+    fill(spark, root)
+    span = (2, "2022-02-01", "2023-11-01")
+    rows = ranges.query_range(snapshots.read_obs(spark, root, "daily", *span), "daily", *span)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    try:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    for bound in ("EqualTo(station_id,2)", "GreaterThanOrEqual(ts,", "LessThan(ts,"):
+        assert bound in pushed
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_ingests_without_rows_are_published(spark, root):
+    many = obs(spark, days(2, 2023) + days(5, 2024))
+    store.write_all(many, root, "daily", F.concat(F.lit("run-"), (F.col("station_id") % 3).cast("string")))
+    at = snapshots.publish(spark, root, "daily", "run-0", "run-1", "run-2")
+    assert at.parts[0].ingests == ("run-0", "run-1", "run-2")
+    assert rows_of(snapshots.read_obs(spark, root, "daily")) == rows_of(many)
+    assert snapshots.read_catalog(spark, root).count() == 2
+    with pytest.raises(Exception):  # a store is written whole once
+        store.write_all(many, root, "daily", F.lit("again"))
+
+
 def test_time_bounds_choose_files_within_a_year(spark, root):
     put(spark, root, "spring", days(2, 2024))
     put(spark, root, "autumn", [(2, "2024-10-01", 7)])
