@@ -115,10 +115,17 @@ class Tokenizers:
             at = cut.start()
         return [*out, spaced[at:]]
 
-    def _ids_a(self, stretch: str, raw: bytes) -> list[int]:
+    def _first(self, stretch: str, raw: bytes) -> np.ndarray | None:
+        """Ids of the first tokenizer; nothing where they do not give the bytes back."""
         if raw.isascii() or max(raw) < packing._PLAIN_BELOW:
-            return self.ranks.encode_ordinary(stretch)
-        return self.a.encode(stretch, add_special_tokens=False).ids
+            ids = self.ranks.encode_to_numpy(stretch).astype(np.int32)
+            # Ranks are of the text's own bytes, so that only missing ones could differ.
+            return ids if int(self.a_length[ids].sum()) == len(raw) else None
+        ids = self.a.encode(stretch, add_special_tokens=False).ids
+        return np.array(ids, np.int32) if b"".join(map(self.a_bytes.__getitem__, ids)) == raw else None
+
+    def _second(self, ids: list[int], raw: bytes) -> np.ndarray | None:
+        return np.array(ids, np.int32) if b"".join(map(self.b_bytes.__getitem__, ids)) == raw else None
 
     def texts(self, texts: list[str | None]) -> list[tuple[np.ndarray, ...] | None]:
         """Ids and lengths of whole texts under both; None where a text has no tokens."""
@@ -127,16 +134,14 @@ class Tokenizers:
         b_ids = iter(self.b.encode([s[1:] for stretches in cut for s in stretches], num_threads=1))
         out = []
         for stretches in cut:
-            a, b, same = [], [], bool(stretches)
-            for stretch in stretches:
-                raw, mine = stretch.encode(), next(b_ids)
-                ids = self._ids_a(stretch, raw)
-                same = same and b"".join(map(self.a_bytes.__getitem__, ids)) == raw
-                same = same and b"".join(map(self.b_bytes.__getitem__, mine)) == raw
-                a += ids
-                b += mine
-            a, b = np.array(a, np.int32), np.array(b, np.int32)
-            out.append((a, self.a_length[a], b, self.b_length[b]) if same else None)
+            raws = [stretch.encode() for stretch in stretches]
+            b = [self._second(next(b_ids), raw) for raw in raws]
+            a = [self._first(stretch, raw) for stretch, raw in zip(stretches, raws)]
+            if not stretches or any(x is None for x in (*a, *b)):
+                out.append(None)
+                continue
+            a, b = (side[0] if len(side) == 1 else np.concatenate(side) for side in (a, b))
+            out.append((a, self.a_length[a], b, self.b_length[b]))
         return out
 
 
@@ -178,7 +183,7 @@ def align(a_start, a_end, b_start, b_end) -> Aligned:
     many = np.maximum(np.searchsorted(b_start, a_end, side="left") - first, 0)
     a = np.repeat(np.arange(len(a_start)), many)
     b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many - first, many)
-    by_side = np.lexsort((side[order], group))
+    by_side = np.argsort(2 * group + side[order], kind="stable")
     return Aligned(order[by_side], group[by_side], a, b)
 
 
