@@ -42,7 +42,7 @@ EXAMPLES, NEIGHBOURS, BLOCK = 2000, 15, 64
 COMMON, TEXTS = 1 / 16, 64
 
 #: Blocks that are scored together: few at first, then all that may still matter.
-_STEPS = (4, 16)
+_STEPS = (8,)
 
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -121,7 +121,8 @@ class Index:
     starts: np.ndarray  # a term's first entry
     block: np.ndarray
     largest: np.ndarray
-    low: np.ndarray  # an entry's first posting; the next entry's ends them
+    low: np.ndarray  # an entry's first posting, and how many there are
+    size: np.ndarray
     blocks: int
 
     @classmethod
@@ -144,7 +145,7 @@ class Index:
         return cls(idf, np.array([e[1] for e in examples], np.int8), [e[0] for e in examples], column, table,
                    example.astype(np.int32), weight, np.searchsorted(term[low], np.arange(len(idf) + 1)).astype(np.int32),
                    (example[low] // block).astype(np.int32), np.maximum.reduceat(weight, low) if len(low) else weight,
-                   np.append(low, len(term)).astype(np.int32), blocks)
+                   low.astype(np.int32), np.diff(np.append(low, len(term))).astype(np.int32), blocks)
 
     @staticmethod
     def _weights(idf, ids, counts):
@@ -177,7 +178,7 @@ class Index:
         bound = np.bincount(block, mine * self.largest[entry], self.blocks) + best_often
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        who, cosine, done = np.zeros(0, np.int64), np.zeros(0), 0
+        who, cosine, done, each = np.zeros(0, np.int64), np.zeros(0), 0, len(often) // self.blocks
         for step in (*_STEPS, len(order)):
             chosen = order[done:done + step]
             if len(who) == k:
@@ -187,19 +188,22 @@ class Index:
             done += step
             wanted = np.zeros(self.blocks, bool)
             wanted[chosen] = True
-            some = wanted[block]
-            low, high = self.low[entry[some]], self.low[entry[some] + 1]
-            at = _ranges(low, high)
-            found = np.bincount(self.example[at], np.repeat(mine[some], high - low) * self.weight[at], len(often))
-            found = np.round(found + often, 12)
+            some = np.flatnonzero(wanted[block])
+            entries = entry[some]
+            low, size = self.low[entries], self.size[entries]
+            at = _ranges(low, low + size)
+            found = np.bincount(self.example[at], np.repeat(mine[some], size) * self.weight[at], len(often))
+            found = found + often
             if but >= 0:
                 found[but] = 0
-            theirs = found.reshape(self.blocks, -1)[chosen].ravel()
+            chosen = np.sort(chosen)
+            theirs = found.reshape(self.blocks, each)[chosen].ravel()
             least = cosine[-1] if len(who) == k else 0.0
             if len(theirs) > k:
                 least = max(least, np.partition(theirs, -k)[-k])
-            new = np.flatnonzero((found > 0) & (found >= least) & np.repeat(wanted, len(found) // self.blocks))
-            who, cosine = np.r_[who, new], np.r_[cosine, found[new]]
+            new = np.flatnonzero((theirs > 1e-12) & (theirs >= least - 1e-11))
+            who = np.concatenate((who, chosen[new // each] * each + new % each))
+            cosine = np.concatenate((cosine, np.round(theirs[new], 12)))
             best = np.lexsort((who, -cosine))[:k]
             who, cosine = who[best], cosine[best]
             if seen is not None:
@@ -250,6 +254,25 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """Learn from ``labels`` (doc_id, toxic).  What reaches the driver is bounded:
     about ``examples`` documents a class, as their words and vectors."""
+    return fit_counted(docs, labels, examples)[0]
+
+
+def counted(docs: DataFrame, vectors) -> DataFrame:
+    """(doc_id, ids, counts) of the terms of every document, as packed numbers."""
+    def run(batches):
+        for batch in batches:
+            pairs = [vectors.value.counts(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([p[k].astype(np.int32).tobytes() for p in pairs], pa.binary())
+                                    for k in (0, 1))], ["doc_id", "ids", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, ids binary, counts binary")
+
+
+def fit_counted(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[Model, DataFrame | None]:
+    """What :func:`fit` learns, and the staged :func:`counted` table of all documents
+    that it counted them by; there is none where nothing can be learned."""
     spark = docs.sparkSession
     prepare(spark)
     known = (labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
@@ -258,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     size = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(size.values())
     if len(size) < 2:
-        return Model(Vectors(()), None, float(bool(size.get(1))))
+        return Model(Vectors(()), None, float(bool(size.get(1)))), None
     drawn = known.filter(F.when(F.col("toxic") == 1, share(F.col("doc_id")) < examples / size[1])
                          .otherwise(share(F.col("doc_id")) < examples / size[0]))
     # About 2 x ``examples`` rows of two numbers.
@@ -269,87 +292,89 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
         .groupBy("key", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "examples")
     got = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(got) < 2:
-        return Model(Vectors(()), None, size[1] / total)
+        return Model(Vectors(()), None, size[1] / total), None
     # All words of the examples.
-    rows = sorted(texts.select("text", "toxic").mapInArrow(_class_counts, "term string, clean long, toxic long")
-                  .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect())
-    if not rows:
-        return Model(Vectors(()), None, size[1] / total)
-    vectors = Vectors(tuple(r["term"] for r in rows))
+    words = (texts.select("text", "toxic").mapInArrow(_class_counts, "term string, clean long, toxic long")
+             .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+             .toArrow().sort_by("term"))
+    if not len(words):
+        return Model(Vectors(()), None, size[1] / total), None
+    vectors = Vectors(tuple(words.column("term").to_pylist()))
     held = spark.sparkContext.broadcast(vectors)
+    made = staged(counted(docs, held), "terms")
 
     # How many of all documents have each term: a task adds up its own.
     def having(batches):
         n, have = 0, np.zeros(len(held.value.terms), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                have[held.value.counts(text)[0]] += 1
-                n += 1
+            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32)
+            have += np.bincount(ids, minlength=len(have))
+            n += batch.num_rows
         some = np.flatnonzero(have)
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1, *some.tolist()], pa.int32()), pa.array([n, *have[some].tolist()], pa.int64())], ["term", "n"])
 
-    found = (docs.select(F.col("text").cast("string")).mapInArrow(having, "term int, n long")
-             .groupBy("term").agg(F.sum("n").alias("n")).collect())
-    df = np.zeros(len(rows) + 1)
-    for r in found:
-        df[r["term"]] = r["n"]
-    strength = np.sqrt(association(np.array([(r["clean"], r["toxic"]) for r in rows]), (got[0], got[1])))
-    strength = strength / strength.max() if strength.max() > 1e-9 else np.ones(len(rows))
+    found = (made.select("ids").mapInArrow(having, "term int, n long")
+             .groupBy("term").agg(F.sum("n").alias("n")).toArrow())
+    df = np.zeros(len(words) + 1)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    classes = np.stack([words.column(c).to_numpy() for c in ("clean", "toxic")], axis=1)
+    strength = np.sqrt(association(classes, (got[0], got[1])))
+    strength = strength / strength.max() if strength.max() > 1e-9 else np.ones(len(words))
     idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * strength
 
-    def vectorize(batches):
-        for batch in batches:
-            pairs = [held.value.counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([p[0] for p in pairs], pa.list_(pa.int32())),
-                 pa.array([p[1] for p in pairs], pa.list_(pa.int64()))], ["key", "toxic", "ids", "counts"])
-
-    made = sorted(texts.select("key", "toxic", "text").mapInArrow(
-        vectorize, "key long, toxic int, ids array<int>, counts array<long>").collect())
+    of_examples = counted(texts.select(F.col("key").alias("doc_id"), "text"), held).withColumnRenamed("doc_id", "key")
+    examples_ = of_examples.join(F.broadcast(texts.select("key", "toxic")), "key").toArrow().sort_by("key")
+    unpacked = [np.frombuffer(raw, np.int32) for raw in examples_.column("ids").to_pylist()]
+    times = [np.frombuffer(raw, np.int32) for raw in examples_.column("counts").to_pylist()]
+    told_by = list(zip(examples_.column("key").to_pylist(), examples_.column("toxic").to_pylist(), unpacked, times))
     # An example stands for so many of its class's labels.
     weight = {c: size[c] / got[c] for c in (0, 1)}
-    full = [(k, c, np.array(i), np.array(n)) for k, c, i, n in made if i]
+    full = [e for e in told_by if len(e[2])]
     # Examples of one leading term lie together, so that blocks have few terms.
     full.sort(key=lambda e: (int(e[2][np.argmax((1 + np.log(e[3])) * idf[e[2]])]), e[2].tolist(), e[0]))
     index = Index.build(idf, full)
     votes = [v for v, _ in index.votes([e[2:] for e in full], range(len(full)))]
-    empty = [c for _, c, i, _ in made if not i] + [e[1] for e, v in zip(full, votes) if v is None]
+    empty = [e[1] for e in told_by if not len(e[2])] + [e[1] for e, v in zip(full, votes) if v is None]
     toxic = sum(weight[1] for c in empty if c)
     base = toxic / max(1e-9, toxic + sum(weight[0] for c in empty if not c)) if empty else size[1] / total
     told = [(v, e[1]) for e, v in zip(full, votes) if v is not None]
     if not told:
-        return Model(vectors, None, size[1] / total)
+        return Model(vectors, None, size[1] / total), made
     x, y = (np.array(c, float) for c in zip(*told))
-    return Model(vectors, index, base, monotone(x, y, np.array([weight[int(c)] for c in y])))
+    return Model(vectors, index, base, monotone(x, y, np.array([weight[int(c)] for c in y]))), made
 
 
-def _judged(model: Model, texts):
-    """(score, evidence) of each text; texts alike in their terms share one."""
-    counted = [model.vectors.counts(text) for text in texts]
-    alike = [(ids.tobytes(), counts.tobytes()) for ids, counts in counted]
-    different = dict(zip(alike, counted))
+def _judged(model: Model, texts: list[tuple[np.ndarray, np.ndarray]]):
+    """(score, evidence) of each text (ids, counts); texts alike share one."""
+    alike = [(ids.tobytes(), counts.tobytes()) for ids, counts in texts]
+    different = dict(zip(alike, texts))
     known = {key: (score, [{"doc_id": model.index.key[i], "cosine": c} for i, c in near[:3]])
              for key, (score, near) in zip(different, model.scores(list(different.values())))}
     return [known[key] for key in alike]
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
+def scores(docs: DataFrame, model: Model, terms: DataFrame | None = None) -> DataFrame:
     """(doc_id, score, evidence) of every document; evidence has the ids and
-    cosines of the nearest examples."""
-    prepare(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    cosines of the nearest examples.  ``terms`` is the :func:`counted` table of the
+    documents, where it has been made."""
+    spark = docs.sparkSession
+    prepare(spark)
+    held = spark.sparkContext.broadcast(model)
     schema = "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>"
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     def run(batches):
         for batch in batches:
-            got = _judged(held.value, batch.column(1).to_pylist())
+            columns = ([np.frombuffer(raw, np.int32) for raw in batch.column(k).to_pylist()] for k in (1, 2))
+            got = _judged(held.value, list(zip(*columns)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], kind)],
                 ["doc_id", "score", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    if terms is None:
+        terms = counted(docs, spark.sparkContext.broadcast(model.vectors))
+    return terms.mapInArrow(run, schema)
 
 
 def score_of(text: Column, spark: SparkSession, model: Model) -> Column:
@@ -359,19 +384,26 @@ def score_of(text: Column, spark: SparkSession, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([s for s, _ in _judged(held.value, texts)], dtype=float)
+        counts = [held.value.vectors.counts(t) for t in texts]
+        return pd.Series([s for s, _ in _judged(held.value, counts)], dtype=float)
 
     return score(text.cast("string"))
 
 
+def taught(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that are not held out."""
+    return table(spark, sf_dir, "labels").filter(digit("doc_id", 5) != 0)
+
+
 def learn(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     """Learn from the labels that are not held out."""
-    return fit(docs, table(spark, sf_dir, "labels").filter(digit("doc_id", 5) != 0))
+    return fit(docs, taught(spark, sf_dir))
 
 
 @query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scores(docs, learn(spark, docs, sf_dir)).select(
+    model, terms = fit_counted(docs, taught(spark, sf_dir))
+    return scores(docs, model, terms).select(
         "doc_id", (digit("doc_id", 5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
