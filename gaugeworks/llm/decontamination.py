@@ -15,9 +15,10 @@ themselves.  Items are taken in blocks of a fixed number of sketch hashes, each
 of them broadcast and searched for in one pass, so that what is broadcast is
 bounded however many items there are.
 
-Words are runs of letters, digits and underscores, lower-cased.  A text of
-fewer than five words has its whole sequence as its one shingle; null and empty
-texts have none and are never contained.  Repeated items count once, repeated
+Words are runs of letters, digits and underscores, lower-cased.  An item of fewer
+than five words has its whole sequence as its one shingle, and is looked for among
+the document's shingles of as many words; a document of fewer words than that has
+its whole sequence.  Null and empty texts have none and are never contained.  Repeated items count once, repeated
 documents each.  Empty tables give no rows.
 """
 
@@ -60,9 +61,17 @@ _HASHES = WordTable(lambda token: b"".join(
     xxhash.xxh64_digest(w.encode())[::-1] for w in words(token)))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """A number for each word of a text, in order."""
+    return np.frombuffer(b"".join(map(_HASHES.__getitem__, (text or "").split())), dtype="<u8")
+
+
 def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     """A number for each shingle of a text, in order."""
-    each = np.frombuffer(b"".join(map(_HASHES.__getitem__, (text or "").split())), dtype="<u8")
+    return _windows(word_hashes(text), width)
+
+
+def _windows(each: np.ndarray, width: int) -> np.ndarray:
     if not len(each):
         return each
     n = max(1, len(each) - width + 1)
@@ -88,58 +97,63 @@ def _sketch_rows(containment: float):
         for batch in batches:
             out = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                distinct = np.unique(shingle_hashes(text))
+                each = word_hashes(text)
+                distinct = np.unique(_windows(each, SHINGLE_WORDS))
                 if len(distinct):
                     # The class decides: as many as its largest item would need.
                     largest = (2 << size_class(len(distinct))) - 1
                     k = min(len(distinct), sketch_size(largest, containment))
-                    out.append((item, text, len(distinct), distinct[:k].astype(np.int64)))
-            columns = zip(*out) if out else [[]] * 4
-            types = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()))
+                    width = min(len(each), SHINGLE_WORDS)
+                    out.append((item, text, width, len(distinct), distinct[:k].astype(np.int64)))
+            columns = zip(*out) if out else [[]] * 5
+            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)],
-                                             ["item_id", "text", "n", "sketch"])
+                                             ["item_id", "text", "width", "n", "sketch"])
     return run
 
 
 class Index:
-    """Sketch hashes of a block of items, in size classes."""
+    """Sketch hashes of a block of items, by width of their shingles in size classes."""
 
     def __init__(self, items):
-        self.items = [(r["item_id"], shingle_set(r["text"])) for r in items]
+        self.items = [(r["item_id"], r["width"], shingle_set(r["text"])) for r in items]
         sizes = defaultdict(list)
         for k, r in enumerate(items):
-            sizes[size_class(r["n"])] += [(h, k) for h in r["sketch"]]
-        self.classes = []
-        for c, pairs in sorted(sizes.items()):
+            sizes[r["width"], size_class(r["n"])] += [(h, k) for h in r["sketch"]]
+        self.classes = defaultdict(list)
+        for (width, c), pairs in sorted(sizes.items()):
             pairs.sort()
             hashes = np.array([h for h, _ in pairs], np.int64).view(np.uint64)
             order = np.argsort(hashes, kind="stable")
             # One look in a table of the top bits rules out nearly every shingle.
             top = np.zeros(1 << 16, bool)
             top[(hashes >> np.uint64(48)).astype(np.int64)] = True
-            self.classes.append((1 << c, hashes[order], np.array([k for _, k in pairs])[order], top))
+            self.classes[width].append((1 << c, hashes[order], np.array([k for _, k in pairs])[order], top))
 
-    def candidates(self, hashes: np.ndarray, containment: float) -> set[int]:
+    def candidates(self, words: np.ndarray, containment: float) -> set[int]:
         found: set[int] = set()
-        high = (hashes >> np.uint64(48)).astype(np.int64)
-        for least, sorted_hashes, item, top in self.classes:
-            if len(hashes) < math.ceil(containment * least - 1e-9):
-                continue
-            some = np.unique(hashes[top[high]])
-            low = np.searchsorted(sorted_hashes, some, "left")
-            up = np.searchsorted(sorted_hashes, some, "right")
-            for a, b in zip(low[up > low], up[up > low]):
-                found.update(item[a:b].tolist())
+        for width, classes in self.classes.items():
+            hashes = _windows(words, width)
+            high = (hashes >> np.uint64(48)).astype(np.int64)
+            for least, sorted_hashes, item, top in classes:
+                if len(hashes) < math.ceil(containment * least - 1e-9):
+                    continue
+                some = np.unique(hashes[top[high]])
+                low = np.searchsorted(sorted_hashes, some, "left")
+                up = np.searchsorted(sorted_hashes, some, "right")
+                for a, b in zip(low[up > low], up[up > low]):
+                    found.update(item[a:b].tolist())
         return found
 
 
 def _found(index: Index, text: str | None, containment: float):
     """(item, shingles, shingles found) of the items contained in a text."""
-    near = index.candidates(shingle_hashes(text), containment)
-    own = shingle_set(text) if near else set()
-    for k in sorted(near):
-        item, wanted = index.items[k]
-        common = len(wanted & own)
+    own: dict[int, set[str]] = {}
+    for k in sorted(index.candidates(word_hashes(text), containment)):
+        item, width, wanted = index.items[k]
+        if width not in own:
+            own[width] = shingle_set(text, width)
+        common = len(wanted & own[width])
         if common >= containment * len(wanted) - 1e-9:
             yield item, len(wanted), common
 
@@ -150,7 +164,7 @@ def indexes(items: DataFrame, containment: float = CONTAINMENT):
     spark = items.sparkSession
     prepare(spark)
     sketches = (items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
-                .mapInArrow(_sketch_rows(containment), "item_id long, text string, n int, sketch array<long>"))
+                .mapInArrow(_sketch_rows(containment), "item_id long, text string, width int, n int, sketch array<long>"))
     total = sketches.agg(F.sum(F.size("sketch"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_HASHES))
     for b in range(blocks):
@@ -199,15 +213,16 @@ WITH words AS (
   UNION ALL
   SELECT 'i', item_id, row_number() OVER (),
          regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') FROM benchmark),
+widths AS (
+  SELECT DISTINCT least(len(w), {SHINGLE_WORDS}) AS k FROM words WHERE side = 'i' AND len(w) > 0),
 shingles AS (
-  SELECT side, id, line, unnest(list_distinct(list_transform(
-    range(1, greatest(1, len(w) - {SHINGLE_WORDS - 1}) + 1),
-    lambda i: array_to_string(w[i:i + {SHINGLE_WORDS - 1}], ' ')))) AS s
-  FROM words WHERE len(w) > 0),
-items AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE side = 'i')
+  SELECT side, id, line, k, unnest(list_distinct(list_transform(
+    range(1, greatest(1, len(w) - k + 1) + 1), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS s
+  FROM words JOIN widths ON side = 'd' OR k = least(len(w), {SHINGLE_WORDS}) WHERE len(w) > 0),
+items AS (SELECT id, k, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE side = 'i')
 SELECT d.id AS doc_id, i.id AS item_id, cast(any_value(i.n) AS INTEGER) AS item_shingles,
        cast(count(*) AS INTEGER) AS found
-FROM shingles d JOIN items i ON d.s = i.s AND d.side = 'd'
+FROM shingles d JOIN items i ON d.s = i.s AND d.k = i.k AND d.side = 'd'
 GROUP BY d.id, d.line, i.id HAVING count(*) >= {CONTAINMENT} * any_value(i.n) - 1e-9
 """)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

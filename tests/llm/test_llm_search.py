@@ -42,9 +42,9 @@ def test_topk_of_nothing(spark):
 def plain_contained(docs, items, least=0.8):
     out = []
     for doc, text, *_ in docs:
-        own = decontamination.shingle_set(text)
         for item, wanted in {(i, t) for i, t in items}:
             want = decontamination.shingle_set(wanted)
+            own = decontamination.shingle_set(text, min(5, len(decontamination.words(wanted))) or 5)
             if want and len(want & own) >= least * len(want) - 1e-9:
                 out.append((doc, item, len(want), len(want & own)))
     return out
@@ -64,11 +64,13 @@ def test_contained_items(spark, awkward, block, monkeypatch):
              (7, " ".join(long[900:939]) + " " + words(5, 8, 10**6)),
              (8, " ".join(long[900:930]) + " " + words(6, 12, 10**6))]
     items += [(100 + i, " ".join(long[i * 9:i * 9 + 5 + i])) for i in range(60)]
+    # Fewer words than a shingle has, within long texts.
+    items += [(200 + n, " ".join(long[3000:3000 + n])) for n in range(1, 5)] + [(210, "No ID"), (211, "here all")]
     frame = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.contained(awkward, frame).collect()
     expected = plain_contained(awkward_rows(), items)
     assert order(map(tuple, got)) == order(expected)
-    assert {7} <= {r[1] for r in expected} and 8 not in {r[1] for r in expected}
+    assert {7, 201, 202, 203, 204, 210} <= {r[1] for r in expected} and not {8, 211} & {r[1] for r in expected}
     left = decontamination.without_items(awkward, frame)
     hit = {(r[0]) for r in expected}
     assert left.columns == awkward.columns
@@ -158,3 +160,55 @@ def test_licenses_with_words_put_in_or_left_out():
         got = [m for m in held.matches(text) if m[0] == name]
         assert len(got) == 1 and got[0][1] >= 0.8 * got[0][2], (name, text)
     assert not [m for m in held.matches(grant.replace("any person", "any " + words(1, 30) + " person"))]
+
+
+def plain_alignment(template, text, gain=1):
+    """(score, matched) of the best local alignment, cell by cell."""
+    best, above = (0, 0), [(0, 0)] * (len(text) + 1)
+    for a in template:
+        row = [(0, 0)]
+        for j, b in enumerate(text, 1):
+            across = (above[j - 1][0] + gain, above[j - 1][1] + 1) if a == b else (above[j - 1][0] - 1, above[j - 1][1])
+            row.append(max(across, (above[j][0] - 1, above[j][1]), (row[-1][0] - 1, row[-1][1]), (0, 0)))
+        best, above = max(best, *row), row
+    return best
+
+
+def damaged(text, errors, rng):
+    """``text`` with so many letters changed, put in or left out."""
+    letters = list(text)
+    for _ in range(errors):
+        at = rng.randrange(len(letters))
+        letters[at] = rng.choice(("", rng.choice("qxz"), letters[at] + rng.choice("qxz")))
+    return "".join(letters)
+
+
+def test_wide_band_is_a_full_alignment():
+    rng = random.Random(5)
+    template = licenses.normal(licenses.TEMPLATES["MIT"] + licenses.TEMPLATES["CC-BY-NC-4.0"])[0]
+    for errors in range(0, 30, 3):
+        text = licenses.normal(words(1, 4) + damaged("".join(map(chr, template)), errors, rng) + words(2, 3))[0]
+        for gain in (1, 2, 4):
+            got = licenses.align(template, text, 0, band=len(text) + len(template), gain=gain)
+            score, _ = plain_alignment(template.tolist(), text.tolist(), gain)
+            assert got.score + (gain - 1) * got.matched == score
+
+
+def test_licenses_recall():
+    """Found in place by candidates and bands, of what a full alignment accepts."""
+    rng, held = random.Random(6), licenses.Templates(licenses.TEMPLATES)
+    should, found = {}, {}
+    for name in ("MIT-grant", "Apache-2.0-header", "BSD-redistribution", "GPL-3.0"):
+        template = held.texts[held.names.index(name)]
+        plain = "".join(map(chr, template))
+        for case in range(60):
+            rate = (0.02, 0.05, 0.1, 0.15, 0.2)[case % 5]
+            text = words(case, 5) + " " + damaged(plain, round(rate * len(plain)), rng) + " " + words(case + 1, 5)
+            raw, size = licenses.normal(text)[0], len(template)
+            whole = [licenses.align(template, raw, 0, len(raw) + size, gain) for gain in (1, 2, 4)]
+            if any(a and a.matched >= 0.8 * size - 1e-9 and a.score >= 0.6 * size - 1e-9 for a in whole):
+                should[rate] = should.get(rate, 0) + 1
+                found[rate] = found.get(rate, 0) + any(m[0] == name for m in held.matches(text))
+    assert all(found[r] == should[r] for r in (0.02, 0.05, 0.1)), (should, found)
+    assert sum(found.values()) >= 0.9 * sum(should.values()) and should[0.15] >= 10, (should, found)
+    print(should, found)
