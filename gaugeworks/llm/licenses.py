@@ -9,9 +9,13 @@ diagonals are one candidate, and a banded local alignment around it reports how
 much of the template the document has and from where to where.  The band holds
 as many letters put in or left out as the coverage leaves.
 
-A match needs ``COVERAGE`` of the template, and no more errors than that leaves.  All matches are returned, a
-template that occurs twice gives two; of overlapping matches of one template
-the best stays.  Null and empty texts match nothing, repeated rows repeat their
+A match needs ``COVERAGE`` of the template, and no more errors than that leaves.  All
+matches that share a fingerprint with the template are returned; one whose errors
+lie so evenly that no stretch of ``GRAM + WINDOW - 1`` letters is whole may share
+none, and is lost.  Of texts with random errors that a full alignment accepts, a test
+measures how many are found: all up to one error in ten letters, 0.9 or more at
+any rate that may match.  A template that occurs twice gives two matches; of
+overlapping matches of one template the best stays.  Null and empty texts match nothing, repeated rows repeat their
 matches, and an empty table of documents or templates gives none.  Templates
 shorter than a k-gram are looked for as they are, whole.
 """
