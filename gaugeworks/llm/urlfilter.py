@@ -3,8 +3,9 @@
 A rule has a host and a path.  It fits its host and all subdomains of it when
 the url's path begins with the rule's; the longest fitting rule decides.  Other
 urls are judged by logistic regression on hashed character n-grams of host and
-path, trained on a small table of labelled urls: a bounded draw from those that
-rules decide.
+path, trained on a small table of labelled urls: a bounded draw of each verdict
+from those that rules decide, so that a rare verdict is not missed; a drawn url
+weighs as many as it stands for.
 
 A url that is null or has no ``://`` has an empty host and path, which no rule
 with a host fits.  Of two rules of one length the one listed first decides.
@@ -81,6 +82,20 @@ def _with_features(urls: DataFrame, buckets: int) -> DataFrame:
     return HashingTF(numFeatures=buckets, binary=True, inputCol="grams", outputCol="features").transform(grams)
 
 
+def learned_scores(urls: DataFrame, told: DataFrame, labelled: int = LABELLED, buckets: int = BUCKETS) -> DataFrame:
+    """``urls`` (host, path) with a ``blocked_score`` learned from those of ``told``
+    (page_id, host, path, told), of which about ``labelled`` are drawn."""
+    classes = {r["told"]: r["n"] for r in told.groupBy("told").agg(F.count("*").alias("n")).collect()}
+    if len(classes) < 2:
+        return urls.withColumn("blocked_score", F.lit(float(set(classes) == {"block"})))
+    chance = {verdict: min(1.0, labelled / 2 / n) for verdict, n in classes.items()}
+    chance = F.when(F.col("told") == "block", chance["block"]).otherwise(chance["allow"])
+    drawn = told.filter(share(F.concat_ws(" ", "page_id", "host", "path")) < chance).select(
+        "host", "path", (F.col("told") == "block").cast("double").alias("label"), (1 / chance).alias("stands_for"))
+    model = LogisticRegression(maxIter=25, regParam=0.01, weightCol="stands_for").fit(_with_features(drawn, buckets))
+    return model.transform(_with_features(urls, buckets)).withColumn("blocked_score", vector_to_array("probability")[1])
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: int = LABELLED,
           buckets: int = BUCKETS) -> DataFrame:
     """(page_id, host, path, rule, verdict, blocked_score) of every page (page_id, url)."""
@@ -93,18 +108,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: int = LAB
     at = F.col("nth") + 1
     judged = ruled.withColumn("rule", F.try_element_at(texts, at)).withColumn("told", F.try_element_at(verdicts, at))
 
-    count = judged.filter("told IS NOT NULL").count()
-    table_ = (judged.filter("told IS NOT NULL")
-              .filter(share(F.concat_ws(" ", "page_id", "host", "path")) < labelled / max(count, 1))
-              .select("host", "path", (F.col("told") == "block").cast("double").alias("label")))
-    classes = {r["label"]: r["n"] for r in table_.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(classes) < 2:
-        only = "block" if set(classes) == {1.0} else "allow"
-        scored = judged.withColumn("blocked_score", F.lit(float(only == "block")))
-    else:
-        model = LogisticRegression(maxIter=25, regParam=0.01).fit(_with_features(table_, buckets))
-        scored = model.transform(_with_features(judged, buckets)).withColumn(
-            "blocked_score", vector_to_array("probability")[1])
+    scored = learned_scores(judged, judged.filter("told IS NOT NULL"), labelled, buckets)
     learned = F.when(F.col("blocked_score") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("told", learned).alias("verdict"),
                          "blocked_score")
