@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gaugeworks.functions.texts import RETRYABLE_TEXTS
 from gaugeworks.schemas import DAILY_MEASURES, HOURLY_MEASURES
 from gaugeworks.session import scratch
+from gaugeworks.sources import responses
 
 _SHIPPED = "cast(l_shipdate AS string)"
 _TS = "cast(ts AS string)"
@@ -298,8 +299,17 @@ def build_hourly_landed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-daily_landed = _land("daily", build_daily_landed)
-hourly_landed = _land("hourly", build_hourly_landed)
+def _parsed(build):
+    """Bodies are parsed when they land, and scanned as variants."""
+    def built(spark: SparkSession, sf: str) -> DataFrame:
+        return responses.parsed(build(spark, sf))
+
+    built.__doc__ = build.__doc__
+    return built
+
+
+daily_landed = _land("daily", _parsed(build_daily_landed))
+hourly_landed = _land("hourly", _parsed(build_hourly_landed))
 
 
 def station_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -72,14 +72,19 @@ STRICT_RECORD = "STRUCT<Date: STRING, " + _fields(DAILY_MEASURES, _MINIMAL) + ">
 CORRUPT = "_corrupt"
 
 
-def response_schema(record: str) -> str:
-    """DDL of a response body whose providers hold ``record`` elements."""
+def data_schema(record: str) -> str:
+    """DDL of a response's data, whose providers hold ``record`` elements."""
     return (
-        "Data STRUCT<Providers: ARRAY<STRUCT<Name: STRING, Type: STRING, "
-        f"Owner: STRING, Records: ARRAY<{record}>>>>, {CORRUPT} STRING"
+        "STRUCT<Providers: ARRAY<STRUCT<Name: STRING, Type: STRING, "
+        f"Owner: STRING, Records: ARRAY<{record}>>>>"
     )
 
 
+def response_schema(record: str) -> str:
+    """DDL of a response body."""
+    return f"Data {data_schema(record)}, {CORRUPT} STRING"
+
+
 STATION = (
     "STRUCT<StationNbr: STRING, Name: STRING, City: STRING, RegionalOffice: STRING, "
     "County: STRING, ConnectDate: STRING, DisconnectDate: STRING, IsActive: STRING, "

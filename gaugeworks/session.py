@@ -21,6 +21,7 @@ def build_session(master: str | None = None, app: str = "gaugeworks", **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.sql.variant.pushVariantIntoScan": "true",
         **conf,
     }
     for key, value in settings.items():

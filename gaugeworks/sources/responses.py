@@ -4,6 +4,10 @@ A landed row is one response, or one page of it: the request it answers, its
 landing order, the requested station, an error text for a failed request, and
 the body.  Every scan is row-local up to the flattened records, so one station
 with most of the responses needs no shuffle.
+
+Bodies that are scanned more than once are parsed once, by :func:`parsed`, and kept
+as variants: the scan of the file itself then extracts the fields that are named,
+without a JSON parser.  All scans take landed rows of either form.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gaugeworks.functions import measures
 from gaugeworks.schemas import (
     CORRUPT, DAILY_IDENTITY, DAILY_MEASURES, HOURLY_IDENTITY, HOURLY_MEASURES, LANDED,
-    STRICT_RECORD, record_schema, response_schema,
+    STRICT_RECORD, data_schema, record_schema, response_schema,
 )
 
 SPATIAL_ZIP_MEASURES = ("DayAsceEto", "DaySolRadAvg", "DayWindSpdAvg")
@@ -45,12 +49,40 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parsed(landed: DataFrame) -> DataFrame:
+    """Landed rows with the body as ``variant``, and what every scan asks of a body as a
+    whole: whether there is a text, whether it is malformed, whether there are data at
+    all, and whether it holds a value without quotes where text belongs, or one that is
+    no strict number."""
+    rows = landed.withColumn("variant", F.explode(F.array(F.try_parse_json("body"))))
+    is_object = F.try_variant_get("variant", "$", "map<string, variant>")
+    data = F.try_variant_get("variant", "$.Data", "variant")
+    strict = F.try_variant_get("variant", "$.Data", data_schema(STRICT_RECORD))
+    return rows.select(
+        *(c for c in landed.columns if c != "body"), "variant",
+        F.col("body").isNull().alias("no_body"),
+        (is_object.isNull() & F.coalesce(F.trim("body") != "", F.lit(False))).alias("malformed"),
+        (data.isNotNull() & ~F.coalesce(F.is_variant_null(data), F.lit(True))).alias("has_data"),
+        F.coalesce(F.col("body").rlike(_UNQUOTED), F.lit(False)).alias("unquoted"),
+        F.coalesce(_has_bad_value(strict["Providers"]), F.lit(False)).alias("bad_value"),
+    )
+
+
+def _is_parsed(landed: DataFrame) -> bool:
+    return "variant" in landed.columns
+
+
 def parse(landed: DataFrame, record: str) -> DataFrame:
     """Add the parsed body as ``_response``, whose ``_corrupt`` tells a malformed one.
 
     The one-element generator makes later steps share a single parse; the
-    optimizer would otherwise copy the parser into each filter and column.
+    optimizer would otherwise copy the parser into each filter and column.  Fields of
+    a variant are extracted by the scan, once.
     """
+    if _is_parsed(landed):
+        data = F.try_variant_get("variant", "$.Data", data_schema(record))
+        corrupt = F.when(F.col("malformed") | (F.col("has_data") & data.isNull()), F.lit("malformed"))
+        return landed.withColumn("_response", F.struct(data.alias("Data"), corrupt.alias(CORRUPT)))
     options = {"columnNameOfCorruptRecord": CORRUPT}
     response = F.from_json("body", response_schema(record), options)
     return landed.withColumn("_response", F.explode(F.array(response)))
@@ -131,11 +163,12 @@ def _has_bad_value(providers: Column) -> Column:
     return F.exists(providers, lambda p: F.exists(F.coalesce(p["Records"], none), bad))
 
 
-def _undelivered() -> Column:
+def _undelivered(landed: DataFrame) -> Column:
     """Why a parsed response holds no records that any scan could read."""
+    bodiless = F.col("no_body") if _is_parsed(landed) else F.col("body").isNull()
     return (
         F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("body").isNull(), "no body")
+        .when(bodiless, "no body")
         .when(F.col(f"_response.{CORRUPT}").isNotNull(), "malformed body")
         .when(F.col("_response.Data.Providers").isNull(), "no providers")
     )
@@ -147,7 +180,7 @@ def scan_rejects(
     """Responses the scans get nothing from, with the reason; takes their arguments."""
     return (
         parse(landed, record_schema(identity, measures))
-        .withColumn("reject", F.explode(F.array(_undelivered())))
+        .withColumn("reject", F.explode(F.array(_undelivered(landed))))
         .where(F.col("reject").isNotNull())
         .select("request_id", "station_id", "reject")
     )
@@ -155,10 +188,15 @@ def scan_rejects(
 
 def with_reject(landed: DataFrame) -> DataFrame:
     """Parse strictly and name why a whole response is refused, null if it is fine."""
+    if _is_parsed(landed):
+        unquoted, bad_value = F.col("unquoted"), F.col("bad_value")
+    else:
+        unquoted = F.col("body").rlike(_UNQUOTED)
+        bad_value = _has_bad_value(F.col("_response.Data.Providers"))
     reason = (
-        _undelivered()
-        .when(F.col("body").rlike(_UNQUOTED), "value is not quoted")
-        .when(_has_bad_value(F.col("_response.Data.Providers")), "value is not a number")
+        _undelivered(landed)
+        .when(unquoted, "value is not quoted")
+        .when(bad_value, "value is not a number")
     )
     return parse(landed, STRICT_RECORD).withColumn("reject", F.explode(F.array(reason)))
 

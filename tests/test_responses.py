@@ -203,3 +203,41 @@ def test_validity_edges(spark, kind, last):
     frame = spark.createDataFrame(rows, "station_id int, ts int, temperature int, humidity int")
     assert sorted(tuple(r) for r in quality.valid(frame, kind).collect()) == [(1, 1, 600, 0), (1, last, -500, 100)]
     assert quality.invalid(frame, kind).count() == 5
+
+
+def odd_bodies():
+    """Bodies that scans refuse or read in part, one for each way."""
+    good = body([day("2024-06-15"), day("2024-06-16", temp="7")])
+    twice = json.loads(good)
+    twice["Data"]["Providers"] = twice["Data"]["Providers"] * 2
+    unquoted = good.replace('"Value": "7"', '"Value": 7').replace('"Value":"7"', '"Value":7')
+    assert unquoted != good
+    return [good, json.dumps(twice), None, "", "{", "[]", "{}", '{"Data": {}}', '{"Data": null}',
+            '{"Data": {"Providers": []}}', '{"Data": {"Providers": null}}', '{"Data": {"Providers": [{"Name": "x"}]}}',
+            '{"Data": {"Providers": [{"Records": null}]}}', '{"Data": {"Providers": [{"Records": []}]}}',
+            unquoted, body([day("2024-06-15", temp="x7")]), body([day("2024-06-15", temp=" 7")]), good[:-3]]
+
+
+def test_parsed_bodies_scan_like_texts(spark):
+    rows = [(f"r{i}", i, i % 3, None, text) for i, text in enumerate(odd_bodies())]
+    rows.append(("failed", 99, 5, "status 502", None))
+    texts = spark.createDataFrame(rows, "request_id string, landed_seq bigint, station_id int, error string, body string")
+    variants = R.parsed(texts)
+    assert "body" not in variants.columns
+    plain = lambda frame: sorted((str(r.asDict(recursive=True)) for r in frame.collect()))
+    for scan in (lambda f: R.scan_daily(f, "request_id"), lambda f: R.scan_daily_strict(f, "request_id"),
+                 lambda f: R.strict_records(f, "request_id", "landed_seq"), R.strict_rejects, R.scan_rejects):
+        one, other = scan(texts), scan(variants)
+        assert one.schema.simpleString() == other.schema.simpleString()
+        assert plain(one) == plain(other)
+
+
+def test_variants_are_extracted_by_the_scan(spark, tmp_path):
+    texts = spark.createDataFrame([("a", 1, 2, None, body([day("2024-06-15")]))],
+                                  "request_id string, landed_seq bigint, station_id int, error string, body string")
+    R.parsed(texts).write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    for frame in (R.scan_daily(stored), R.scan_daily_strict(stored)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "from_json" not in plan and "parse_json" not in plan and "try_variant_get" not in plan
+        assert frame.count() == 1
