@@ -1,0 +1,204 @@
+"""Every registered query of the subpackage over a folder of small awkward tables:
+its contract's columns and rules, each against plain Python."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from tests_llm_rows import awkward_rows, words
+from test_llm_learned import conversations, plain_rule, prose, sha
+from test_llm_packing import WHOLE, check_layout
+from test_llm_search import order, plain_contained, plain_lines, plain_topk
+from test_llm_simhash import plain as fingerprint, roots
+
+from gaugeworks.llm import language, licenses, topk
+from gaugeworks.llm.queries import ORACLES, QUERIES
+
+
+def test_all_are_registered():
+    names = sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
+    assert set(ORACLES) <= set(QUERIES)
+
+
+def test_op1(spark, folder):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 3, "v", "v") for i in range(250)]
+    rows += [(300, None, 1, "v", "v"), (400, [1.0, None] * 4, 1, "v", "v"), (500, [math.nan] * 8, None, "v", "v")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rank string, parts string")
+    got = QUERIES["op1_topk"](spark, folder(embeddings=frame))
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][:4] == [
+        ("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
+    as_floats = [(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v, *_ in rows]
+    assert {tuple(r) for r in got.collect()} == plain_topk(as_floats, 10)
+
+
+def test_bounds_skip_blocks(monkeypatch):
+    """Where norms differ, most blocks' bounds fall below the k-th score."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-50, 50, (64 * 40, 6)) * np.repeat(np.arange(1, 41), 64)[:, None]
+    held = [(np.arange(b * 64, b * 64 + 64), x[b * 64:b * 64 + 64]) for b in range(40)]
+    queries = rng.integers(-90, 90, (30, 6))
+    scored, plain = [], topk._products
+    monkeypatch.setattr(topk, "_products", lambda q, block: scored.append(len(q) * len(block)) or plain(q, block))
+    who, found, score = topk._nearest(np.full(30, -1) - np.arange(30), queries, held, 10)
+    for j, q in enumerate(queries):
+        expected = sorted((-s, i) for i, s in enumerate((x @ q).tolist()))[:10]
+        mine = who == -1 - j
+        assert sorted(zip((-score[mine]).tolist(), found[mine].tolist())) == expected
+    assert sum(scored) < 0.6 * len(queries) * len(x)
+    # A k-th score that another share gave leaves the blocks that may reach it.
+    before = sum(scored)
+    scored.clear()
+    floor = np.sort(x[-64 * 8:] @ queries.T, axis=0)[-10]
+    again = topk._nearest(np.full(30, -1) - np.arange(30), queries, held[:32], 10, floor)
+    assert sum(scored) < before and all(s >= floor[-1 - q] for q, s in zip(again[0], again[2]))
+
+
+def test_op2(spark, folder):
+    urls = [None, "", "x://org/a", "x://a.org/es/", "x://example.org/en/17", "X://Q.COM/de/?a", "x://b.net/fr/"] * 4
+    pages = spark.createDataFrame([(i, u, "<p>", "v") for i, u in enumerate(urls)],
+                                  "page_id long, url string, html string, verdict string")
+    got = QUERIES["op2_urlfilter"](spark, folder(pages=pages)).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(len(urls)))
+    for r in got:
+        host, path, rule = plain_rule(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule.text if rule else None)
+        assert r["verdict"] == rule.verdict if rule else r["verdict"] in ("allow", "block")
+
+
+def test_op3(spark, folder, awkward):
+    rows = QUERIES["op3_pack"](spark, folder(documents=awkward)).collect()
+    check_layout(rows)
+    total = Counter()
+    for doc, text, *_ in awkward_rows():
+        total[doc] += len(WHOLE.encode(text or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in rows:
+        got[r["doc_id"]] += r["length"]
+    assert got == total
+
+
+def test_op5(spark, folder, awkward):
+    long = awkward_rows()[4][1].split()
+    items = [(1, " ".join(long[40:70])), (2, "one"), (3, None), (4, " ".join(long[5000:5003])), (5, words(3, 20, 10**6))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = QUERIES["op5_decontamination"](spark, folder(documents=awkward, benchmark=benchmark)).collect()
+    expected = plain_contained(awkward_rows(), items)
+    assert order(map(tuple, got)) == order(expected) and {1, 2, 4} == {r[1] for r in expected}
+
+
+def plain_language(model, text):
+    """The prediction of one text from its features, machine by machine."""
+    vector = language.features(text)
+    if vector is None:
+        return "und", 0.0
+    margin = {m: float(vector.astype(float) @ w[:-1] + w[-1]) for m, w in zip(model.machines, model.weights)}
+
+    def choose(names, within):
+        if len(names) == 1:
+            return names[0], 1.0
+        points = {n: [0, 0.0, 1.0] for n in names}
+        for a in names:
+            for b in names:
+                if a < b:
+                    m = margin[a, b, within]
+                    for name, side in ((a, m), (b, -m)):
+                        points[name][0] += side > 0 or (m == 0 and name == a)
+                        points[name][1] += side
+                        points[name][2] = min(points[name][2], 1 / (1 + math.exp(-3 * side)))
+        best = min(names, key=lambda n: (-points[n][0], -points[n][1], n))
+        return best, points[best][2]
+
+    group, sure = choose(sorted({language.family(x) for x in model.languages}), None)
+    lang, surer = choose([x for x in model.languages if language.family(x) == group], group)
+    return lang, sure * surer
+
+
+def plain_features(text):
+    """Byte trigrams with dictionaries."""
+    if not text or not any(c.isalpha() for c in text):
+        return None
+    raw = (" " + text.lower() + " ").encode()
+    blanked = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in raw)
+    line = re.sub(rb" +", b" ", blanked)
+    counts = Counter(line[i:i + 3] for i in range(len(line) - 2))
+    out = np.zeros(language.BUCKETS)
+    for gram, n in counts.items():
+        h = 0
+        for b, factor in zip(gram, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+            h ^= b * factor % 2**32
+        out[(h ^ h >> 15) % language.BUCKETS] += n
+    return np.sqrt(out) / math.sqrt(out.sum())
+
+
+def test_op6(spark, folder, awkward):
+    rows = [(i, prose(lang, i), lang) for i, lang in enumerate(["en", "fr", "de", "es"] * 30)]
+    docs = spark.createDataFrame([(1000 + i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    every = docs.unionByName(awkward.select("doc_id", "text", "lang"))
+    got = QUERIES["op6_language"](spark, folder(documents=every)).collect()
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
+    assert len(got) == every.count() and all(r["held_out"] == out(r["doc_id"]) for r in got)
+    kept = [(r["doc_id"], r["text"], r["lang"]) for r in every.collect() if not out(r["doc_id"])]
+    model = language.fit(spark.createDataFrame(kept, "doc_id long, text string, lang string"))
+    expected = {}
+    for r in every.collect():
+        expected.setdefault(r["doc_id"], set()).add(plain_language(model, r["text"]))
+    for r in got:
+        assert any(r["lang_pred"] == lang and abs(r["score"] - s) < 1e-4 for lang, s in expected[r["doc_id"]])
+    truth = {1000 + i: lang for i, _, lang in rows}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert held and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
+
+
+@pytest.mark.parametrize("text", ["Ab  c-d 1é", "x", " ", "ÀÉÎ öü", words(4, 300)])
+def test_language_features(text):
+    mine, plain = language.features(text), plain_features(text)
+    assert (mine is None) == (plain is None) and (plain is None or np.allclose(mine, plain, atol=1e-5))
+
+
+def test_op7(spark, folder):
+    rows = conversations()
+    turns = spark.createDataFrame([(*r, "v", "v") for r in rows],
+                                  "conv_id long, turn long, role string, text string, piece string, window string")
+    got = {r["conv_id"]: r for r in QUERIES["op7_chat"](spark, folder(conversations=turns)).collect()}
+    said = "\\### Assistant: </turn> ok"
+    rows = rows + [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    assert set(got) == {r[0] for r in rows}
+    for conv, r in got.items():
+        own = sorted(((t is not None, t or 0, role or "", x or "") for c, t, role, x in rows if c == conv))
+        loss = "".join(x for *_, role, x in own if role == "assistant")
+        assert (r["n_turns"], r["turns_sha256"]) == (len(own), sha("".join(f"{a}\n{x}\n" for *_, a, x in own)))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss)) and r["formatted_chars"] > len(loss)
+
+
+def test_op8(spark, folder, awkward):
+    notice = licenses.TEMPLATES["MIT"]
+    docs = awkward.select("doc_id", "text", "n").union(spark.createDataFrame(
+        [(900, f"{words(1, 40)} {notice} {words(2, 40)} {notice}", "v")], "doc_id long, text string, n string"))
+    got = QUERIES["op8_licenses"](spark, folder(documents=docs)).collect()
+    assert [(r["doc_id"], r["license"]) for r in got] == [(900, "MIT")] * 2 and all(r["coverage"] == 1 for r in got)
+
+
+def test_op9(spark, folder, awkward):
+    got = QUERIES["op9_simhash"](spark, folder(documents=awkward)).collect()
+    texts = awkward_rows()
+    fps = [fingerprint(t) for _, t, *_ in texts]
+    groups = roots(fps, lambda a, b: (a ^ b).bit_count() <= 3)
+    least = {}
+    for (doc, *_), g in zip(texts, groups):
+        if doc is not None:
+            least[g] = min(doc, least.get(g, doc))
+    assert order(map(tuple, got)) == order((doc, f"{fps[i]:016x}", least.get(groups[i])) for i, (doc, *_) in enumerate(texts))
+
+
+def test_op10(spark, folder, awkward):
+    rows = awkward_rows() + [(700 + i, f"own {i}\nthe same line\n", "en", f"site{i}") for i in range(8)]
+    docs = spark.createDataFrame([(*r, "v", "v") for r in rows],
+                                 "doc_id long, text string, lang string, source string, line string, lost string")
+    got = QUERIES["op10_line_dedup"](spark, folder(documents=docs)).collect()
+    assert order(map(tuple, got)) == order(plain_lines(rows, 6))
