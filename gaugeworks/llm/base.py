@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gaugeworks.session import scratch
+from gaugeworks.session import discard, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        discard(df.sparkSession, folder)
+
+
 def share(key: Column) -> Column:
     """A number from 0 to 1 that is a fixed function of ``key``."""
     return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gaugeworks.llm.base import WordTable, digit, prepare, query, share, staged, table
+from gaugeworks.llm.base import WordTable, digit, prepare, query, release, share, staged, table
 
 #: Labelled examples drawn of each class (their expected number), the neighbours
 #: that vote, and the examples of a block.
@@ -254,7 +254,10 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """Learn from ``labels`` (doc_id, toxic).  What reaches the driver is bounded:
     about ``examples`` documents a class, as their words and vectors."""
-    return fit_counted(docs, labels, examples)[0]
+    model, terms = fit_counted(docs, labels, examples)
+    if terms is not None:
+        release(terms)
+    return model
 
 
 def counted(docs: DataFrame, vectors) -> DataFrame:

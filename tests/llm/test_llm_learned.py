@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tests_llm_rows import awkward_rows, words
 
@@ -324,3 +325,13 @@ def test_escapes():
 
 def test_awkward_texts_are_the_same_rows():
     assert len(awkward_rows()) == 51
+
+
+def test_learning_leaves_no_staged_counts(spark, monkeypatch):
+    made, plain = [], toxicity.staged
+    monkeypatch.setattr(toxicity, "staged", lambda df, name: made.append((name, plain(df, name))) or made[-1][1])
+    _, docs, labels = toxic_table(spark, 60)
+    toxicity.fit(docs, labels)
+    (terms,) = [df for name, df in made if name == "terms"]
+    with pytest.raises(Exception):
+        terms.count()
