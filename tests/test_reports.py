@@ -5,7 +5,8 @@ import json
 import pytest
 
 from gaugeworks.operators import reports, stats
-from gaugeworks.plans import ORACLES, QUERIES
+from gaugeworks.plans import ORACLES, QUERIES, adapters
+from gaugeworks.sources import responses
 
 LOG = (
     "ordinal int, station_id int, year int, success boolean, records int, attempts int, "
@@ -70,8 +71,13 @@ def test_no_python_in_plans(spark, name):
 
 
 def test_a_body_is_parsed_once(spark):
-    plan = QUERIES["scan_daily"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("from_json(") == 1
+    plan_of = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    sf = "/root/testdata/sf0.001"
+    # Scans over texts parse each once; registered scans read bodies parsed when they landed.
+    texts = responses.scan_daily(adapters.build_daily_landed(spark, sf).repartition(2))
+    assert plan_of(texts).count("from_json(") == 1
+    registered = plan_of(QUERIES["scan_daily"](spark, sf))
+    assert "from_json" not in registered and "parse_json" not in registered
 
 
 def test_entry(spark):
