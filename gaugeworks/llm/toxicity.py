@@ -37,6 +37,9 @@ from gaugeworks.llm.base import WordTable, digit, prepare, query, release, share
 #: that vote, and the examples of a block.
 EXAMPLES, NEIGHBOURS, BLOCK = 2000, 15, 64
 
+#: Tokens whose word a worker remembers; it may hold two such tables.
+KNOWN_TOKENS = 80_000
+
 #: Share of the examples from which on a term is common, and texts that are looked
 #: up together.
 COMMON, TEXTS = 1 / 16, 64
@@ -84,7 +87,7 @@ class Vectors:
     def __init__(self, terms: tuple[str, ...]):
         self.terms = terms
         self.place = {t: i for i, t in enumerate(terms)}
-        self.table = WordTable(self._id)
+        self.table = WordTable(self._id, KNOWN_TOKENS)
 
     def __reduce__(self):
         return Vectors, (self.terms,)
