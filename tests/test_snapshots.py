@@ -86,6 +86,26 @@ def test_ingests_without_rows_are_published(spark, root):
         store.write_all(many, root, "daily", F.lit("again"))
 
 
+def test_many_ingests_have_a_folder_a_year(spark, root):
+    """Files follow ingests and years, not station groups, and lie beside compacted ones."""
+    rows = [r for g in range(6) for i in range(4) for y in (2023, 2024) for r in days(256 * g + i, y, g)]
+    many = obs(spark, rows)
+    store.write_all(many, root, "daily", F.concat(F.lit("run-"), (F.col("station_id") % 2).cast("string")))
+    snapshots.publish(spark, root, "daily", "run-0", "run-1")
+    folders = store.listed(spark, f"{root}/data_type=daily/ingest_id=*/year=*")
+    assert len(folders) == 4 and len(store.listed(spark, f"{root}/data_type=daily/*/*/*.parquet")) == 4
+    live = snapshots.files(spark, root, "daily")
+    assert {(r["station_group"], r["min_station"], r["max_station"], r["row_count"]) for r in live.where(
+        "ingest_id = 'run-0'").collect()} == {(g, 256 * g, 256 * g + 2, 10) for g in range(6)}
+    assert store.read_obs(spark, root, "daily").where("station_group <> floor(station_id / 256)").isEmpty()
+    assert snapshots.compact(spark, root, "daily", 2024)
+    assert rows_of(snapshots.read_obs(spark, root, "daily")) == rows_of(many)
+    one = snapshots.read_obs(spark, root, "daily", 514, "2023-01-01", "2025-01-01").where("station_id = 514")
+    assert one.count() == 10
+    checked = integrity.verify_files(spark, root, "daily").collect()
+    assert all(r["ok"] for r in checked) and sum(r["rows_read"] for r in checked) == len(rows)
+
+
 def test_time_bounds_choose_files_within_a_year(spark, root):
     put(spark, root, "spring", days(2, 2024))
     put(spark, root, "autumn", [(2, "2024-10-01", 7)])
