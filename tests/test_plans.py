@@ -34,3 +34,13 @@ def test_ingested_pages_leave_no_landing(spark, tmp_path):
     before = set(store.listed(spark, f"{shared_dir(spark)}/landing-*"))
     assert [r["row_count"] for r in QUERIES["stream_ingest"](spark, str(tmp_path)).collect()] == [2]
     assert set(store.listed(spark, f"{shared_dir(spark)}/landing-*")) <= before
+
+
+def test_texts_are_computed_from_the_table_as_far_as_a_query_reads_them(spark, tmp_path):
+    """A query of one text reads the columns that text is made of, and no copy of all texts."""
+    spark.createDataFrame([line(6, 50), line(7, 110)], LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = QUERIES["measure_value"](spark, str(tmp_path))
+    assert all("lineitem.parquet" in path for path in rows.inputFiles())
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "l_quantity" in plan and "l_shipdate" not in plan and "l_discount" not in plan
+    assert [r["value"] for r in rows.collect()] == [8.9, 8.9]
