@@ -358,3 +358,15 @@ def test_timing_sketches_merge(spark):
             low, high = (values[max(0, min(n - 1, round((rank + e) * n)))] for e in (-stats.RANK_ERROR, stats.RANK_ERROR))
             assert low <= row[name] <= high
     assert stats.merged_percentiles(stats.timing_sketches(frame.limit(0), "ingest_id"), p50=0.5).isEmpty()
+
+
+def test_checksums_are_exact_and_paths_cut_per_chunk(spark, root):
+    rows = obs(spark, [(s, f"2024-01-{15 + i}", 200 + i) for s in (2, 300) for i in range(11)])
+    store.write_obs(rows, root, "daily", "a")
+    chunks = store.chunk_files(spark, root, "daily")
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract") < plan.index("Aggregate")
+    stored = [c for c in DAILY_COLUMNS if c != "obs_date"]
+    hashes = [r["h"] for r in rows.select(F.xxhash64(*stored).alias("h")).collect()]
+    assert min(hashes) < 0 < max(hashes)
+    assert sum(int(r["checksum"]) for r in chunks.collect()) == sum(hashes)
