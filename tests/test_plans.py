@@ -3,7 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
-from gaugeworks.plans import QUERIES
+from gaugeworks.plans import QUERIES, adapters
 
 LINES = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity decimal(15,2), "
          "l_discount decimal(15,2), l_tax decimal(15,2), l_returnflag string, l_shipdate date")
@@ -44,3 +44,23 @@ def test_texts_are_computed_from_the_table_as_far_as_a_query_reads_them(spark, t
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "l_quantity" in plan and "l_shipdate" not in plan and "l_discount" not in plan
     assert [r["value"] for r in rows.collect()] == [8.9, 8.9]
+
+
+def test_rows_of_one_row_group_are_dealt_out_before_they_are_converted(spark, tmp_path, monkeypatch):
+    """A file of one row group is one scan task; rows, repeated and null keys stay as they were."""
+    lines = [line(1 + i % 28, i, i % 9) for i in range(200)]
+    odd = [(None, *lines[3][1:]), lines[5], (None, *lines[3][1:])]
+    rows = spark.createDataFrame(lines + odd, LINES)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one/lineitem.parquet")
+    rows.repartition(8).write.parquet(f"{tmp_path}/many/lineitem.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/small/lineitem.parquet")
+    for name in ("normalize_date", "convert_daily_lenient"):
+        monkeypatch.setattr(adapters, "ROWS_PER_TASK", 1_000_000)
+        small = QUERIES[name](spark, f"{tmp_path}/small")
+        monkeypatch.setattr(adapters, "ROWS_PER_TASK", 10)
+        one, many = (QUERIES[name](spark, f"{tmp_path}/{folder}") for folder in ("one", "many"))
+        plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(l_orderkey" in plan(one) and "l_tax" not in plan(QUERIES["normalize_date"](spark, f"{tmp_path}/one"))
+        assert "Exchange" not in plan(many) and "Exchange" not in plan(small)
+        assert sorted(map(str, one.collect())) == sorted(map(str, small.collect())) == sorted(map(str, many.collect()))
+        assert one.count() == (203 if name == "normalize_date" else 187)
