@@ -64,3 +64,24 @@ def test_rows_of_one_row_group_are_dealt_out_before_they_are_converted(spark, tm
         assert "Exchange" not in plan(many) and "Exchange" not in plan(small)
         assert sorted(map(str, one.collect())) == sorted(map(str, small.collect())) == sorted(map(str, many.collect()))
         assert one.count() == (203 if name == "normalize_date" else 187)
+
+
+def test_stores_are_built_from_rows_dealt_out(spark, tmp_path, monkeypatch):
+    """Tables of one row group make the same stores, from rows of several tasks."""
+    lines = spark.createDataFrame([line(1 + i % 28, i % 90, i % 600) for i in range(200)], LINES)
+    events = spark.createDataFrame(
+        [(i if i % 40 else None, dt.datetime(2024, 5, 1 + i % 20, i % 24), i % 30, "view", 5.0, '{"k": 7}') for i in range(120)],
+        "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+    for folder in ("one", "small"):
+        lines.coalesce(1).write.parquet(f"{tmp_path}/{folder}/lineitem.parquet")
+        events.coalesce(1).write.parquet(f"{tmp_path}/{folder}/events.parquet")
+    told = {}
+    for folder, rows in (("one", 10), ("small", 1_000_000)):
+        monkeypatch.setattr(adapters, "ROWS_PER_TASK", rows)
+        texts = {name: build(spark, f"{tmp_path}/{folder}") for name, build in
+                 (("l_orderkey", adapters.daily_texts), ("event_id", adapters.hourly_texts))}
+        dealt = [f"hashpartitioning({key}" in t._jdf.queryExecution().executedPlan().toString() for key, t in texts.items()]
+        assert dealt == [folder == "one"] * 2
+        told[folder] = [sorted(map(str, QUERIES[name](spark, f"{tmp_path}/{folder}").collect()))
+                        for name in ("manifest", "chunk_catalog")]
+    assert told["one"] == told["small"] and all(told["one"])
