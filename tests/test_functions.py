@@ -90,6 +90,19 @@ def test_measure_value(spark):
         0, 23.5, 0, -5.2, 0, 0, 0, 0, 0, 0, 0, 0.5, 10, 5, 0, 0]
 
 
+def test_plain_numbers_are_told_without_a_pattern(spark):
+    """The ends of a text tell what the pattern told, for all that the cast takes beyond it."""
+    pattern = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+    rng = random.Random(6)
+    odd = ["0x1p3", "0X1P-2", "-0x1.8p1", "1f", "1D", "Infinity", "+inf", "-Infinity", "nan", "\x001", "1\x00", "\t1", "1\t",
+           "+", "-", ".", "e1", "1e", "1e+", "--1", "1.2.3", "1,5", "\u0661", "1\u0661", "\u00a01", "1 2", "1e-400", None]
+    odd += ["".join(rng.choice("0123456789..+-eExXfd \n") for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+    told = [float(t) if t is not None and re.fullmatch(pattern, t) else 0.0 for t in odd]
+    assert rows(spark, odd, measures.parse_number(X)) == told and sum(t != 0 for t in told) > 300
+    number = spark.createDataFrame([("1",)], "x string").select(measures.parse_number(X))
+    assert "RLIKE" not in number._jdf.queryExecution().executedPlan().toString()
+
+
 def test_strict_number(spark):
     texts_ = ["1", "-1.5", "1e3", "-.5", "+1", ".5", "", " 1", "abc", "1e999", "-"]
     assert rows(spark, texts_, measures.is_strict_number(X)) == [
