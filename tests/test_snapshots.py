@@ -106,6 +106,20 @@ def test_many_ingests_have_a_folder_a_year(spark, root):
     assert all(r["ok"] for r in checked) and sum(r["rows_read"] for r in checked) == len(rows)
 
 
+def test_folders_of_one_layout_are_scanned_as_one_path(spark, root):
+    """Files of many ingests are not looked up one by one; beside other folders they are."""
+    many = obs(spark, [r for s in range(6) for r in days(s + 1, 2020 + s % 3)])
+    store.write_all(many, root, "daily", F.concat(F.lit("run-"), (F.col("station_id") % 2).cast("string")))
+    paths = lambda frame: re.findall(r"InMemoryFileIndex\((\d+) paths\)", frame._jdf.queryExecution().toString())
+    rows = store.read_obs(spark, root, "daily")
+    assert set(paths(rows)) == {"1"} and set(paths(store.chunk_files(spark, root, "daily"))) == {"1"}
+    assert rows_of(rows.select(*many.columns)) == rows_of(many)
+    store.write_obs(obs(spark, days(300, 2020)), root, "daily", "later")
+    both = store.read_obs(spark, root, "daily")
+    assert both.count() == many.count() + 5 and set(paths(both)) == {"1", "6"}
+    assert {r["station_group"] for r in both.select("station_group").collect()} == {0, 1}
+
+
 def test_time_bounds_choose_files_within_a_year(spark, root):
     put(spark, root, "spring", days(2, 2024))
     put(spark, root, "autumn", [(2, "2024-10-01", 7)])
