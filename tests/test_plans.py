@@ -85,3 +85,15 @@ def test_stores_are_built_from_rows_dealt_out(spark, tmp_path, monkeypatch):
         told[folder] = [sorted(map(str, QUERIES[name](spark, f"{tmp_path}/{folder}").collect()))
                         for name in ("manifest", "chunk_catalog")]
     assert told["one"] == told["small"] and all(told["one"])
+
+
+def test_daily_bodies_land_as_texts_that_each_scan_parses(spark, tmp_path):
+    """Landing neither parses nor judges a body; a scan parses the fields it names, once."""
+    spark.createDataFrame([line(6, 50), line(7, 50, 6)], LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    landed = adapters.daily_landed(spark, str(tmp_path))
+    assert dict(landed.dtypes)["body"] == "string" and "variant" not in landed.columns
+    plan = lambda name: QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    scan, strict = plan("scan_spatial_zip"), plan("scan_daily_strict")
+    assert scan.count("from_json(") == strict.count("from_json(") == 1
+    assert "DayWindSpdAvg" in scan and "DayRelHumAvg" not in scan and "RLIKE" not in scan
+    assert sorted(r["station_id"] for r in QUERIES["scan_daily_strict"](spark, str(tmp_path)).collect()) == [5, 6]

@@ -241,3 +241,17 @@ def test_variants_are_extracted_by_the_scan(spark, tmp_path):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "from_json" not in plan and "parse_json" not in plan and "try_variant_get" not in plan
         assert frame.count() == 1
+
+
+def test_unquoted_fields_are_found_wherever_they_stand(spark):
+    """Three patterns that begin with a fixed text tell what one for all fields told."""
+    heads = ['"Date"', '"Value"', '"Qc"', 'Date"', '\\"Value\\"', '"Unit"', '"ValueQc"', '"Value" "Qc"']
+    tails = [":5", " : -1", ":\n[", ":{", ":true", ":false", ":null", ':"5"', ": ", "", ":x"]
+    texts = [before + head + tail for before in ("", "{", '"Date":"') for head in heads for tail in tails]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", None]], "body string")
+    told = rows.select(
+        F.col("body").rlike(r'"(Date|Value|Qc)"\s*:\s*[-0-9tf{\[]').alias("one"), R._is_unquoted(F.col("body")).alias("three"))
+    got = {(r["one"], r["three"]) for r in told.collect()}
+    assert got == {(True, True), (False, False), (None, None)}
+    plan = told.select("three")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RLIKE") == 3 and "(Date|Value|Qc)" not in plan
